@@ -140,27 +140,46 @@ def tokens(c, min_len: int = 2) -> Column:
     return F.regexp_extract_all(F.lower(_c(c)), F.lit(f"{WORD}{{{min_len},}}"), 0)
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` as a lambda variable.
+
+    A column expression referenced inside a higher-order-function lambda is
+    re-evaluated on every lambda call (tokenising a 20,000-word text once per
+    token); binding it to a lambda variable first makes it a plain read."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def bigrams(tk: Column) -> Column:
     """Adjacent token pairs joined by a space (empty for < 2 tokens)."""
-    return F.when(F.size(tk) < 2, F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.size(tk) - 1),
-                    lambda i: F.concat(tk[i - 1], F.lit(" "), tk[i])))
+    return let(tk, lambda t: F.when(F.size(t) < 2, F.array().cast("array<string>")).otherwise(
+        F.transform(F.sequence(F.lit(1), F.size(t) - 1),
+                    lambda i: F.concat(t[i - 1], F.lit(" "), t[i]))))
+
+
+def ngrams(tk: Column, n: int) -> Column:
+    """Contiguous n-token sequences joined by a space."""
+    if n == 1:
+        return tk
+    return let(tk, lambda t: F.when(F.size(t) < n, F.array().cast("array<string>")).otherwise(
+        F.transform(F.sequence(F.lit(0), F.size(t) - n),
+                    lambda i: F.array_join(F.slice(t, i + 1, n), " "))))
 
 
 def uni_bigrams(c) -> Column:
-    tk = tokens(c)
-    return F.concat(tk, bigrams(tk))
+    return let(tokens(c), lambda t: F.concat(t, bigrams(t)))
 
 
 def term_counts(terms: Column) -> Column:
     """Per-row term frequencies as ``array<struct<term,tf>>`` without a shuffle:
     sort the term array, then measure the runs of equal neighbours."""
-    s = F.array_sort(terms)
-    n = F.size(s)
-    # 1-based positions where a run ends
-    ends = F.filter(F.sequence(F.lit(1), n),
-                    lambda i: (i == n) | (F.element_at(s, i) != F.element_at(s, i + 1)))
-    return F.when(n == 0, F.array().cast("array<struct<term:string,tf:int>>")).otherwise(
-        F.transform(ends, lambda e, k: F.struct(
+    def runs(s):
+        n = F.size(s)
+        # 1-based positions where a run of equal terms ends
+        ends = F.filter(F.sequence(F.lit(1), n),
+                        lambda i: (i == n) | (F.element_at(s, i) != F.element_at(s, F.least(i + 1, n))))
+        return let(ends, lambda e_: F.transform(e_, lambda e, k: F.struct(
             F.element_at(s, e).alias("term"),
-            (e - F.when(k == 0, F.lit(0)).otherwise(F.element_at(ends, k))).cast("int").alias("tf"))))
+            (e - F.when(k == 0, F.lit(0)).otherwise(F.element_at(e_, k))).cast("int").alias("tf"))))
+    return let(F.array_sort(terms), lambda s: F.when(F.size(s) == 0,
+                                                     F.array().cast("array<struct<term:string,tf:int>>"))
+               .otherwise(runs(s)))
