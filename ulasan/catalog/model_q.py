@@ -1 +1,111 @@
-"""placeholder"""
+"""Model queries: grid-searched one-vs-one SVM, evaluation, save/load, and
+the batch labeller run end to end (rows-only checks; see tests)."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators.labelling import (BATCH_SIZE, assign_batches, batch_rows, build_prompts,
+                                   labels_from_responses, pending_rows, publish, run_labeller)
+from ..operators.parallel import spread
+from ..operators.split import stratified_split
+from ..plans import tfidf
+from ..plans.evaluate import classification_report
+from ..plans.evaluate import best_param, macro_f1
+from ..operators.split import stratified_kfold
+from ..plans.svm import (LOCAL_FIT_MAX_ROWS, OvoModel, fit_local, fit_ovo, grid_predict_local, grid_search,
+                         task_rows, training_frame, weight_table)
+from ..session import scratch_path
+from . import query
+from .common import tbl
+from .labels_q import GRID_C, SEED, label_col, symbol_of
+
+
+def labelled_docs(spark, sf):
+    lab = tbl(spark, sf, "labels").select(F.col("doc_id").alias("row_id"), label_col().alias("label"))
+    d = spread(tbl(spark, sf, "documents")).select(F.col("doc_id").alias("row_id"), "text")
+    return d.join(lab, "row_id")
+
+
+def train_model(spark, sf, Cs=None, k=5, max_iter=50):
+    """TF-IDF fitted on all labelled rows (the reference's scope), stratified
+    80/20 split, stratified k-fold grid search on the training part, refit
+    with the best C. Small labelled sets train inside tasks, large ones with
+    MLlib (see plans.svm)."""
+    ld = labelled_docs(spark, sf).cache()
+    vocab, w = tfidf.fit_transform(ld, "row_id")
+    vocab, w = vocab.cache(), w.select("row_id", "term_id", "weight").cache()
+    split = stratified_split(ld.select("row_id", "label"), "row_id", seed=SEED).cache()
+    train_rows = split.filter(F.col("split") == "train").select("row_id", "label")
+    n_train = train_rows.count()
+    dim = tfidf.MAX_FEATURES
+    Cs = Cs or GRID_C
+    if n_train <= LOCAL_FIT_MAX_ROWS:
+        rows = task_rows(w, train_rows).cache()
+        folds = stratified_kfold(train_rows, "row_id", k=k).select("row_id", "fold")
+        pred = grid_predict_local(rows, folds, Cs, k, dim)
+        res = best_param(macro_f1(pred, ["gi", "C", "fold"]), "C", "gi").cache()
+        best_c = res.filter("is_best").first()["C"]
+        coefs, bs = fit_local(rows, best_c, dim)
+    else:
+        from ..plans.svm import size_partitions
+        train = size_partitions(training_frame(w, train_rows, dim), n_train).cache()
+        res = grid_search(train, w, spark, Cs, k=k, max_iter=max_iter)
+        best_c = res.filter("is_best").first()["C"]
+        coefs, bs = fit_ovo(train, best_c, max_iter)
+    weights = weight_table(spark, coefs).join(F.broadcast(vocab.select("term_id")), "term_id")
+    return OvoModel(vocab, weights, bs, best_c), split, ld, res
+
+
+@query("svm_grid_predict")
+def svm_grid_predict_q(spark, sf):
+    model, split, ld, _ = train_model(spark, sf)
+    test = ld.join(split.filter(F.col("split") == "test").select("row_id"), "row_id")
+    pred = model.predict(test, "row_id")
+    return test.select("row_id", "label").join(pred, "row_id").select(
+        F.col("row_id").alias("doc_id"), "label", "prediction", symbol_of(F.col("prediction")).alias("symbol"))
+
+
+@query("evaluate_model")
+def evaluate_model_q(spark, sf):
+    return classification_report(svm_grid_predict_q(spark, sf))
+
+
+@query("model_roundtrip")
+def model_roundtrip_q(spark, sf):
+    model, _, _, _ = train_model(spark, sf, Cs=[1.0], k=2, max_iter=30)
+    path = scratch_path(spark, "model")
+    model.save(path)
+    loaded = OvoModel.load(spark, path)
+    docs = spread(tbl(spark, sf, "documents")).select("doc_id", "text")
+    return loaded.predict(docs, "doc_id").select(F.col("row_id").alias("doc_id"), "prediction")
+
+
+def offline_labeller(prompts, texts):
+    """Deterministic stand-in for the remote labeller: a JSON array in the
+    requested format, label from the text's length bucket."""
+    out = []
+    for ts in texts:
+        items = [f'{{"index": {i}, "label": "{["negatif", "netral", "positif"][len(t) % 3]}"}}'
+                 for i, t in enumerate(ts)]
+        out.append("[" + ", ".join(items) + "]")
+    return out
+
+
+@query("label_batches")
+def label_batches_q(spark, sf):
+    """Documents not yet in the state are batched, prompted,
+    labelled by the pluggable labeller, parsed, and appended to the state;
+    the published view has every document."""
+    docs = spread(tbl(spark, sf, "documents")).select(F.col("doc_id").alias("row_id"), "text")
+    state_path = scratch_path(spark, "label_state")
+    seed_state = tbl(spark, sf, "labels").select(F.col("doc_id").alias("row_id"), label_col().alias("label"),
+                                                 F.lit(-1).cast("long").alias("batch_id"),
+                                                 F.current_timestamp().alias("labelled_at"))
+    seed_state.write.mode("append").parquet(state_path)
+    state = spark.read.parquet(state_path)
+    pos = assign_batches(docs, [F.col("row_id")], BATCH_SIZE)
+    prompts = build_prompts(batch_rows(pending_rows(pos, state)))
+    new = labels_from_responses(run_labeller(prompts, offline_labeller))
+    new.write.mode("append").parquet(state_path)
+    return publish(docs.select("row_id"), spark.read.parquet(state_path)).select(
+        F.col("row_id").alias("doc_id"), "label")

@@ -1,5 +1,14 @@
 """Linear SVM, one-vs-one.
 
+Two training paths, chosen by the size of the labelled set:
+
+* up to ``LOCAL_FIT_MAX_ROWS`` training rows, every (C, fold) fit is one
+  ``applyInPandas`` group: the three pair models are solved with dual
+  coordinate descent (L1-loss SVM, per-sample bound C·wᵢ) in numpy inside the
+  task and the held-out rows are predicted there; Spark spreads the 20 fits
+  of the grid over the executors in one job;
+* beyond it, MLlib ``LinearSVC`` trains each pair distributed over all rows.
+
 Training uses MLlib ``LinearSVC`` per class pair on the labelled rows, with
 balanced sample weights and ``regParam = 1/(C·Σw)`` so that MLlib's
 weight-averaged hinge loss + (regParam/2)·||w||² has the same minimiser as
@@ -16,6 +25,9 @@ from __future__ import annotations
 import json
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
+import pandas as pd
+
 from pyspark.ml.classification import LinearSVC
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame, SparkSession
@@ -124,12 +136,22 @@ class OvoModel:
                         meta["intercepts"], meta["C"])
 
 
+ROWS_PER_PART = 200_000
+
+
+def size_partitions(df: DataFrame, n_rows: int) -> DataFrame:
+    """Iterative solvers pay per task per iteration: give the training frame
+    one partition per ``ROWS_PER_PART`` rows (many at scale, one when tiny)."""
+    return df.repartition(max(1, -(-n_rows // ROWS_PER_PART)))
+
+
 def grid_search(train: DataFrame, weighted: DataFrame, spark: SparkSession, Cs: list[float], k: int = 5,
-                max_iter: int = 100, parallelism: int = 4) -> DataFrame:
+                max_iter: int = 100, parallelism: int = 8) -> DataFrame:
     """Stratified k-fold macro-F1 per C (fold fits run concurrently);
     returns ``(C, gi, mean_score, is_best)``."""
     folds = stratified_kfold(train.select("row_id", "label"), "row_id", k=k).select("row_id", "fold").cache()
-    data = train.join(folds, "row_id").cache()
+    data = train.join(folds, "row_id")
+    data = size_partitions(data, data.count()).cache()
     jobs = [(gi, c, f) for gi, c in enumerate(Cs) for f in range(k)]
 
     def run(job):
@@ -147,3 +169,96 @@ def grid_search(train: DataFrame, weighted: DataFrame, spark: SparkSession, Cs:
         scored = scored.unionByName(p)
     res = best_param(macro_f1(scored, ["gi", "C", "fold"]), "C", "gi")
     return res
+
+
+# --- in-task training for labelled sets of bounded size -------------------------------
+LOCAL_FIT_MAX_ROWS = 50_000
+
+
+def dual_cd(idx: list, val: list, y: np.ndarray, upper: np.ndarray, dim: int,
+            max_iter: int = 200, eps: float = 1e-3, seed: int = 0) -> tuple[np.ndarray, float]:
+    """L1-loss linear SVM by dual coordinate descent; the bias is an extra
+    feature of value 1. Returns (coefficients, intercept)."""
+    n = len(y)
+    w = np.zeros(dim + 1)
+    alpha = np.zeros(n)
+    xs = [(np.append(np.asarray(i, dtype=np.int64), dim), np.append(np.asarray(v, dtype=float), 1.0))
+          for i, v in zip(idx, val)]
+    q = np.array([float(v @ v) for _, v in xs])
+    rng = np.random.default_rng(seed)
+    for _ in range(max_iter):
+        hi, lo = -np.inf, np.inf
+        for i in rng.permutation(n):
+            ii, vv = xs[i]
+            g = y[i] * float(w[ii] @ vv) - 1.0
+            a = alpha[i]
+            pg = g if 0.0 < a < upper[i] else (min(g, 0.0) if a == 0.0 else max(g, 0.0))
+            hi, lo = max(hi, pg), min(lo, pg)
+            if pg != 0.0:
+                alpha[i] = min(max(a - g / q[i], 0.0), upper[i])
+                w[ii] += (alpha[i] - a) * y[i] * vv
+        if hi - lo < eps:
+            break
+    return w[:dim], float(w[dim])
+
+
+def _fit_pairs(fit: pd.DataFrame, C: float, dim: int):
+    out = []
+    for a, b in PAIRS:
+        sub = fit[fit["label"].isin([LABELS[a], LABELS[b]])]
+        y = np.where(sub["label"].to_numpy() == LABELS[a], 1.0, -1.0)
+        coef, b0 = dual_cd(list(sub["idx"]), list(sub["val"]), y, C * sub["w"].to_numpy(float), dim)
+        out.append((coef, b0))
+    return out
+
+
+def _predict_rows(models, rows: pd.DataFrame) -> list[str]:
+    preds = []
+    for ii, vv in zip(rows["idx"], rows["val"]):
+        ii, vv = np.asarray(ii, dtype=np.int64), np.asarray(vv, dtype=float)
+        votes = [0] * len(LABELS)
+        for (a, b), (coef, b0) in zip(PAIRS, models):
+            votes[a if float(coef[ii] @ vv) + b0 > 0 else b] += 1
+        preds.append(LABELS[int(np.argmax(votes))])
+    return preds
+
+
+def task_rows(weighted: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(row_id, label, w, idx, val)``: one row per labelled row with its
+    sparse TF-IDF vector as arrays (gathered natively, no vector type)."""
+    cw = class_weights(labels).select("label", F.col("weight").alias("w"))
+    g = weighted.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("term_id", "weight"))).alias("x"))
+    v = g.select("row_id", F.col("x.term_id").alias("idx"), F.col("x.weight").alias("val"))
+    return labels.join(v, "row_id", "left").join(F.broadcast(cw), "label") \
+                 .withColumn("idx", F.coalesce("idx", F.array().cast("array<int>"))) \
+                 .withColumn("val", F.coalesce("val", F.array().cast("array<double>")))
+
+
+def grid_predict_local(rows: DataFrame, folds: DataFrame, Cs: list[float], k: int, dim: int) -> DataFrame:
+    """Every (C, held-out fold) is one group holding the fit rows and the
+    held-out rows: ``(gi, C, fold, row_id, label, prediction)``."""
+    grid = F.array(*[F.struct(F.lit(gi).alias("gi"), F.lit(float(c)).alias("C"), F.lit(f).alias("fold"))
+                     for gi, c in enumerate(Cs) for f in range(k)])
+    d = rows.join(folds, "row_id").select("*", F.inline(grid).alias("gi", "C", "held"))
+    d = d.withColumn("role", F.when(F.col("fold") == F.col("held"), "eval").otherwise("fit"))
+    d = d.select("gi", "C", F.col("held").alias("fold"), "role", "row_id", "label", "w", "idx", "val")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        models = _fit_pairs(pdf[pdf["role"] == "fit"], float(pdf["C"].iloc[0]), dim)
+        ev = pdf[pdf["role"] == "eval"]
+        return pd.DataFrame({"gi": ev["gi"], "C": ev["C"], "fold": ev["fold"], "row_id": ev["row_id"],
+                             "label": ev["label"], "prediction": _predict_rows(models, ev)})
+
+    return d.groupBy("gi", "fold").applyInPandas(
+        run, "gi int, C double, fold int, row_id long, label string, prediction string")
+
+
+def fit_local(rows: DataFrame, C: float, dim: int) -> tuple[list[list[float]], list[float]]:
+    """Refit on all training rows in one task (bounded by LOCAL_FIT_MAX_ROWS)."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        models = _fit_pairs(pdf, C, dim)
+        return pd.DataFrame({"pair": list(range(len(PAIRS))), "coef": [m[0].tolist() for m in models],
+                             "b": [m[1] for m in models]})
+    out = rows.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(
+        run, "pair int, coef array<double>, b double").orderBy("pair").collect()
+    return [list(r["coef"]) for r in out], [float(r["b"]) for r in out]
