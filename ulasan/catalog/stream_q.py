@@ -1 +1,71 @@
-"""placeholder"""
+"""Streaming queries: the driver tables are written as small files and read
+back as streams; each query runs to completion (availableNow) and returns the
+sink table."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators.dedupe import order_key
+from ..plans import tfidf
+from ..plans.svm import OvoModel
+from ..session import scratch_path
+from ..streaming.jobs import daily_counts, dedupe_ingest, score_stream
+from . import query
+from .common import tbl
+
+EVENT_SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+
+
+def event_files(spark, sf, redeliver: bool):
+    """Events as a directory of small files; with ``redeliver`` the middle
+    days arrive twice (as an at-least-once source would send them)."""
+    path = scratch_path(spark, "events_in")
+    e = tbl(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    if redeliver:
+        e.filter(F.col("ts") < F.lit("2024-01-16").cast("timestamp")).repartition(4).write.parquet(path)
+        e.filter(F.col("ts") >= F.lit("2024-01-11").cast("timestamp")).repartition(4) \
+         .write.mode("append").parquet(path)
+    else:
+        e.repartition(8).write.parquet(path)
+    return path
+
+
+@query("stream_dedupe", "SELECT event_id, event_type FROM events")
+def stream_dedupe_q(spark, sf):
+    src = event_files(spark, sf, redeliver=True)
+    sink, ck = scratch_path(spark, "dedupe_sink"), scratch_path(spark, "dedupe_ck")
+    stream = spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", 2).parquet(src)
+    dedupe_ingest(stream, "event_id", order_key(F.col("ts")), sink, ck).awaitTermination()
+    return spark.read.parquet(sink).select("event_id", "event_type")
+
+
+@query("stream_daily", """
+  SELECT strftime(ts::DATE, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2""")
+def stream_daily_q(spark, sf):
+    src = event_files(spark, sf, redeliver=False)
+    sink, ck = scratch_path(spark, "daily_sink"), scratch_path(spark, "daily_ck")
+    stream = spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", 3).parquet(src)
+    daily_counts(stream, "ts", "event_type", sink, ck).awaitTermination()
+    return spark.read.parquet(sink).select("day", "event_type", "n")
+
+
+def demo_model(spark, sf):
+    from .features_q import DEMO_B, demo_weights
+    d = tbl(spark, sf, "documents").select("doc_id", "text")
+    tf = tfidf.doc_terms(d, "doc_id")
+    vocab = tfidf.fit_vocab(tf, d.agg(F.count(F.lit(1))).scalar())
+    model = OvoModel(vocab, demo_weights(vocab), DEMO_B, 1.0)
+    path = scratch_path(spark, "demo_model")
+    model.save(path)
+    return OvoModel.load(spark, path)       # loaded once, used by every micro-batch
+
+
+@query("stream_score")
+def stream_score_q(spark, sf):
+    lines_dir = scratch_path(spark, "lines_in")
+    tbl(spark, sf, "documents").select("text").repartition(4).write.text(lines_dir)
+    model = demo_model(spark, sf)
+    sink, ck = scratch_path(spark, "score_sink"), scratch_path(spark, "score_ck")
+    lines = spark.readStream.option("maxFilesPerTrigger", 1).text(lines_dir)
+    score_stream(lines, lambda rows: model.predict(rows, "row_id"), sink, ck).awaitTermination()
+    return spark.read.parquet(sink).select("text", "prediction")
