@@ -25,7 +25,7 @@ def scan_csv_roundtrip_q(spark, sf):
     return read_csv(spark, csv_copy(spark, sf), DOC_SCHEMA)
 
 
-@query("scan_count_or_zero")
+@query("scan_count_or_zero", "SELECT 'written' AS path, count(*) AS n FROM documents UNION ALL SELECT 'missing', 0")
 def scan_count_or_zero_q(spark, sf):
     path = csv_copy(spark, sf)
     rows = [("written", count_or_zero(spark, path, "csv")),
