@@ -11,6 +11,10 @@ below. They are valid in both Java and RE2 syntax.
 WS = (r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
       r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
 NOT_WS = "[^" + WS[1:]
+# the same set as literal characters (for character-set trims)
+WS_CHARS = ("".join(chr(c) for c in range(0x09, 0x0e)) + "".join(chr(c) for c in range(0x1c, 0x21))
+            + "\x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200b))
+            + "\u2028\u2029\u202f\u205f\u3000")
 # Python's \w for str patterns: letters, numbers, underscore.
 WORD = r"[\p{L}\p{N}_]"
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .patterns import (CHAR_MAP, COMMON_ENTITIES, ELLIPSIS, NOT_WS, WORD, WS,
+from .patterns import (CHAR_MAP, COMMON_ENTITIES, ELLIPSIS, NOT_WS, WORD, WS, WS_CHARS,
                        emoji_class)
 
 
@@ -23,14 +23,14 @@ def _c(c) -> Column:
 
 
 def strip_ws(c) -> Column:
-    """Python ``str.strip()``: remove leading/trailing Unicode whitespace."""
-    return F.regexp_replace(_c(c), rf"\A{WS}+|{WS}+\z", "")
+    """Python ``str.strip()``: remove leading/trailing Unicode whitespace
+    (a character-set trim, no regex pass over the text)."""
+    return F.btrim(_c(c), F.lit(WS_CHARS))
 
 
 def strip_chars(c, chars: str) -> Column:
     """Python ``str.strip(chars)`` for a set of literal characters."""
-    cls = "[" + "".join("\\" + ch if ch in "\\]^-[" else ch for ch in chars) + "]"
-    return F.regexp_replace(_c(c), rf"\A{cls}+|{cls}+\z", "")
+    return F.btrim(_c(c), F.lit(chars))
 
 
 def word_count(c) -> Column:
@@ -81,13 +81,26 @@ def html_unescape(c) -> Column:
 
 
 # --- the cleaning chain ---------------------------------------------------------
+def _when_contains(t: Column, needles: list[str], step) -> Column:
+    """Run ``step`` only on texts holding one of ``needles`` (a substring
+    test is far cheaper than a regex scan); the text is bound once."""
+    def body(x):
+        cond = x.contains(needles[0])
+        for nd in needles[1:]:
+            cond = cond | x.contains(nd)
+        return F.when(cond, step(x)).otherwise(x)
+    return let(t, body)
+
+
 def clean_after_unescape(c) -> Column:
     """Steps after entity decoding, in rule order: URLs, mentions, '#', quote/
     dash/NBSP map, ellipsis, emoji runs, outer quotes, dot runs, spaced dashes,
-    CR/LF, whitespace collapse, final strip."""
+    CR/LF, whitespace collapse, final strip. Steps whose pattern needs a
+    literal ('http'/'www.', '@', '..', '-') are skipped on texts without it."""
     t = _c(c)
-    t = F.regexp_replace(t, rf"https?://{NOT_WS}+|www\.{NOT_WS}+", "")
-    t = F.regexp_replace(t, rf"@{WORD}+", "")
+    t = _when_contains(t, ["http", "www."],
+                       lambda x: F.regexp_replace(x, rf"https?://{NOT_WS}+|www\.{NOT_WS}+", ""))
+    t = _when_contains(t, ["@"], lambda x: F.regexp_replace(x, rf"@{WORD}+", ""))
     t = F.replace(t, F.lit("#"), F.lit(""))
     src = "".join(a for a, _ in CHAR_MAP)
     dst = "".join(b for _, b in CHAR_MAP)
@@ -95,8 +108,8 @@ def clean_after_unescape(c) -> Column:
     t = F.replace(t, F.lit(ELLIPSIS[0]), F.lit(ELLIPSIS[1]))
     t = F.regexp_replace(t, emoji_class(), "")
     t = strip_ws(strip_chars(strip_chars(t, '"'), "'"))
-    t = F.regexp_replace(t, rf"{WS}*\.{{2,}}{WS}*", " ")
-    t = F.regexp_replace(t, rf"{WS}+-{WS}+", " ")
+    t = _when_contains(t, [".."], lambda x: F.regexp_replace(x, rf"{WS}*\.{{2,}}{WS}*", " "))
+    t = _when_contains(t, ["-"], lambda x: F.regexp_replace(x, rf"{WS}+-{WS}+", " "))
     t = F.translate(t, "\n\r", "  ")
     t = F.regexp_replace(t, rf"{WS}+", " ")
     t = strip_ws(strip_chars(strip_chars(strip_ws(t), '"'), "'"))

@@ -68,7 +68,10 @@ def transform(tf: DataFrame, vocab: DataFrame, sublinear: bool = True) -> DataFr
 
 def fit_transform(docs: DataFrame, id_col: str, text_col: str = "text",
                   max_features: int = MAX_FEATURES) -> tuple[DataFrame, DataFrame]:
-    tf = doc_terms(docs, id_col, text_col)
+    # tokenising is the expensive part and the fit and the transform both
+    # need it: materialise the per-document counts once in the shared
+    # checkpoint folder (this also cuts the lineage for executor loss)
+    tf = doc_terms(docs, id_col, text_col).checkpoint(eager=True)
     n_docs = docs.agg(F.count(F.lit(1))).scalar()
     vocab = fit_vocab(tf, n_docs, max_features)
     return vocab, transform(tf, vocab)
