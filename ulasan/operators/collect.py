@@ -94,8 +94,12 @@ def greedy_collect(candidates: DataFrame, n: int, id_col: str = "post_id", ts: s
     newest n·r per (day, r) loses nothing; each day's greedy pass then sees at
     most n·K(K+1)/2 rows however hot the day is."""
     w = Window.partitionBy(day, "kw_rank").orderBy(F.col(ts).desc(), F.col(id_col).desc())
-    pruned = (candidates.withColumn("__r", F.row_number().over(w))
-                        .filter(F.col("__r") <= F.col("kw_rank") * n).drop("__r"))
+    k = candidates.select(F.max("kw_rank")).first()[0] or 1     # number of keywords (a scalar)
+    ranked = candidates.withColumn("__r", F.row_number().over(w))
+    # literal bound first (planned as a WindowGroupLimit before the shuffle, so
+    # a hot (day, keyword) ships ≤ n·K rows per map task), then the exact n·r
+    pruned = (ranked.filter(F.col("__r") <= F.lit(int(k) * n))
+                    .filter(F.col("__r") <= F.col("kw_rank") * n).drop("__r"))
     schema = pruned.select(day, "kw_rank", id_col, ts).schema
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
