@@ -112,3 +112,17 @@ def test_stream_equals_batch(spark):
     e = spark.read.parquet(f"{SF01}/events.parquet")
     b = e.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").count().collect()
     assert sorted(tuple(r) for r in s) == sorted(tuple(r) for r in b)
+
+
+def test_watermark_dedupe_keeps_one_per_key(spark):
+    from ulasan.session import scratch_path
+    from ulasan.streaming.jobs import dedupe_within_watermark
+    src = scratch_path(spark, "wm_in")
+    rows = [(i % 50, f"2024-01-01 00:{i % 60:02d}:00") for i in range(200)]
+    df = spark.createDataFrame(rows, "event_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    df.repartition(4).write.parquet(src)
+    stream = spark.readStream.schema("event_id long, ts timestamp").parquet(src)
+    sink, ck = scratch_path(spark, "wm_sink"), scratch_path(spark, "wm_ck")
+    dedupe_within_watermark(stream, "event_id", "ts", "2 hours", sink, ck).awaitTermination()
+    got = spark.read.parquet(sink)
+    assert got.count() == 50 and got.select("event_id").distinct().count() == 50

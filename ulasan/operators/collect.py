@@ -124,7 +124,10 @@ def greedy_collect(candidates: DataFrame, n: int, id_col: str = "post_id", ts: s
 def collection_rollup(grid: DataFrame, collected: DataFrame, keys: list[str], id_col: str) -> DataFrame:
     """Saved posts per cell (0 for empty cells), with per-day and grand
     totals and the number of requests, as ``rollup``."""
-    cells = (grid.select(*keys).join(collected.select(*keys, id_col), keys, "left")
-                 .groupBy(*keys).agg(F.count(id_col).alias("n")))
+    # count per cell first (partially aggregated, so a hot cell never reaches
+    # one task whole), then attach the small per-cell counts to the grid
+    per_cell = collected.groupBy(*keys).agg(F.count(id_col).alias("n"))
+    cells = grid.select(*keys).join(per_cell, keys, "left") \
+                .select(*keys, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
     return cells.rollup(*keys).agg(F.sum("n").cast("long").alias("n_saved"),
                                   F.count(F.lit(1)).alias("n_queries"))

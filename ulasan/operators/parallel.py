@@ -13,8 +13,11 @@ from pyspark.sql import DataFrame
 def spread(df: DataFrame, min_parts: int | None = None) -> DataFrame:
     """Use on file scans only: on a plan that already shuffles, AQE would
     have to run the shuffle to know its final partition count."""
-    sc = df.sparkSession.sparkContext
-    target = min_parts or sc.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        sc = df.sparkSession.sparkContext
+        target = min_parts or sc.defaultParallelism
+        if df.rdd.getNumPartitions() >= target:
+            return df
+    except Exception:   # noqa: BLE001  (no RDD view, e.g. a remote session)
         return df
     return df.repartition(target)

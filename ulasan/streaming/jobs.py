@@ -36,6 +36,18 @@ def dedupe_ingest(stream: DataFrame, key: str, order: Column, sink: str, checkpo
                   .trigger(**(trigger or {"availableNow": True})).start())
 
 
+def dedupe_within_watermark(stream: DataFrame, key: str, ts: str, delay: str, sink: str,
+                            checkpoint: str, trigger: dict | None = None):
+    """J01, bounded-state variant: a key seen again within ``delay`` of event
+    time is dropped; state older than the watermark is evicted. Use when the
+    sink is too large to anti-join per micro-batch and late duplicates beyond
+    ``delay`` are acceptable."""
+    d = (stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+               .dropDuplicatesWithinWatermark([key]))
+    return (d.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
+             .outputMode("append").trigger(**(trigger or {"availableNow": True})).start())
+
+
 def daily_counts(stream: DataFrame, ts: str, key: str, sink: str, checkpoint: str,
                  trigger: dict | None = None):
     counts = (stream.withColumn(ts, F.col(ts).cast("timestamp"))
