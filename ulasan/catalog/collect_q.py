@@ -102,7 +102,7 @@ def keyword_match_q(spark, sf):
 @query("first_keyword", f"""
   SELECT doc_id, kw_rank, phrase FROM ({MATCH_SQL}) QUALIFY kw_rank = min(kw_rank) OVER (PARTITION BY doc_id)""")
 def first_keyword_q(spark, sf):
-    return first_keyword(_matches(spark, sf), "doc_id")
+    return first_keyword(_matches(spark, sf), "doc_id", PHRASES)
 
 
 CAP_SQL = f"""

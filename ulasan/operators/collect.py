@@ -66,11 +66,13 @@ def match_keywords(posts: DataFrame, phrases: list[str], id_col: str, text_col:
     return g.join(small(kw, len(phrases)), "gram").select(id_col, "kw_rank", "phrase")
 
 
-def first_keyword(matches: DataFrame, id_col: str) -> DataFrame:
+def first_keyword(matches: DataFrame, id_col: str, phrases: list[str]) -> DataFrame:
     """Each id is attributed to its first matching keyword (min rank);
-    a primitive ``min`` keeps the aggregate hash-based and partial."""
+    a primitive ``min`` keeps the aggregate hash-based and partial, and the
+    phrase comes from the small keyword list (no second pass over matches)."""
     best = matches.groupBy(id_col).agg(F.min("kw_rank").alias("kw_rank"))
-    return best.join(matches, [id_col, "kw_rank"]).select(id_col, "kw_rank", "phrase")
+    kw = keyword_frame(matches.sparkSession, phrases)
+    return best.join(small(kw, len(phrases)), "kw_rank").select(id_col, "kw_rank", "phrase")
 
 
 def cap_newest(posts: DataFrame, group: list[str], n: int, ts: str = "ts", tiebreak: str | None = None,

@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import parse_utc
-from ..operators.parallel import spread
 from ..functions.patterns import NULL_LIKE
 
 CANONICAL = "text string, date timestamp, source string, source_rank int, k1 long, k2 long"
@@ -82,7 +81,7 @@ def scan_sources(spark: SparkSession, specs: list[SourceSpec], na_like: bool = T
         df = read_table(spark, spec.path, spec.fmt, spec.schema, **spec.options)
         if df is None:        # missing source: skip, keep going
             continue
-        parts.append(canonical(spread(df), spec, rank, na_like))
+        parts.append(canonical(df, spec, rank, na_like))
     if not parts:
         return spark.createDataFrame([], CANONICAL)
     return reduce(DataFrame.unionByName, parts)
