@@ -126,3 +126,15 @@ def test_watermark_dedupe_keeps_one_per_key(spark):
     dedupe_within_watermark(stream, "event_id", "ts", "2 hours", sink, ck).awaitTermination()
     got = spark.read.parquet(sink)
     assert got.count() == 50 and got.select("event_id").distinct().count() == 50
+
+
+def test_model_options_train_scope_and_clean(spark):
+    from conftest import SF001
+    from ulasan.catalog.model_q import train_model
+    model, split, ld, res = train_model(spark, SF001, Cs=[1.0], k=2, fit_scope="train")
+    assert res.filter("is_best").count() == 1
+    test = ld.join(split.filter(F.col("split") == "test").select("row_id"), "row_id")
+    p1 = model.predict(test, "row_id").collect()
+    p2 = model.predict(test, "row_id", clean=True).collect()
+    assert len(p1) == len(p2) == test.count()
+    assert {r.prediction for r in p1 + p2} <= {"negatif", "netral", "positif"}

@@ -26,15 +26,22 @@ def labelled_docs(spark, sf):
     return d.join(lab, "row_id")
 
 
-def train_model(spark, sf, Cs=None, k=5, max_iter=50):
-    """TF-IDF fitted on all labelled rows (the reference's scope), stratified
-    80/20 split, stratified k-fold grid search on the training part, refit
-    with the best C. Small labelled sets train inside tasks, large ones with
-    MLlib (see plans.svm)."""
+def train_model(spark, sf, Cs=None, k=5, max_iter=50, fit_scope="all"):
+    """Stratified 80/20 split, TF-IDF, stratified k-fold grid search on the
+    training part, refit with the best C. ``fit_scope="all"`` fits the
+    vocabulary on every labelled row (as the reference does, leaking test
+    terms into the idf); ``"train"`` fits it on the training rows only.
+    Small labelled sets train inside tasks, large ones with MLlib."""
     ld = labelled_docs(spark, sf).cache()
-    vocab, w = tfidf.fit_transform(ld, "row_id")
-    vocab, w = vocab.cache(), w.select("row_id", "term_id", "weight").cache()
     split = stratified_split(ld.select("row_id", "label"), "row_id", seed=SEED).cache()
+    if fit_scope == "train":
+        tf = tfidf.doc_terms(ld, "row_id").checkpoint(eager=True)
+        fit_rows = split.filter(F.col("split") == "train").select("row_id")
+        vocab = tfidf.fit_vocab(tf.join(fit_rows, "row_id"), fit_rows.agg(F.count(F.lit(1))).scalar())
+        w = tfidf.transform(tf, vocab)
+    else:
+        vocab, w = tfidf.fit_transform(ld, "row_id")
+    vocab, w = vocab.cache(), w.select("row_id", "term_id", "weight").cache()
     train_rows = split.filter(F.col("split") == "train").select("row_id", "label")
     n_train = train_rows.count()
     dim = tfidf.MAX_FEATURES

@@ -113,8 +113,13 @@ class OvoModel:
     def __init__(self, vocab: DataFrame, weights: DataFrame, intercepts: list[float], C: float):
         self.vocab, self.weights, self.intercepts, self.C = vocab, weights, intercepts, C
 
-    def predict(self, docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-        """``(row_id, prediction)`` for every row of ``docs``."""
+    def predict(self, docs: DataFrame, id_col: str, text_col: str = "text", clean: bool = False) -> DataFrame:
+        """``(row_id, prediction)`` for every row of ``docs``.
+        ``clean=False`` scores the raw text as the reference's scorer does;
+        ``clean=True`` applies the training-time cleaning chain first."""
+        if clean:
+            from ..functions.text import clean_text
+            docs = docs.withColumn(text_col, clean_text(text_col))
         tf = tfidf.doc_terms(docs, id_col, text_col)
         w = tfidf.transform(tf, self.vocab)
         rows = docs.select(F.col(id_col).alias("row_id"))
