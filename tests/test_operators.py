@@ -138,3 +138,18 @@ def test_model_options_train_scope_and_clean(spark):
     p2 = model.predict(test, "row_id", clean=True).collect()
     assert len(p1) == len(p2) == test.count()
     assert {r.prediction for r in p1 + p2} <= {"negatif", "netral", "positif"}
+
+
+def test_mllib_training_path_runs(spark):
+    from ulasan.plans import tfidf
+    from ulasan.plans.svm import fit_ovo, linear_scores, ovo_vote, training_frame, weight_table
+    rows = [(i, ("bagus sekali enak" if i % 3 == 0 else "buruk jelek basi" if i % 3 == 1 else "biasa saja info"),
+             ["positif", "negatif", "netral"][i % 3]) for i in range(60)]
+    df = spark.createDataFrame(rows, "row_id long, text string, label string")
+    vocab, w = tfidf.fit_transform(df, "row_id")
+    w = w.select("row_id", "term_id", "weight")
+    train = training_frame(w, df.select("row_id", "label"), vocab.count())
+    coefs, bs = fit_ovo(train, 1.0, max_iter=20)
+    pred = ovo_vote(linear_scores(df.select("row_id"), w, weight_table(spark, coefs), bs))
+    acc = pred.join(df, "row_id").filter(F.col("prediction") == F.col("label")).count() / 60
+    assert acc > 0.9
