@@ -153,3 +153,38 @@ def test_mllib_training_path_runs(spark):
     pred = ovo_vote(linear_scores(df.select("row_id"), w, weight_table(spark, coefs), bs))
     acc = pred.join(df, "row_id").filter(F.col("prediction") == F.col("label")).count() / 60
     assert acc > 0.9
+
+
+def test_label_job_resumes_and_exits_early(spark):
+    from ulasan.catalog.model_q import offline_labeller
+    from ulasan.operators.labelling import label_job
+    from ulasan.session import scratch_path
+    rows = spark.createDataFrame([(i, f"teks nomor {i}") for i in range(80)], "row_id long, text string")
+    state = scratch_path(spark, "state")
+    # a first run interrupted after some rows: seed the state with rows 0..34 and 40
+    seed = spark.createDataFrame([(i, "netral", 0) for i in list(range(35)) + [40]],
+                                 "row_id long, label string, batch_id long") \
+                .withColumn("labelled_at", F.current_timestamp())
+    seed.write.parquet(state)
+    r1 = label_job(rows, state, offline_labeller)
+    assert r1 == {"pending": 44, "labelled": 80}
+    assert label_job(rows, state, offline_labeller) == {"pending": 0, "labelled": 0}
+    got = {r.row_id: r.label for r in spark.read.parquet(state).collect()}
+    exp = offline_labeller(None, [[f"teks nomor {i}"] for i in range(80)])
+    assert got[50] == ["negatif", "netral", "positif"][len("teks nomor 50") % 3]
+
+
+def test_build_corpus_reports_stage_counts(spark):
+    from conftest import SF001
+    from ulasan.catalog.common import test_sources
+    from ulasan.plans.corpus import build_corpus
+    from ulasan.session import scratch_path
+    rep = build_corpus(spark, test_sources(SF001), scratch_path(spark, "merged"), scratch_path(spark, "cleaned"))
+    assert rep["rows_before"] >= rep["rows_after"] > 0
+    assert rep["removed"] == rep["rows_before"] - rep["rows_after"]
+
+
+def test_day_range_param(spark):
+    from ulasan.functions.dates import day_range
+    got = spark.range(1).select(F.size(day_range("2025-01-30", "2025-02-02")).alias("n")).first().n
+    assert got == 4

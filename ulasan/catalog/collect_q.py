@@ -148,7 +148,7 @@ def greedy_candidates(spark, sf):
     sets = spark.createDataFrame([(r + 1, kw, t) for r, (kw, ts) in enumerate(KEYWORD_SETS) for t in ts],
                                  "kw_rank int, phrase string, keyword string")
     known = p.filter(F.col("ts") < F.lit("2024-01-03").cast("timestamp")).select("event_id")
-    cand = p.join(small(sets, len(sets.columns) * 10), "keyword").join(known, "event_id", "left_anti")
+    cand = p.join(small(sets, sum(len(t) for _, t in KEYWORD_SETS)), "keyword").join(known, "event_id", "left_anti")
     return cand.select("day", "kw_rank", "event_id", "ts")
 
 

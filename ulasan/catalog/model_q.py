@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.labelling import (BATCH_SIZE, assign_batches, batch_rows, build_prompts,
-                                   labels_from_responses, pending_rows, publish, run_labeller)
+from ..operators.labelling import label_job, publish
 from ..operators.parallel import spread
 from ..operators.split import stratified_split
 from ..plans import tfidf
@@ -100,19 +99,15 @@ def offline_labeller(prompts, texts):
 
 @query("label_batches")
 def label_batches_q(spark, sf):
-    """Documents not yet in the state are batched, prompted,
-    labelled by the pluggable labeller, parsed, and appended to the state;
-    the published view has every document."""
+    """Documents not yet in the state (seeded from ``labels``)
+    are batched, prompted, labelled by the pluggable labeller, parsed and
+    appended to the state; the published view has every document."""
     docs = spread(tbl(spark, sf, "documents")).select(F.col("doc_id").alias("row_id"), "text")
     state_path = scratch_path(spark, "label_state")
-    seed_state = tbl(spark, sf, "labels").select(F.col("doc_id").alias("row_id"), label_col().alias("label"),
-                                                 F.lit(-1).cast("long").alias("batch_id"),
-                                                 F.current_timestamp().alias("labelled_at"))
-    seed_state.write.mode("append").parquet(state_path)
-    state = spark.read.parquet(state_path)
-    pos = assign_batches(docs, [F.col("row_id")], BATCH_SIZE)
-    prompts = build_prompts(batch_rows(pending_rows(pos, state)))
-    new = labels_from_responses(run_labeller(prompts, offline_labeller))
-    new.write.mode("append").parquet(state_path)
+    tbl(spark, sf, "labels").select(F.col("doc_id").alias("row_id"), label_col().alias("label"),
+                                    F.lit(-1).cast("long").alias("batch_id"),
+                                    F.current_timestamp().alias("labelled_at")) \
+        .write.mode("append").parquet(state_path)
+    label_job(docs, state_path, offline_labeller)
     return publish(docs.select("row_id"), spark.read.parquet(state_path)).select(
         F.col("row_id").alias("doc_id"), "label")

@@ -43,3 +43,13 @@ def day_sequence(start, end) -> Column:
 def ts_string(c) -> Column:
     """Stable text form used in reports and oracle comparisons."""
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+
+
+def day_param(s: str) -> Column:
+    """A ``yyyy-MM-dd`` job parameter as a DATE literal."""
+    return F.to_date(F.lit(s), "yyyy-MM-dd")
+
+
+def day_range(start: str, end: str) -> Column:
+    """Inclusive days between two ``yyyy-MM-dd`` parameters."""
+    return day_sequence(day_param(start), day_param(end))

@@ -197,3 +197,23 @@ def publish(rows: DataFrame, state: DataFrame) -> DataFrame:
     in this published view, the state keeps them unlabelled)."""
     lab = state.select("row_id", "label")
     return rows.join(lab, "row_id", "left").withColumn("label", F.coalesce("label", F.lit(DEFAULT_LABEL)))
+
+
+def label_job(rows: DataFrame, state_path: str, labeller, order: list[Column] | None = None,
+              size: int = BATCH_SIZE) -> dict:
+    """M04/J04 as a resumable job: rows without a label in the state table are
+    batched (on their full positions), prompted, labelled, parsed and appended
+    to the state. Returns counts; does nothing when no row is pending (B17).
+    Re-running after a failure labels only what is still missing."""
+    from ..sources.registry import read_table
+    spark = rows.sparkSession
+    state = read_table(spark, state_path, "parquet")
+    pending = pending_rows(rows, state)
+    if pending.isEmpty():
+        return {"pending": 0, "labelled": 0}
+    pos = assign_batches(rows, order or [F.col("row_id")], size)
+    todo = pending_rows(pos, state)
+    new = labels_from_responses(run_labeller(build_prompts(batch_rows(todo)), labeller))
+    new.write.mode("append").parquet(state_path)
+    done = spark.read.parquet(state_path)
+    return {"pending": todo.count(), "labelled": done.select("row_id").distinct().count()}

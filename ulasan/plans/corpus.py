@@ -52,3 +52,18 @@ def clean_corpus(df: DataFrame, text: str = "text", min_words: int = MIN_WORDS,
         d = d.observe(observation, F.count(F.lit(1)).alias("rows_before"))
     d = clean_and_filter(d, text, min_words, min_chars)
     return keep_first(d, [text], order if order is not None else corpus_order())
+
+
+def build_corpus(spark: SparkSession, specs: list[SourceSpec], merged_path: str, cleaned_path: str) -> dict:
+    """M01 + M02 as a job: write the merged table and the cleaned table
+    (A06) and report rows before/after per stage (D06) from an Observation
+    collected in the same pass as the write."""
+    merged = merge_sources(spark, specs)
+    merged.write.mode("overwrite").parquet(merged_path)
+    m = spark.read.parquet(merged_path)
+    obs = Observation("clean")
+    cleaned = clean_corpus(m, observation=obs)
+    cleaned.write.mode("overwrite").parquet(cleaned_path)
+    before = obs.get["rows_before"]
+    after = spark.read.parquet(cleaned_path).count()
+    return {"rows_before": before, "rows_after": after, "removed": before - after}
