@@ -137,7 +137,7 @@ def _raw_dates(spark, sf):
         FROM events)""")
 def date_scalars_q(spark, sf):
     d = _raw_dates(spark, sf)
-    p = parse_utc("raw", ["yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX", "twitter", "yyyy-MM-dd"])
+    p = parse_utc("raw", ["yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX", "weekday_tz", "yyyy-MM-dd"])
     return d.withColumn("p", p).select(
         "event_id", "raw", ts_string("p").alias("parsed"), day_string(F.to_date("p")).alias("day"),
         day_string(next_day(F.to_date("p"))).alias("next_day"))

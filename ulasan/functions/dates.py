@@ -19,7 +19,7 @@ def parse_utc(c, formats: list[str] | None = None) -> Column:
     s = F.trim(col.cast("string"))
     outs = []
     for fmt in formats or DEFAULT_FORMATS:
-        if fmt == "twitter":   # 'Wed Jan 01 10:00:00 +0000 2025': drop the weekday
+        if fmt == "weekday_tz":   # 'Wed Jan 01 10:00:00 +0000 2025': drop the weekday
             outs.append(F.try_to_timestamp(F.substring(s, 5, 100), F.lit("MMM dd HH:mm:ss Z yyyy")))
         else:
             outs.append(F.try_to_timestamp(s, F.lit(fmt)))
