@@ -13,7 +13,7 @@ from ..plans.evaluate import best_param, macro_f1
 from ..operators.split import stratified_kfold
 from ..plans.svm import (LOCAL_FIT_MAX_ROWS, OvoModel, fit_local, fit_ovo, grid_predict_local, grid_search,
                          task_rows, training_frame, weight_table)
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from . import query
 from .common import tbl
 from .labels_q import GRID_C, SEED, label_col, symbol_of
@@ -34,7 +34,7 @@ def train_model(spark, sf, Cs=None, k=5, max_iter=50, fit_scope="all"):
     ld = labelled_docs(spark, sf).cache()
     split = stratified_split(ld.select("row_id", "label"), "row_id", seed=SEED).cache()
     if fit_scope == "train":
-        tf = tfidf.doc_terms(ld, "row_id").checkpoint(eager=True)
+        tf = materialize(tfidf.doc_terms(ld, "row_id"), "term_counts")
         fit_rows = split.filter(F.col("split") == "train").select("row_id")
         vocab = tfidf.fit_vocab(tf.join(fit_rows, "row_id"), fit_rows.agg(F.count(F.lit(1))).scalar())
         w = tfidf.transform(tf, vocab)

@@ -12,15 +12,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def with_positions(df: DataFrame, order: list[Column], name: str = "pos",
                    num_partitions: int | None = None) -> DataFrame:
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    tagged = (ordered.withColumn("__pid", F.spark_partition_id())
-                     .withColumn("__mid", F.monotonically_increasing_id())
-                     .checkpoint(eager=True))
+    tagged = materialize(ordered.withColumn("__pid", F.spark_partition_id())
+                                .withColumn("__mid", F.monotonically_increasing_id()), "positions")
     counts = tagged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"),
                                          F.min("__mid").alias("__m0"))
     w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import term_counts, uni_bigrams
+from ..session import materialize
 
 MAX_FEATURES = 10_000
 
@@ -50,7 +51,8 @@ def top_terms(stats: DataFrame, k: int, by: str = "n") -> DataFrame:
 
 def fit_vocab(tf: DataFrame, n_docs: Column, max_features: int = MAX_FEATURES) -> DataFrame:
     """``(term_id, term, n, df, idf)``."""
-    top = top_terms(term_stats(tf), max_features)
+    # one written table feeds both the count threshold and the candidates
+    top = top_terms(materialize(term_stats(tf), "term_stats"), max_features)
     ids = top.withColumn("term_id", (F.row_number().over(Window.orderBy("term")) - 1).cast("int"))
     idf = F.log((F.lit(1) + n_docs) / (F.lit(1) + F.col("df"))) + F.lit(1.0)
     return ids.select("term_id", "term", "n", "df", idf.alias("idf"))
@@ -71,7 +73,7 @@ def fit_transform(docs: DataFrame, id_col: str, text_col: str = "text",
     # tokenising is the expensive part and the fit and the transform both
     # need it: materialise the per-document counts once in the shared
     # checkpoint folder (this also cuts the lineage for executor loss)
-    tf = doc_terms(docs, id_col, text_col).checkpoint(eager=True)
+    tf = materialize(doc_terms(docs, id_col, text_col), "term_counts")
     n_docs = docs.agg(F.count(F.lit(1))).scalar()
     vocab = fit_vocab(tf, n_docs, max_features)
     return vocab, transform(tf, vocab)
