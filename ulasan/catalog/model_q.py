@@ -48,7 +48,8 @@ def train_model(spark, sf, Cs=None, k=5, max_iter=50, fit_scope="all"):
     if n_train <= LOCAL_FIT_MAX_ROWS:
         rows = task_rows(w, train_rows).cache()
         folds = stratified_kfold(train_rows, "row_id", k=k).select("row_id", "fold")
-        pred = grid_predict_local(rows, folds, Cs, k, dim)
+        # the evaluation reads the predictions several times: train once
+        pred = materialize(grid_predict_local(rows, folds, Cs, k, dim), "grid_predictions")
         res = best_param(macro_f1(pred, ["gi", "C", "fold"]), "C", "gi").cache()
         best_c = res.filter("is_best").first()["C"]
         coefs, bs = fit_local(rows, best_c, dim)
