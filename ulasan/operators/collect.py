@@ -22,6 +22,7 @@ QUERY_TEMPLATE = "{keyword} since:{since} until:{until} lang:id -filter:retweets
 # ---------------------------------------------------------------------------
 
 BROADCAST_MAX_KEYWORDS = 100_000
+INLINE_MAX_KEYWORDS = 1_000
 
 
 def keyword_frame(spark: SparkSession, phrases: list[str]) -> DataFrame:
@@ -62,6 +63,11 @@ def match_keywords(posts: DataFrame, phrases: list[str], id_col: str, text_col:
                                "kw_rank int, phrase string, gram string")
     grams = let(tokens(F.col(text_col)), lambda t: F.array_distinct(
         F.flatten(F.array(*[ngrams(t, n) for n in range(1, L + 1)]))))
+    if len(norm) <= INLINE_MAX_KEYWORDS:
+        # a short phrase list is a hash set inside the expression: only the
+        # matching n-grams of each post become rows
+        wanted = sorted(set(norm))
+        grams = F.filter(grams, lambda x: x.isin(wanted))
     g = posts.select(F.col(id_col), F.explode(grams).alias("gram"))
     return g.join(small(kw, len(phrases)), "gram").select(id_col, "kw_rank", "phrase")
 
