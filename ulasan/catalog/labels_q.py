@@ -2,6 +2,7 @@
 batching and prompts, response parsing, state, review, splits, evaluation."""
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -136,9 +137,9 @@ def pending_batches_q(spark, sf):
     p = doc_batches(spark, sf)
     total = tbl(spark, sf, "documents").agg(F.count(F.lit(1))).scalar()   # scalar subquery
     per = p.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_pending"))
-    from pyspark.sql import Window
-    everyone = Window.partitionBy()
-    per = per.withColumn("est_batches", F.ceil(F.sum("n_pending").over(everyone) / BATCH_SIZE).cast("long"))
+    # ceil(remaining / batch size); a scalar aggregate, not a global window
+    remaining = p.agg(F.count(F.lit(1))).scalar()
+    per = per.withColumn("est_batches", F.ceil(remaining / F.lit(BATCH_SIZE)).cast("long"))
     return per.select("batch_id", (F.col("batch_id") * BATCH_SIZE).alias("start_pos"),
                       F.least(F.col("batch_id") * BATCH_SIZE + BATCH_SIZE, total).alias("end_pos"),
                       "n_pending", "est_batches")

@@ -1,7 +1,7 @@
 """Counts and distributions."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,6 +23,7 @@ def zero_filled_counts(df: DataFrame, col: str, domain: list[str], name: str = "
 
 
 def with_share(counts: DataFrame, name: str = "n", out: str = "share", digits: int = 6) -> DataFrame:
-    """Share of the total; the window runs over the (small) count table only."""
-    tot = F.sum(name).over(Window.partitionBy())
+    """Share of the total (D07); the total is a scalar aggregate, so the
+    count table may be of any size."""
+    tot = counts.agg(F.sum(name)).scalar()
     return counts.withColumn(out, F.round(F.col(name) / tot, digits))
