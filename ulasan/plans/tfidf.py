@@ -42,6 +42,9 @@ def top_terms(stats: DataFrame, k: int, by: str = "n") -> DataFrame:
     global sort of all terms: count threshold from the histogram, then sort
     only the rows at or above it."""
     hist = stats.groupBy(by).agg(F.count(F.lit(1)).alias("c"))
+    # the cut lies among the k largest distinct counts (each stands for at
+    # least one term): keep those (a bounded top-k) before the running sum
+    hist = hist.orderBy(F.desc(by)).limit(k)
     w = Window.orderBy(F.desc(by)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cum = hist.withColumn("cum", F.sum("c").over(w))
     threshold = cum.filter(F.col("cum") >= k).agg(F.max(by)).scalar()
