@@ -92,27 +92,34 @@ def _when_contains(t: Column, needles: list[str], step) -> Column:
     return let(t, body)
 
 
+_WS_NOT_SPACE = WS_CHARS.replace(" ", "")
+
+
 def clean_after_unescape(c) -> Column:
     """Steps after entity decoding, in rule order: URLs, mentions, '#', quote/
-    dash/NBSP map, ellipsis, emoji runs, outer quotes, dot runs, spaced dashes,
-    CR/LF, whitespace collapse, final strip. Steps whose pattern needs a
-    literal ('http'/'www.', '@', '..', '-') are skipped on texts without it."""
-    t = _c(c)
-    t = _when_contains(t, ["http", "www."],
-                       lambda x: F.regexp_replace(x, rf"https?://{NOT_WS}+|www\.{NOT_WS}+", ""))
+    dash map, ellipsis, emoji runs, outer quotes, dot runs, spaced dashes,
+    CR/LF, whitespace collapse, final strip.
+
+    Every step treats all Unicode whitespace alike (as ``\\s`` or ``strip()``)
+    and the collapse turns each run into one U+0020, so all whitespace is
+    mapped to U+0020 up front; later patterns then need only a plain space.
+    Steps whose pattern needs a literal ('http'/'www.', '@', '..', '-') or a
+    character at or above U+200D (emoji) are skipped on texts without it."""
+    t = F.translate(_c(c), _WS_NOT_SPACE, " " * len(_WS_NOT_SPACE))
+    t = _when_contains(t, ["http", "www."], lambda x: F.regexp_replace(x, r"https?://[^ ]+|www\.[^ ]+", ""))
     t = _when_contains(t, ["@"], lambda x: F.regexp_replace(x, rf"@{WORD}+", ""))
     t = F.replace(t, F.lit("#"), F.lit(""))
     src = "".join(a for a, _ in CHAR_MAP)
     dst = "".join(b for _, b in CHAR_MAP)
     t = F.translate(t, src, dst)
     t = F.replace(t, F.lit(ELLIPSIS[0]), F.lit(ELLIPSIS[1]))
-    t = F.regexp_replace(t, emoji_class(), "")
-    t = strip_ws(strip_chars(strip_chars(t, '"'), "'"))
-    t = _when_contains(t, [".."], lambda x: F.regexp_replace(x, rf"{WS}*\.{{2,}}{WS}*", " "))
-    t = _when_contains(t, ["-"], lambda x: F.regexp_replace(x, rf"{WS}+-{WS}+", " "))
-    t = F.translate(t, "\n\r", "  ")
-    t = F.regexp_replace(t, rf"{WS}+", " ")
-    t = strip_ws(strip_chars(strip_chars(strip_ws(t), '"'), "'"))
+    t = let(t, lambda x: F.when(x.rlike(r"[\x{200d}-\x{10ffff}]"), F.regexp_replace(x, emoji_class(), ""))
+            .otherwise(x))
+    t = F.btrim(strip_chars(strip_chars(t, '"'), "'"), F.lit(" "))
+    t = _when_contains(t, [".."], lambda x: F.regexp_replace(x, r" *\.{2,} *", " "))
+    t = _when_contains(t, ["-"], lambda x: F.regexp_replace(x, r" +- +", " "))
+    t = _when_contains(t, ["  "], lambda x: F.regexp_replace(x, r" {2,}", " "))
+    t = F.btrim(strip_chars(strip_chars(F.btrim(t, F.lit(" ")), '"'), "'"), F.lit(" "))
     return t
 
 
