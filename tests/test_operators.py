@@ -188,3 +188,21 @@ def test_day_range_param(spark):
     from ulasan.functions.dates import day_range
     got = spark.range(1).select(F.size(day_range("2025-01-30", "2025-02-02")).alias("n")).first().n
     assert got == 4
+
+
+def test_resume_after_a_killed_run_equals_one_run(spark):
+    from ulasan.catalog.model_q import offline_labeller
+    from ulasan.operators.labelling import label_job
+    from ulasan.session import scratch_path
+    rows = spark.createDataFrame([(i, "x" * (i % 7 + 2) + f" teks {i}") for i in range(100)],
+                                 "row_id long, text string")
+    one = scratch_path(spark, "state_one")
+    label_job(rows, one, offline_labeller)
+    full = {r.row_id: r.label for r in spark.read.parquet(one).collect()}
+    # a run that committed batch 0 and then died
+    killed = scratch_path(spark, "state_killed")
+    spark.read.parquet(one).filter(F.col("batch_id") == 0).write.parquet(killed)
+    label_job(rows, killed, offline_labeller)
+    resumed = spark.read.parquet(killed)
+    assert resumed.count() == 100 == resumed.select("row_id").distinct().count()
+    assert {r.row_id: r.label for r in resumed.collect()} == full
