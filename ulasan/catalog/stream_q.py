@@ -60,7 +60,29 @@ def demo_model(spark, sf):
     return OvoModel.load(spark, path)       # loaded once, used by every micro-batch
 
 
-@query("stream_score")
+def _score_lines_sql():
+    from .features_q import DEMO_B, TF_SQL
+    w = [f"((((term_id * 37 + {p} * 11) % 21) - 10) / 10.0)" for p in range(3)]
+    return TF_SQL + f"""
+  , lines AS (SELECT trim(l) AS text FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents)
+              WHERE trim(l) <> '' AND lower(trim(l)) NOT IN ('exit', 'quit', 'keluar')),
+  ln AS (SELECT row_number() OVER () AS lid, text FROM lines),
+  lt AS (SELECT lid, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS t FROM ln),
+  lterms AS (SELECT lid, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])))
+             AS term FROM lt),
+  ltf AS (SELECT lid, term, count(*) AS tf FROM lterms GROUP BY 1, 2),
+  lw AS (SELECT l.lid, v.term_id, (1 + ln(l.tf)) * v.idf AS raw FROM ltf l JOIN vocab v USING (term)),
+  lwn AS (SELECT lid, term_id, raw / sqrt(sum(raw * raw) OVER (PARTITION BY lid)) AS weight FROM lw),
+  sw AS (SELECT lid, {', '.join(f'sum(weight * {w[p]}) AS s{p}' for p in range(3))} FROM lwn GROUP BY lid),
+  sc AS (SELECT ln.text, {', '.join(f'coalesce(s{p}, 0) + {DEMO_B[p]} AS s{p}' for p in range(3))}
+         FROM ln LEFT JOIN sw USING (lid)),
+  v AS (SELECT text, (s0 > 0)::INT + (s1 > 0)::INT AS v_neg, (s0 <= 0)::INT + (s2 > 0)::INT AS v_net,
+               (s1 <= 0)::INT + (s2 <= 0)::INT AS v_pos FROM sc)
+  SELECT text, CASE WHEN v_neg >= v_net AND v_neg >= v_pos THEN 'negatif'
+                    WHEN v_net >= v_pos THEN 'netral' ELSE 'positif' END AS prediction FROM v"""
+
+
+@query("stream_score", _score_lines_sql())
 def stream_score_q(spark, sf):
     lines_dir = scratch_path(spark, "lines_in")
     tbl(spark, sf, "documents").select("text").repartition(4).write.text(lines_dir)
