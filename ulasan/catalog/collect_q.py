@@ -152,7 +152,27 @@ def greedy_candidates(spark, sf):
     return cand.select("day", "kw_rank", "event_id", "ts")
 
 
-@query("greedy_collection")
+def _greedy_sql():
+    """The sequential rule unrolled over the (fixed, short) keyword list."""
+    sets = ", ".join(f"({r + 1}, {lit(t)})" for r, (_, ts) in enumerate(KEYWORD_SETS) for t in ts)
+    parts = [f"""
+  cand AS (SELECT p.ts::DATE AS day, s.kw_rank, p.event_id, p.ts FROM events p
+           JOIN (VALUES {sets}) s(kw_rank, keyword) ON p.event_type = s.keyword
+           WHERE p.event_id NOT IN (SELECT event_id FROM events WHERE ts < TIMESTAMP '2024-01-03'))"""]
+    for r in range(1, len(KEYWORD_SETS) + 1):
+        taken = " UNION ALL ".join(f"SELECT event_id FROM t{q}" for q in range(1, r))
+        not_taken = f" AND event_id NOT IN ({taken})" if taken else ""
+        parts.append(f"""
+  t{r} AS (SELECT day, kw_rank, event_id, ts FROM cand
+           WHERE kw_rank = {r}{not_taken}
+           QUALIFY row_number() OVER (PARTITION BY day ORDER BY ts DESC, event_id DESC) <= {GREEDY_CAP})""")
+    union = " UNION ALL ".join(f"SELECT * FROM t{r}" for r in range(1, len(KEYWORD_SETS) + 1))
+    return ("WITH" + ",".join(parts) + f"""
+  SELECT strftime(day, '%Y-%m-%d') AS day, kw_rank, event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts
+  FROM ({union})""")
+
+
+@query("greedy_collection", _greedy_sql())
 def greedy_collection_q(spark, sf):
     out = greedy_collect(greedy_candidates(spark, sf), GREEDY_CAP, id_col="event_id")
     return out.select(day_string(F.col("day")).alias("day"), "kw_rank", "event_id",

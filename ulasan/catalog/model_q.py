@@ -98,7 +98,11 @@ def offline_labeller(prompts, texts):
     return out
 
 
-@query("label_batches")
+@query("label_batches", """
+  SELECT d.doc_id, coalesce(l.label, CASE length(d.text) % 3 WHEN 0 THEN 'negatif' WHEN 1 THEN 'netral'
+                                      ELSE 'positif' END) AS label
+  FROM documents d LEFT JOIN (SELECT doc_id, CASE WHEN toxic = 1 THEN 'negatif' WHEN quality = 1 THEN 'positif'
+                                                  ELSE 'netral' END AS label FROM labels) l USING (doc_id)""")
 def label_batches_q(spark, sf):
     """Documents not yet in the state (seeded from ``labels``)
     are batched, prompted, labelled by the pluggable labeller, parsed and
