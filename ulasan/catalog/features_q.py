@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import WORD
 from ..functions.text import bigrams, let, tokens
+from ..operators.counts import word_frequencies
 from ..operators.parallel import spread
 from ..plans import tfidf
 from ..plans.svm import PAIRS, ovo_vote, linear_scores
@@ -107,24 +108,10 @@ WORDS_SQL = f"""
 """
 
 
-def word_counts(spark, sf):
-    """Word-cloud words: ``\\w[\\w']*`` tokens, lower-cased, trailing
-    "'s" dropped, numbers and stop words removed."""
-    d = docs(spark, sf)
-    w = d.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"{WORD}[\\p{{L}}\\p{{N}}_']*"), 0))
-                 .alias("x"))
-    w = w.select(F.when(F.col("x").endswith("'s"), F.expr("substring(x, 1, length(x) - 2)"))
-                  .otherwise(F.col("x")).alias("word"))
-    w = w.filter(~F.col("word").isin(STOP_WORDS) & ~F.col("word").rlike("^[0-9]+$") & (F.col("word") != ""))
-    return w.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("word_frequencies", WORDS_SQL + f"""
   SELECT word, n, round(n / max(n) OVER (), 6) AS rel FROM (SELECT * FROM c ORDER BY n DESC, word LIMIT {TOP_WORDS})""")
 def word_frequencies_q(spark, sf):
-    top = tfidf.top_terms(word_counts(spark, sf).withColumnRenamed("word", "term"), TOP_WORDS)
-    return top.select(F.col("term").alias("word"), "n",
-                      F.round(F.col("n") / F.max("n").over(Window.partitionBy()), 6).alias("rel"))
+    return word_frequencies(docs(spark, sf), "text", TOP_WORDS, STOP_WORDS)
 
 
 @query("top_words", TF_SQL + f"""

@@ -6,14 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators.labelling import label_job, publish
 from ..operators.parallel import spread
-from ..operators.split import stratified_split
-from ..plans import tfidf
 from ..plans.evaluate import classification_report
-from ..plans.evaluate import best_param, macro_f1
-from ..operators.split import stratified_kfold
-from ..plans.svm import (LOCAL_FIT_MAX_ROWS, OvoModel, fit_local, fit_ovo, grid_predict_local, grid_search,
-                         task_rows, training_frame, weight_table)
-from ..session import materialize, scratch_path
+from ..plans.svm import OvoModel, train_classifier
+from ..session import scratch_path
 from . import query
 from .common import tbl
 from .labels_q import GRID_C, SEED, label_col, symbol_of
@@ -26,41 +21,10 @@ def labelled_docs(spark, sf):
 
 
 def train_model(spark, sf, Cs=None, k=5, max_iter=50, fit_scope="all"):
-    """Stratified 80/20 split, TF-IDF, stratified k-fold grid search on the
-    training part, refit with the best C. ``fit_scope="all"`` fits the
-    vocabulary on every labelled row (as the reference does, leaking test
-    terms into the idf); ``"train"`` fits it on the training rows only.
-    Small labelled sets train inside tasks, large ones with MLlib."""
+    """Train on the labelled documents of ``sf`` (see ``train_classifier``)."""
     ld = labelled_docs(spark, sf).cache()
-    split = stratified_split(ld.select("row_id", "label"), "row_id", seed=SEED).cache()
-    if fit_scope == "train":
-        tf = materialize(tfidf.doc_terms(ld, "row_id"), "term_counts")
-        fit_rows = split.filter(F.col("split") == "train").select("row_id")
-        vocab = tfidf.fit_vocab(tf.join(fit_rows, "row_id"), fit_rows.agg(F.count(F.lit(1))).scalar())
-        w = tfidf.transform(tf, vocab)
-    else:
-        vocab, w = tfidf.fit_transform(ld, "row_id")
-    vocab, w = vocab.cache(), w.select("row_id", "term_id", "weight").cache()
-    train_rows = split.filter(F.col("split") == "train").select("row_id", "label")
-    n_train = train_rows.count()
-    dim = tfidf.MAX_FEATURES
-    Cs = Cs or GRID_C
-    if n_train <= LOCAL_FIT_MAX_ROWS:
-        rows = task_rows(w, train_rows).cache()
-        folds = stratified_kfold(train_rows, "row_id", k=k).select("row_id", "fold")
-        # the evaluation reads the predictions several times: train once
-        pred = materialize(grid_predict_local(rows, folds, Cs, k, dim), "grid_predictions")
-        res = best_param(macro_f1(pred, ["gi", "C", "fold"]), "C", "gi").cache()
-        best_c = res.filter("is_best").first()["C"]
-        coefs, bs = fit_local(rows, best_c, dim)
-    else:
-        from ..plans.svm import size_partitions
-        train = size_partitions(training_frame(w, train_rows, dim), n_train).cache()
-        res = grid_search(train, w, spark, Cs, k=k, max_iter=max_iter)
-        best_c = res.filter("is_best").first()["C"]
-        coefs, bs = fit_ovo(train, best_c, max_iter)
-    weights = weight_table(spark, coefs).join(F.broadcast(vocab.select("term_id")), "term_id")
-    return OvoModel(vocab, weights, bs, best_c), split, ld, res
+    model, split, res = train_classifier(ld, Cs or GRID_C, k=k, max_iter=max_iter, fit_scope=fit_scope, seed=SEED)
+    return model, split, ld, res
 
 
 @query("svm_grid_predict")

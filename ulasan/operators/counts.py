@@ -27,3 +27,24 @@ def with_share(counts: DataFrame, name: str = "n", out: str = "share", digits: i
     count table may be of any size."""
     tot = counts.agg(F.sum(name)).scalar()
     return counts.withColumn(out, F.round(F.col(name) / tot, digits))
+
+
+def word_counts(docs: DataFrame, text_col: str = "text", stop_words=()) -> DataFrame:
+    """D20 word counts: ``\\w[\\w']*`` tokens, lower-cased, trailing "'s"
+    dropped, pure numbers and ``stop_words`` removed; partially aggregated."""
+    from ..functions.patterns import WORD
+    w = docs.select(F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(f"{WORD}[\\p{{L}}\\p{{N}}_']*"), 0))
+                    .alias("x"))
+    w = w.select(F.when(F.col("x").endswith("'s"), F.expr("substring(x, 1, length(x) - 2)"))
+                  .otherwise(F.col("x")).alias("word"))
+    w = w.filter(~F.col("word").isin(list(stop_words)) & ~F.col("word").rlike("^[0-9]+$") & (F.col("word") != ""))
+    return w.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def word_frequencies(docs: DataFrame, text_col: str = "text", n: int = 80, stop_words=()) -> DataFrame:
+    """The ``n`` most frequent words (ties: word) with the relative
+    frequency ``n / max(n)`` used for word-cloud sizing."""
+    from ..plans.tfidf import top_terms
+    top = top_terms(word_counts(docs, text_col, stop_words).withColumnRenamed("word", "term"), n)
+    mx = top.agg(F.max("n")).scalar()
+    return top.select(F.col("term").alias("word"), "n", F.round(F.col("n") / mx, 6).alias("rel"))

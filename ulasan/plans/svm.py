@@ -295,3 +295,47 @@ def fit_local(rows: DataFrame, C: float, dim: int) -> tuple[list[list[float]], l
     out = rows.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(
         run, "pair int, coef array<double>, b double").orderBy("pair").collect()
     return [list(r["coef"]) for r in out], [float(r["b"]) for r in out]
+
+
+def train_classifier(labelled: DataFrame, Cs: list[float], k: int = 5, max_iter: int = 50,
+                     fit_scope: str = "all", seed: int = 42, test_size: float = 0.2):
+    """I01-I05 end to end on ``(row_id, text, label)``: stratified split,
+    TF-IDF (``fit_scope="all"`` fits the vocabulary on every labelled row as
+    the reference does, leaking test terms into the idf; ``"train"`` fits it
+    on the training rows only), stratified k-fold grid search over ``Cs`` on
+    the training part, refit with the best C.
+
+    Training path by size: up to ``LOCAL_FIT_MAX_ROWS`` training rows the
+    fits run inside tasks (one group per held-out fold), beyond it MLlib
+    ``LinearSVC`` trains each pair distributed. Returns ``(model, split,
+    grid_scores)``."""
+    from ..operators.split import stratified_split
+    from ..session import materialize
+    spark = labelled.sparkSession
+    split = stratified_split(labelled.select("row_id", "label"), "row_id", test_size=test_size, seed=seed).cache()
+    if fit_scope == "train":
+        tf = materialize(tfidf.doc_terms(labelled, "row_id"), "term_counts")
+        fit_rows = split.filter(F.col("split") == "train").select("row_id")
+        vocab = tfidf.fit_vocab(tf.join(fit_rows, "row_id"), fit_rows.agg(F.count(F.lit(1))).scalar())
+        w = tfidf.transform(tf, vocab)
+    else:
+        vocab, w = tfidf.fit_transform(labelled, "row_id")
+    vocab, w = vocab.cache(), w.select("row_id", "term_id", "weight").cache()
+    train_rows = split.filter(F.col("split") == "train").select("row_id", "label")
+    n_train = train_rows.count()
+    dim = tfidf.MAX_FEATURES
+    if n_train <= LOCAL_FIT_MAX_ROWS:
+        rows = task_rows(w, train_rows).cache()
+        folds = stratified_kfold(train_rows, "row_id", k=k).select("row_id", "fold")
+        # the evaluation reads the predictions several times: train once
+        pred = materialize(grid_predict_local(rows, folds, Cs, k, dim), "grid_predictions")
+        res = best_param(macro_f1(pred, ["gi", "C", "fold"]), "C", "gi").cache()
+        best_c = res.filter("is_best").first()["C"]
+        coefs, bs = fit_local(rows, best_c, dim)
+    else:
+        train = size_partitions(training_frame(w, train_rows, dim), n_train).cache()
+        res = grid_search(train, w, spark, Cs, k=k, max_iter=max_iter)
+        best_c = res.filter("is_best").first()["C"]
+        coefs, bs = fit_ovo(train, best_c, max_iter)
+    weights = weight_table(spark, coefs).join(F.broadcast(vocab.select("term_id")), "term_id")
+    return OvoModel(vocab, weights, bs, best_c), split, res
