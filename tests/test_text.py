@@ -62,3 +62,17 @@ def test_term_counts_equal_counter(spark):
         tk = re.findall(r"\w{2,}", t.lower())
         exp = Counter(tk + [f"{a} {b}" for a, b in zip(tk, tk[1:])])
         assert got[i] == dict(exp)
+
+
+def test_long_texts_match_python(spark):
+    alphabet = list(" \t\n\r 　 \u0085\x1c.-\"'#@&;:/_“”‘’–—…\U0001f600‍️⭐⌚abcxyzéß01") + \
+        ["&amp;", "&lt;", "https://t.co/", "www.", "&copy", "&#39;", "@user", "#tag", "..", " - ", "  "]
+    rnd = random.Random(11)
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(200, 2000))) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r.id: r.c for r in clean_text_df(df, "text", "c").collect()}
+    kept = {r.id for r in clean_and_filter(df, "text").collect()}
+    for i, t in enumerate(texts):
+        exp = clean(t)
+        assert got[i] == exp
+        assert (i in kept) == (len(exp.split()) >= 2 and len(exp) >= 5)
