@@ -180,6 +180,8 @@ def ngrams(tk: Column, n: int) -> Column:
     """Contiguous n-token sequences joined by a space."""
     if n == 1:
         return tk
+    if n == 2:
+        return bigrams(tk)
     return let(tk, lambda t: F.when(F.size(t) < n, F.array().cast("array<string>")).otherwise(
         F.transform(F.sequence(F.lit(0), F.size(t) - n),
                     lambda i: F.array_join(F.slice(t, i + 1, n), " "))))
