@@ -15,10 +15,11 @@ ORACLE: dict[str, str] = {}
 def prepare(spark) -> None:
     """Session settings the queries rely on: UTC (the oracle is zone-naive)
     and a known checkpoint folder (set only when the session has none)."""
-    from ..session import ensure_checkpoint_dir
+    from ..session import ensure_checkpoint_dir, ship_package
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
 
 
 def query(name: str, sql: str | None = None):
