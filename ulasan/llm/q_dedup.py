@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
+from .fingerprint import edited_pairs, hex_string, likeness
 from .registry import query
 from .simhash import simhash_groups
 
@@ -14,3 +15,13 @@ def op7(spark, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash_groups(table(spark, sf_dir, "documents")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op6_document_fingerprint")
+def op6(spark, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and their likeness."""
+    rows = edited_pairs(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), hex_string(F.col("fp")).alias("fingerprint"),
+        hex_string(F.col("edited_fp")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
+        likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
