@@ -1,10 +1,12 @@
-"""Queries on secrets (4), quality (8) and shards (10)."""
+"""Queries on secrets (4), neighbours (5), quality (8) and shards (10)."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
+from .neighbours import nearest
+from .quality import THRESHOLD, score_statistics, train
 from .registry import query
 from .secret_scan import listed, secret_spans
 from .sharding import MAX_BYTES, shard
@@ -37,3 +39,17 @@ QUALIFY row_number() OVER (PARTITION BY rid ORDER BY depth) = 1
 def op10(spark, sf_dir: str) -> DataFrame:
     """The shard of every document."""
     return shard(table(spark, sf_dir, "documents"))
+
+
+@query("op5_nearest_neighbours")
+def op5(spark, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every vector whose id is divisible by 100."""
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query("op8_quality_classifier")
+def op8(spark, sf_dir: str) -> DataFrame:
+    """Score and decision of every document."""
+    stats, model = train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return score_statistics(stats, model).select(
+        "doc_id", (F.col("fold") == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
