@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .fingerprint import edited_pairs, hex_string, likeness
+from .line_dedup import dedup_lines
 from .registry import query
 from .simhash import simhash_groups
 
@@ -25,3 +26,10 @@ def op6(spark, sf_dir: str) -> DataFrame:
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), hex_string(F.col("fp")).alias("fingerprint"),
         hex_string(F.col("edited_fp")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
         likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
+
+
+@query("op2_line_dedup")
+def op2(spark, sf_dir: str) -> DataFrame:
+    """Every document without its repeated and near-repeated lines."""
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True).select(
+        "doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
