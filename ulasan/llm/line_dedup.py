@@ -2,8 +2,10 @@
 component stays.
 
 A line is compared in lower case with white space collapsed; blank lines are
-left alone. Two lines link if the Jaccard similarity of their sets of five
+left alone. Two lines link if the Jaccard similarity of their sets of eight
 character shingles is ``NEAR`` = 0.8 or more (a shorter line is one shingle).
+Shorter shingles are so common that unrelated lines of one language would share
+bands, ever more of them as the corpus grows.
 
 1. Equal lines: every occurrence has a 128-bit hash of its line; the first
    occurrence of each hash is aggregated (map side first).
@@ -41,7 +43,7 @@ from .common import shuffle_partitions, whole_text
 from .components import components
 
 NEAR = 0.8
-SHINGLE = 5
+SHINGLE = 8
 ROWS, BANDS = 4, 10
 CHUNK = 1024
 #: Distinct lines with a shared band up to which their hashes are broadcast (16 bytes each).
