@@ -9,6 +9,7 @@ from .fingerprint import edited_pairs, hex_string, likeness
 from .line_dedup import dedup_lines
 from .registry import query
 from .simhash import simhash_groups
+from .substring_dedup import remove_repeats
 
 
 @query("op7_simhash")
@@ -33,3 +34,10 @@ def op2(spark, sf_dir: str) -> DataFrame:
     """Every document without its repeated and near-repeated lines."""
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True).select(
         "doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op3_suffix_array_dedup")
+def op3(spark, sf_dir: str) -> DataFrame:
+    """Every document without the 50-byte strings of earlier documents."""
+    return remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
