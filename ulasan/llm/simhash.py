@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -69,13 +69,15 @@ def fingerprint(text: bytes, words: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """``(doc_id, fp)``, the fingerprint as a signed long."""
+    """``(doc_id, text_hash, fp)``, the fingerprint as a signed long."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.encode("utf-8"), words) for t in batch.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(t.encode("utf-8"), words) for t in batch.column(2).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, "doc_id long, fp long")
+    text = whole_text()
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(
+        run, "doc_id long, text_hash long, fp long")
 
 
 def golay_decoder() -> np.ndarray:
@@ -147,10 +149,24 @@ def links(reps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def simhash_groups(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """One row per document: ``doc_id, fp, component_id`` (the smallest doc_id
-    that can be reached over links, itself included)."""
+    """One row per document: ``doc_id, text_hash, fp, component_id`` (the
+    smallest doc_id that can be reached over links, itself included)."""
     fps = materialize(fingerprints(docs, words), "simhash")
     reps = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL"), "simhash")
     roots = components(links(reps, max_bits))
     where = reps.join(roots, reps["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return fps.join(where, "fp", "left").select("doc_id", "fp", "component_id")
+    return fps.join(where, "fp", "left").select("doc_id", "text_hash", "fp", "component_id")
+
+
+def one_of_each_group(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``docs`` with the smallest doc_id of their component; of
+    rows that share that id, the one with the smallest text hash."""
+    groups = materialize(simhash_groups(docs, words, max_bits), "simhash")
+    alone = F.when(F.col("component_id").isNull(), F.col("fp"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
+    stay = groups.groupBy("component_id", alone.alias("alone")).agg(first.alias("s")).select(
+        F.col("s.doc_id").alias("__id"), F.col("s.text_hash").alias("__hash"))
+    keyed = docs.withColumns({"__doc": docs["doc_id"].cast("long"), "__text": F.xxhash64(F.coalesce(docs["text"], F.lit("")))})
+    kept = keyed.join(stay, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash")), "left_semi")
+    w = Window.partitionBy("__doc", "__text").orderBy(F.lit(1))
+    return kept.withColumn("__row", F.row_number().over(w)).where("__row = 1").select(*docs.columns)
