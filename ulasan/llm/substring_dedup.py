@@ -46,6 +46,8 @@ BLOCK_BYTES = 16 << 20
 #: Bytes of text whose minimizers are computed at once.
 CHUNK_BYTES = 2 << 20
 ID_BITS = 48
+#: Ranges of minimizers for each block, so that a range's segments stay few.
+BUCKETS_PER_BLOCK = 4
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -345,14 +347,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row per row: ``doc_id, n_bytes, n_removed, n_spans, kept`` (bytes)."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(shuffle_partitions(docs.sparkSession), math.ceil(total / BLOCK_BYTES))
+    buckets = BUCKETS_PER_BLOCK * blocks
     text = whole_text()
     dealt = docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long"), text), F.lit(blocks)).cast("int").alias("block"),
                         F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).groupBy("block")
     answer = "block int, kind int, bucket int, data binary"
-    shared = (dealt.applyInArrow(_minimizer_rows(blocks), "bucket int, block int, ids binary")
+    shared = (dealt.applyInArrow(_minimizer_rows(buckets), "bucket int, block int, ids binary")
               .groupBy("bucket").applyInArrow(_shared_rows, answer))
     minima = (dealt.cogroup(shared.groupBy("block"))
-              .applyInArrow(_segment_rows(blocks), "bucket int, block int, ids binary, least binary, sizes binary, body binary")
+              .applyInArrow(_segment_rows(buckets), "bucket int, block int, ids binary, least binary, sizes binary, body binary")
               .groupBy("bucket").applyInArrow(_minima_rows, answer))
     return dealt.cogroup(shared.unionByName(minima).groupBy("block")).applyInArrow(
         _kept_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
