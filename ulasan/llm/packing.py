@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from array import array
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 
@@ -62,40 +63,42 @@ class WordTokenizer:
     encoded once and kept."""
 
     def __init__(self, spec: str):
+        import os
+
         import regex
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"      # a task has one core
         self.lib = Tokenizer.from_str(spec)
         self.lib.no_truncation()
         self.lib.no_padding()
         self.words = regex.compile(r"\S+").findall
+        self.separators = regex.compile("[\x1c-\x1f]").search   # blanks to str.split alone
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def learn(self, words: list[str]) -> dict[str, bytes]:
-        ids = self.lib.encode_batch_fast(words, add_special_tokens=False)
-        return {w: np.array(x.ids, dtype="<u4").tobytes() for w, x in zip(words, ids)}
+    def _learn(self, missing: set[str]) -> None:
+        new = {w: self.old[w] for w in missing if w in self.old}
+        rest = [w for w in missing if w not in new]
+        found = self.lib.encode_batch_fast(rest, add_special_tokens=False)
+        new.update(zip(rest, [array("I", x.ids).tobytes() for x in found]))
+        if len(self.young) + len(new) > MEMO:
+            self.old, self.young = self.young, new
+        else:
+            self.young.update(new)
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        split = [self.words(t) for t in texts]
-        young, new = self.young, {}
-        missing = {w for ws in split for w in ws if w not in young}
-        for w in list(missing):
-            if w in self.old:
-                new[w] = self.old[w]
-                missing.discard(w)
-        if missing:
-            new |= self.learn(list(missing))
-        if len(young) + len(new) > MEMO:
-            known = young | new
-            out = [b"".join([known[w] for w in ws]) for ws in split]
-            self.old, self.young = young, {w: x for w, x in new.items() if len(w) <= 64}
-            return out
-        long_words = [w for w in new if len(w) > 64]
-        young |= new
-        out = [b"".join([young[w] for w in ws]) for ws in split]
-        for w in long_words:
-            del young[w]
+        out = []
+        for k in range(0, len(texts), 64):
+            split = [self.words(t) if self.separators(t) else t.split() for t in texts[k:k + 64]]
+            known = self.young
+            got = [list(map(known.get, ws)) for ws in split]
+            missing = {w for ws, ids in zip(split, got) if None in ids for w, x in zip(ws, ids) if x is None}
+            if missing:
+                self._learn(missing)
+                more = self.young
+                got = [ids if None not in ids else [more[w] if x is None else x for w, x in zip(ws, ids)] for ws, ids in zip(split, got)]
+            out += [b"".join(ids) for ids in got]
         return out
 
 
