@@ -100,8 +100,6 @@ def signatures(lines: list[str], seed: int = 11) -> np.ndarray:
     for p in range(ROWS * BANDS):
         x = h * mult[p]
         x += plus[p]
-        x ^= x >> np.uint32(15)
-        x *= np.uint32(0x2C1B3C6D)
         b = p // ROWS
         bands[:, b] = (bands[:, b] ^ np.minimum.reduceat(x, at).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         bands[:, b] ^= bands[:, b] >> np.uint64(31)
@@ -194,33 +192,35 @@ def bucket_links(nodes: list[int], lines: list[str], right: list[bool] | None =
 
 
 def _verify(buckets: DataFrame) -> DataFrame:
-    """Links within each ``(band, ci, cj)`` of ``(..., c, node, line)``; the rows
-    of a bucket stand together in a partition and are read one bucket at a time."""
+    """Links within each ``bucket`` of ``(bucket, two, right, node, line)``; the
+    rows of a bucket stand together in a partition and are read one bucket at a
+    time. ``two``: only left and right lines need comparing."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
 
         def done() -> list[tuple[int, int]]:
             if len(held) < 2:
                 return []
-            two = key[1] != key[2]
-            return bucket_links([h[1] for h in held], [h[2] for h in held], [h[0] == key[2] for h in held] if two else None)
+            return bucket_links([h[1] for h in held], [h[2] for h in held], [h[0] for h in held] if key[1] else None)
+
+        def rows(links: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
             links = []
-            for band, ci, cj, c, node, line in zip(*[col.to_pylist() for col in batch.columns]):
-                if (band, ci, cj) != key:
+            for bucket, two, right, node, line in zip(*[col.to_pylist() for col in batch.columns]):
+                if (bucket, two) != key:
                     links += done()
-                    key, held = (band, ci, cj), []
-                held.append((c, node, line))
+                    key, held = (bucket, two), []
+                held.append((right, node, line))
             if links:
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+                yield rows(links)
         links = done()
         if links:
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            yield rows(links)
 
-    keys = ["band", "ci", "cj"]
-    together = buckets.repartition(shuffle_partitions(buckets.sparkSession), *keys).sortWithinPartitions(*keys, "node")
-    return together.select(*keys, "c", "node", "line").mapInArrow(run, "a long, b long")
+    together = buckets.repartition(shuffle_partitions(buckets.sparkSession), "bucket", "two").sortWithinPartitions("bucket", "two", "node")
+    return together.select("bucket", "two", "right", "node", "line").mapInArrow(run, "a long, b long")
 
 
 def near_lines(keyed: DataFrame) -> DataFrame:
@@ -233,13 +233,18 @@ def near_lines(keyed: DataFrame) -> DataFrame:
     few = keys.count() <= BROADCAST_KEYS
     found = _lines(keyed).join(F.broadcast(keys) if few else keys, "k1").dropDuplicates(["k1", "k2"])
     lines = materialize(found.withColumn("node", F.monotonically_increasing_id()), "lines-text")
-    buckets = members.join(lines, "k1").select("band", "node", "line")
+    buckets = members.join(lines.select("k1", "node"), "k1").select("band", "node")
     chunks = buckets.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("n"))
     c, n, other = F.col("c"), F.col("n"), F.col("x")
     dealt = (buckets.join(chunks, "band").withColumn("c", F.pmod(F.xxhash64("node"), n).cast("int"))
              .withColumn("x", F.explode(F.sequence(F.lit(0), n - 1)))
-             .select("band", F.least(c, other).alias("ci"), F.greatest(c, other).alias("cj"), "c", "node", "line"))
-    roots = components(_verify(dealt))
+             .select("band", F.least(c, other).alias("ci"), F.greatest(c, other).alias("cj"), "c", "node"))
+    # many bands give the same bucket: each set of lines (two chunks at most) is compared once
+    sets = (dealt.groupBy("band", "ci", "cj")
+            .agg(F.sort_array(F.collect_list(F.struct("node", (F.col("c") == F.col("cj")).alias("right")))).alias("members"))
+            .where(F.size("members") > 1).select("members", (F.col("ci") < F.col("cj")).alias("two")).dropDuplicates(["members", "two"]))
+    rows = sets.select(F.xxhash64("members").alias("bucket"), "two", F.explode("members").alias("m")).select("bucket", "two", "m.node", "m.right")
+    roots = components(_verify(rows.join(lines.select("node", "line"), "node")))
     return materialize(lines.join(roots, "node").select("k1", "k2", "root"), "lines-near")
 
 
