@@ -33,6 +33,7 @@ import zlib
 from array import array
 from bisect import bisect_right, insort
 from collections.abc import Iterator
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +48,10 @@ BLOCK_TOKENS = 1 << 21
 #: Tokens that one step takes.
 STEP_TOKENS = 64 * WINDOW
 END_ID = 1
+#: ASCII marks that can stand behind a word; not the apostrophe, which joins endings.
+MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and c != 39)
 #: Words kept with their ids in each worker (two generations of this size).
-MEMO = 400_000
+MEMO = 700_000
 
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
@@ -77,11 +80,38 @@ class WordTokenizer:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    @staticmethod
+    def _parts(word: str) -> tuple[str, str]:
+        """The word's core, which many words share, and the ASCII marks behind
+        it: the vocabulary's pattern cuts between a letter or digit and a mark,
+        and lowers all letters."""
+        if "<|" in word:                                    # may be a special token
+            return word, ""
+        core = word.rstrip(MARKS)
+        if not core or not (core[-1].isalnum() and (core[-1].isascii() or normalize("NFC", core[-1].lower())[-1].isalnum())):
+            core = word
+        return core.lower() if core.isascii() else core, word[len(core):]
+
     def _learn(self, missing: set[str]) -> None:
         new = {w: self.old[w] for w in missing if w in self.old}
-        rest = [w for w in missing if w not in new]
+        young, old = self.young, self.old
+        words = [w for w in missing if w not in new]
+        cores, tails = [], []
+        for w in words:
+            core, tail = self._parts(w)
+            cores.append(core)
+            tails.append(tail)
+        rest = []
+        for x in {*cores, *tails} - young.keys():
+            if x in old:
+                new[x] = old[x]
+            elif x not in new:
+                rest.append(x)
         found = self.lib.encode_batch_fast(rest, add_special_tokens=False)
         new.update(zip(rest, [array("I", x.ids).tobytes() for x in found]))
+        for w, core, tail in zip(words, cores, tails):
+            ids = new[core] if core in new else young[core]
+            new[w] = ids + (new[tail] if tail in new else young[tail]) if tail else ids
         if len(self.young) + len(new) > MEMO:
             self.old, self.young = self.young, new
         else:
@@ -96,8 +126,8 @@ class WordTokenizer:
             missing = {w for ws, ids in zip(split, got) if None in ids for w, x in zip(ws, ids) if x is None}
             if missing:
                 self._learn(missing)
-                more = self.young
-                got = [ids if None not in ids else [more[w] if x is None else x for w, x in zip(ws, ids)] for ws, ids in zip(split, got)]
+                learned = self.young
+                got = [ids if None not in ids else [learned[w] if x is None else x for w, x in zip(ws, ids)] for ws, ids in zip(split, got)]
             out += [b"".join(ids) for ids in got]
         return out
 
