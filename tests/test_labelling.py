@@ -60,3 +60,25 @@ def test_random_responses_match_python(spark):
     got = _run(spark, rows)
     for i, (raw, n) in enumerate(rows):
         assert got[i] == parse(raw, n), raw
+
+
+def test_no_response_null_text_and_overlapping_state(spark):
+    from pyspark.sql import functions as F
+    from ulasan.operators import labelling as lb
+    r = spark.createDataFrame([(None, 2), ("[]", 0), ('[{"index":0,"label":"positif"}]', 2)], "raw string, n int").select(
+        lb.parse_response(F.col("raw"), F.col("n")).alias("r")).collect()
+    assert [x.r.status for x in r] == ["retry", "ok", "ok"] and r[0].r.labels is None and r[1].r.labels == [] and r[2].r.labels == ["positif", "netral"]
+    p = spark.createDataFrame([(["a", None, "c"],)], "t array<string>").select(lb.prompt_text(F.col("t")).alias("p")).first().p
+    assert "[0] a\n[1] \n[2] c" in p
+    rows = spark.createDataFrame([(1,), (2,), (3,)], "row_id long")
+    state = spark.createDataFrame([(1, "positif", 1), (1, "negatif", 2), (2, None, 3)], "row_id long, label string, labelled_at long")
+    assert {x.row_id: x.label for x in lb.publish(rows, state).collect()} == {1: "negatif", 2: "netral", 3: "netral"}
+    assert {x.row_id for x in lb.pending_rows(rows, state).collect()} == {2, 3}
+
+
+def test_labeller_gets_both_prompts(spark):
+    from ulasan.operators import labelling as lb
+    df = spark.createDataFrame([(0, 1, [7], ["teks"])], "batch_id long, n int, row_ids array<long>, texts array<string>")
+    echo = lambda messages, texts: [m["system"] + "|" + m["user"] for m in messages]
+    raw = lb.run_labeller(lb.build_prompts(df), echo).first().raw
+    assert raw.startswith(lb.SYSTEM_PROMPT + "|") and "[0] teks" in raw

@@ -135,11 +135,10 @@ def collection_rollup_q(spark, sf):
 
 @query("latest_first", """
   SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, event_type FROM events
-  ORDER BY ts DESC, event_id DESC LIMIT 100""")
+  ORDER BY ts DESC, event_id DESC""")
 def latest_first_q(spark, sf):
-    # top-k report: the limit is the feature (planned as TakeOrderedAndProject)
     e = tbl(spark, sf, "events")
-    return (e.orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(100)
+    return (e.orderBy(F.col("ts").desc(), F.col("event_id").desc())
              .select("event_id", ts_string(F.col("ts").cast("timestamp")).alias("ts"), "event_type"))
 
 

@@ -103,14 +103,14 @@ def length_filter_q(spark, sf):
 
 
 @query("text_scalars", f"""
-  SELECT CAST(doc_id AS VARCHAR) AS id_str, left(lower({q.strip_ws('text')}), 40) AS head,
+  SELECT CAST(doc_id AS VARCHAR) AS id_str, lower({q.strip_ws('text')}) AS head,
          {q.word_count('text')} AS words, round(length(text) / greatest({q.word_count('text')}, 1), 4) AS chars_per_word
   FROM documents""")
 def text_scalars_q(spark, sf):
     d = tbl(spark, sf, "documents")
     wc = word_count("text")
     return d.select(F.col("doc_id").cast("string").alias("id_str"),
-                    F.left(F.lower(strip_ws("text")), F.lit(40)).alias("head"),
+                    F.lower(strip_ws("text")).alias("head"),
                     wc.cast("long").alias("words"),
                     F.round(F.length("text") / F.greatest(wc, F.lit(1)), 4).alias("chars_per_word"))
 

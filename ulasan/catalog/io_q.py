@@ -15,8 +15,8 @@ DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long
 def csv_copy(spark, sf):
     path = scratch_path(spark, "docs_csv")
     d = tbl(spark, sf, "documents")
-    write_csv(d.filter(F.col("lang") == "en"), path, "overwrite")      # sink created
-    write_csv(d.filter(F.col("lang") != "en"), path, "append")         # then appended
+    write_csv(d.filter(F.col("lang").eqNullSafe("en")), path, "overwrite")      # sink created
+    write_csv(d.filter(~F.col("lang").eqNullSafe("en")), path, "append")         # then appended
     return path
 
 

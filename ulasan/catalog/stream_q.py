@@ -11,6 +11,7 @@ from ..plans.svm import OvoModel
 from ..session import scratch_path
 from ..streaming.jobs import daily_counts, dedupe_ingest, score_stream
 from . import query
+from . import sqlgen as q
 from .common import tbl
 
 EVENT_SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
@@ -64,8 +65,8 @@ def _score_lines_sql():
     from .features_q import DEMO_B, TF_SQL
     w = [f"((((term_id * 37 + {p} * 11) % 21) - 10) / 10.0)" for p in range(3)]
     return TF_SQL + f"""
-  , lines AS (SELECT trim(l) AS text FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents)
-              WHERE trim(l) <> '' AND lower(trim(l)) NOT IN ('exit', 'quit', 'keluar')),
+  , lines AS (SELECT {q.strip_ws('l')} AS text FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents)
+              WHERE {q.strip_ws('l')} <> '' AND lower({q.strip_ws('l')}) NOT IN ('exit', 'quit', 'keluar')),
   ln AS (SELECT row_number() OVER () AS lid, text FROM lines),
   lt AS (SELECT lid, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS t FROM ln),
   lterms AS (SELECT lid, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])))

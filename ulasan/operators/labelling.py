@@ -54,10 +54,20 @@ def assign_batches(rows: DataFrame, order: list[Column], size: int = BATCH_SIZE)
 
 
 def pending_rows(rows: DataFrame, state: DataFrame | None) -> DataFrame:
-    """Rows whose ``row_id`` has no label in the state."""
+    """Rows whose ``row_id`` has no label in the state (a NULL label
+    is none)."""
     if state is None:
         return rows
-    return rows.join(state.select("row_id"), "row_id", "left_anti")
+    done = state.where("label IS NOT NULL") if "label" in state.columns else state
+    return rows.join(done.select("row_id"), "row_id", "left_anti")
+
+
+def latest_labels(state: DataFrame) -> DataFrame:
+    """``(row_id, label)`` of an append-only state: the newest label of each
+    row that is not NULL, so that overlapping runs count once."""
+    when = F.col("labelled_at") if "labelled_at" in state.columns else F.lit(0)
+    return (state.where("label IS NOT NULL").groupBy("row_id")
+            .agg(F.max(F.struct(when.alias("at"), "label"))["label"].alias("label")))
 
 
 def batch_rows(positioned: DataFrame, text: str = "text") -> DataFrame:
@@ -73,7 +83,7 @@ def prompt_text(texts: Column) -> Column:
     """Numbered lines ``[i] text`` (i restarts at 0 in every batch)
     inside the user prompt template."""
     lines = F.array_join(F.transform(texts, lambda t, i: F.concat(
-        F.lit("["), i.cast("string"), F.lit("] "), t)), "\n")
+        F.lit("["), i.cast("string"), F.lit("] "), F.coalesce(t, F.lit("")))), "\n")
     head = F.replace(F.lit(PROMPT_HEAD), F.lit("{count}"), F.size(texts).cast("string"))
     return F.concat(head, lines, F.lit(PROMPT_TAIL))
 
@@ -126,7 +136,7 @@ def parse_response(raw: Column, n: Column) -> Column:
 
     status: ``ok`` (labels by index, last write wins, ``netral`` elsewhere),
     ``fallback_netral`` (no parseable array: all ``netral``), ``retry`` (valid
-    JSON of the wrong shape; the reference raises and retries, labels NULL).
+    JSON of the wrong shape, or no response at all; labels NULL).
 
     A strictly valid array equals its own first-'['-to-last-']' extract, so
     parsing the extract covers both the direct and the regex path."""
@@ -135,7 +145,7 @@ def parse_response(raw: Column, n: Column) -> Column:
                         n_items.cast("int").alias("n_items"))
 
     def by_index(items: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), n - 1), lambda p: F.coalesce(
+        return F.transform(F.slice(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), 1, n), lambda p: F.coalesce(
             F.try_element_at(F.filter(items, lambda it: it["idx"] == p), F.lit(-1))["label"], F.lit(DEFAULT_LABEL)))
 
     def with_items(s: Column, arr: Column, items: Column) -> Column:
@@ -155,8 +165,9 @@ def parse_response(raw: Column, n: Column) -> Column:
                                                  F.lit("array<variant>")))
         return let(arr, lambda a: with_array(s, a))
 
-    return let(unfence(raw), lambda s: let(F.regexp_extract(s, r"(?s)\[.*\]", 0),
-                                           lambda e: with_extract(s, e)))
+    parsed = let(unfence(raw), lambda s: let(F.regexp_extract(s, r"(?s)\[.*\]", 0),
+                                             lambda e: with_extract(s, e)))
+    return F.when(raw.isNull(), result("retry", F.lit(None))).otherwise(parsed)
 
 
 def parse_responses(responses: DataFrame) -> DataFrame:
@@ -169,15 +180,17 @@ def parse_responses(responses: DataFrame) -> DataFrame:
 
 
 # --- the labeller hook and state --------------------------------------------------------
-def run_labeller(prompts: DataFrame, labeller: Callable[[list[str], list[list[str]]], list[str]]) -> DataFrame:
-    """Call ``labeller(prompts, texts)`` → raw responses inside executor
-    Python workers, one Arrow batch of prompt rows at a time."""
+def run_labeller(prompts: DataFrame, labeller: Callable[[list[dict], list[list[str]]], list[str]]) -> DataFrame:
+    """Call ``labeller(messages, texts)`` → raw responses inside executor
+    Python workers, one Arrow batch of prompt rows at a time; each message has
+    the ``system`` and the ``user`` prompt."""
     def fn(it):
         for pdf in it:
-            raws = labeller(list(pdf["prompt"]), [list(t) for t in pdf["texts"]])
+            messages = [{"system": s, "user": u} for s, u in zip(pdf["system"], pdf["prompt"])]
+            raws = labeller(messages, [list(t) for t in pdf["texts"]])
             yield pd.DataFrame({"batch_id": pdf["batch_id"], "n": pdf["n"], "row_ids": pdf["row_ids"],
                                 "raw": raws})
-    return prompts.select("batch_id", "n", "row_ids", "prompt", "texts").mapInPandas(
+    return prompts.select("batch_id", "n", "row_ids", "system", "prompt", "texts").mapInPandas(
         fn, "batch_id long, n int, row_ids array<long>, raw string")
 
 
@@ -195,8 +208,7 @@ def labels_from_responses(responses: DataFrame) -> DataFrame:
 def publish(rows: DataFrame, state: DataFrame) -> DataFrame:
     """Every row with its label; rows without one show ``netral`` (only
     in this published view, the state keeps them unlabelled)."""
-    lab = state.select("row_id", "label")
-    return rows.join(lab, "row_id", "left").withColumn("label", F.coalesce("label", F.lit(DEFAULT_LABEL)))
+    return rows.join(latest_labels(state), "row_id", "left").withColumn("label", F.coalesce("label", F.lit(DEFAULT_LABEL)))
 
 
 def label_job(rows: DataFrame, state_path: str, labeller, order: list[Column] | None = None,

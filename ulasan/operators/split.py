@@ -41,9 +41,9 @@ def split_sizes(df: DataFrame, label: str = "label", test_size: float = 0.2) ->
     everyone = Window.partitionBy()
     s = (s.withColumn("n", F.sum("n_c").over(everyone))
           .withColumn("n_test_all", F.ceil(F.col("n") * F.lit(test_size)).cast("long"))
-          .withColumn("exact", F.col("n_c") * F.col("n_test_all") / F.col("n"))
-          .withColumn("base", F.floor("exact").cast("long"))
-          .withColumn("frac", F.col("exact") - F.col("base"))
+          .withColumn("parts", F.col("n_c").cast("decimal(19,0)") * F.col("n_test_all").cast("decimal(19,0)"))
+          .withColumn("base", F.expr("parts div n"))
+          .withColumn("frac", F.col("parts") % F.col("n"))
           .withColumn("left", F.col("n_test_all") - F.sum("base").over(everyone))
           .withColumn("frac_rank", F.row_number().over(Window.orderBy(F.desc("frac"), F.col(label))))
           .withColumn("n_test", F.col("base") + F.when(F.col("frac_rank") <= F.col("left"), 1).otherwise(0)))

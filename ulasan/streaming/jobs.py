@@ -13,6 +13,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip_ws
+
 from ..operators.dedupe import keep_first
 from ..sources.registry import read_table
 
@@ -65,7 +67,7 @@ def daily_counts(stream: DataFrame, ts: str, key: str, sink: str, checkpoint: st
 
 def keep_line(c: Column) -> Column:
     """Drop blank lines and the exit words (case-insensitive)."""
-    t = F.trim(c)
+    t = strip_ws(c)
     return (t != "") & ~F.lower(t).isin(SENTINELS)
 
 
@@ -74,7 +76,7 @@ def score_stream(lines: DataFrame, predict, sink: str, checkpoint: str, trigger:
     def batch(df: DataFrame, epoch: int):
         rows = df.filter(keep_line(F.col("value"))).select(
             (F.lit(epoch).cast("long") * F.lit(1 << 40) + F.monotonically_increasing_id()).alias("row_id"),
-            F.trim("value").alias("text")).persist()   # ids are read twice below
+            strip_ws("value").alias("text")).persist()   # ids are read twice below
         pred = predict(rows)
         rows.join(pred, "row_id").select("text", "prediction").write.mode("append").parquet(sink)
         rows.unpersist()
