@@ -119,7 +119,9 @@ def nearest(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embedd
     lengths = good.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "d").limit(1).collect()
     dim, n = (lengths[0]["d"], lengths[0]["n"]) if lengths else (0, 0)
     rows = materialize(good.where(F.size("v") == dim), "neighbours")
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()       # SAMPLE rows at most
+    share = min(1.0, 2 * SAMPLE / max(1, n))      # few rows leave each task, however many tasks there are
+    sample = (rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+              .orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect())         # SAMPLE rows at most
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rotation = spark.sparkContext.broadcast(Rotation(np.array([r["v"] for r in sample])))
