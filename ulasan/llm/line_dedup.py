@@ -50,6 +50,8 @@ CHUNK = 1024
 BROADCAST_KEYS = 500_000
 #: Lines a task remembers to skip repeated ones.
 SEEN = 300_000
+#: Code points of a block of lines whose signatures are made together.
+BLOCK = 1 << 18
 LAST = (1 << 63) - 1
 
 
@@ -75,10 +77,17 @@ def _hash2(line: bytes) -> tuple[int, int]:
 
 
 def signatures(lines: list[str], seed: int = 11) -> np.ndarray:
-    """``BANDS`` band hashes of each line (code points in UTF-32)."""
+    """``BANDS`` band hashes of each line (code points in UTF-32), made for
+    blocks of lines whose arrays stay in the processor's cache."""
     rng = np.random.default_rng(seed)
     mult = rng.integers(1, 1 << 32, ROWS * BANDS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
     plus = rng.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint64).astype(np.uint32)
+    ends = np.cumsum([len(x) for x in lines])
+    cuts = np.flatnonzero(np.diff(ends // BLOCK)) + 1
+    return np.concatenate([_signatures(lines[i:j], mult, plus) for i, j in zip([0, *cuts], [*cuts, len(lines)])])
+
+
+def _signatures(lines: list[str], mult: np.ndarray, plus: np.ndarray) -> np.ndarray:
     padded = [x if len(x) >= SHINGLE else x + "\0" * (SHINGLE - len(x)) for x in lines]
     points = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     size = np.array([len(x) for x in padded])
@@ -97,8 +106,9 @@ def signatures(lines: list[str], seed: int = 11) -> np.ndarray:
     count = size - SHINGLE + 1
     at = np.cumsum(count) - count
     bands = np.zeros((len(lines), BANDS), dtype=np.uint64)
+    x = np.empty_like(h)
     for p in range(ROWS * BANDS):
-        x = h * mult[p]
+        np.multiply(h, mult[p], out=x)
         x += plus[p]
         b = p // ROWS
         bands[:, b] = (bands[:, b] ^ np.minimum.reduceat(x, at).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
