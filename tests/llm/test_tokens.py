@@ -109,3 +109,42 @@ def test_pack_fills_windows():
     groups = packing.step_groups(sizes, 20480)
     sums = [sum(s for s, g in zip(sizes, groups) if g == k) for k in range(max(groups) + 1)]
     assert max(sums) - min(sums) <= 2048
+
+
+def test_pack_routes_to_tiers():
+    rng = random.Random(9)
+    tiers = packing.tier_sizes()
+    assert tiers == [2048, 1024, 512, 256, 128, 64]
+    # nothing longer than 1000 tokens: no window above 1024 is opened
+    assert {t for t, _ in packing.pack([600] * 50 + [1000] * 50, tiers=tiers) if t > 1024} == set()
+    # 1500 opens a long window, its gap of 548 takes 300 and 200 of shorter tiers' shelves, and 48 of a cut one
+    first = packing.pack([300, 1500, 200, 60, 90, 90], tiers=tiers)[0]
+    assert first == (2048, [(1, 0, 1500), (0, 0, 300), (2, 0, 200), (3, 0, 48)])
+    for _ in range(50):
+        lengths = [rng.choice([1, 7, 60, 300, 2048, 5000, rng.randint(1, 4000), rng.randint(1, 200)]) for _ in range(rng.randint(0, 300))]
+        windows = packing.pack(lengths, tiers=tiers)
+        parts = sorted(p for _, w in windows for p in w)
+        at = [0] * len(lengths)
+        for doc, start, n in parts:
+            assert start == at[doc] and n > 0
+            at[doc] += n
+        assert at == lengths
+        open_windows = [t for t, w in windows if sum(p[2] for p in w) != t]
+        assert {t for t, _ in windows} <= set(tiers) and open_windows in ([], [64])
+    lengths = [rng.choice([40, 40, 40, 90, 90, 200, 200, 200, 400, 400, 800, 1500]) for _ in range(4000)]
+    counts = {t: sum(1 for x, _ in packing.pack(lengths, tiers=tiers) if x == t) for t in tiers}
+    assert all(counts[t] > 100 for t in (2048, 1024, 512, 256))
+
+
+def test_packing_gives_several_tiers(llm):
+    texts = ["the cat " * n for n in [20] * 60 + [45] * 40 + [100] * 40 + [200] * 40 + [400] * 20 + [700] * 4]
+    rows = packing.pack_documents(frame(llm, texts).coalesce(1), WORD).collect()
+    padding, _ = check_packing(rows, texts)
+    assert padding < 2048
+    size = {}
+    for r in rows:
+        size.setdefault((r.sequence_id, r.tier), []).append(r.length)
+    assert len({t for _, t in size} & {2048, 1024, 512, 256}) >= 3
+    assert [t for (_, t), n in size.items() if sum(n) != t] in ([], [64])
+    # a document of more than half its tier stands in a window of that tier or fills a longer one
+    assert all(r.tier >= r.length for r in rows)

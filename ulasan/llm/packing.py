@@ -2,18 +2,18 @@
 
 Documents become token ids (by the ``tokenizers`` library, one end id behind
 each) and are packed into windows. The tiers are context sizes, powers of two
-from ``window`` downwards:
+from ``window`` down to ``least_tier``; each has a shelf of remainders:
 
 1. Routing: a document's full windows are cut off its front and stand alone;
-   what remains goes to the smallest tier that holds it.
-2. Each tier is packed from its longest remainders downwards (the longest tier
-   first): a remainder opens a window, and
-3. gaps are filled from the same and shorter tiers, by the longest remainder
-   that fits. When none fits, the shortest remainder at hand is cut so that the
-   window is exactly full.
-4. Only the last window of a block can stay open. Its tokens are cut into
-   windows of shorter tiers (the binary digits of its length), so that a window
-   below ``least_tier`` alone is padded.
+   what remains goes to the shelf of the smallest tier that holds it.
+2. Each tier is packed into windows of its own size, the longest tier first and
+   each from its longest remainders downwards: a remainder opens a window, and
+3. gaps are filled from the shelves of the same and shorter tiers, by the
+   longest remainder that fits. When none fits, the shortest one there is cut so
+   that the window is exactly full; its rest goes to the tier that holds it.
+4. A window stays open only when no remainder is left, so it is the last one of
+   its block. Its tokens are cut into windows of shorter tiers (the binary digits
+   of its length), and what is below ``least_tier`` alone is padded up to it.
 5. Step groups: the block's windows are dealt to step groups of about equal
    token counts, longest first, each to the lightest group.
 
@@ -31,7 +31,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from array import array
-from bisect import bisect_right, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from unicodedata import normalize
 
@@ -161,43 +161,80 @@ class _Shelf:
         return n, piece
 
 
-def pack(lengths: list[int], window: int = WINDOW, least_tier: int = LEAST_TIER) -> list[tuple[int, list[tuple[int, int, int]]]]:
+def tier_sizes(window: int = WINDOW, least_tier: int = LEAST_TIER) -> list[int]:
+    """Context sizes, longest first: ``window`` and its halves down to ``least_tier``."""
+    out = [window]
+    while out[-1] % 2 == 0 and out[-1] // 2 >= least_tier:
+        out.append(out[-1] // 2)
+    return out
+
+
+def pack(lengths: list[int], window: int = WINDOW, least_tier: int = LEAST_TIER,
+         tiers: list[int] | None = None) -> list[tuple[int, list[tuple[int, int, int]]]]:
     """Windows ``(tier, [(document, start, length), ...])`` for documents of
-    these lengths (all at least 1)."""
-    windows, shelf = [], _Shelf()
+    these lengths (all at least 1). ``tiers``: the sizes that windows are opened
+    with, longest first; by default ``window`` alone. The operator gives all of
+    ``tier_sizes``."""
+    tiers = [window] if tiers is None else tiers
+    shelves = [_Shelf() for _ in tiers]
+    upwards = tiers[::-1]
+
+    def holding(n: int) -> int:
+        """The smallest tier that holds ``n`` tokens, as its place in ``tiers``."""
+        return len(tiers) - 1 - bisect_left(upwards, n)
+
+    def fitting(room: int):
+        """The longest remainder up to ``room``, else None."""
+        for k in range(holding(room), len(tiers)):
+            fit = shelves[k].take(room)
+            if fit is not None:
+                return fit
+        return None
+
+    def shortest(first: int):
+        """The shortest remainder of tier ``first`` and the shorter ones, else None."""
+        for k in range(len(tiers) - 1, first - 1, -1):
+            if shelves[k].lengths:
+                return shelves[k].shortest()
+        return None
+
+    windows = []
     for doc, n in enumerate(lengths):
         full = n // window * window
         windows += [(window, [(doc, s, window)]) for s in range(0, full, window)]
         if n > full:
-            shelf.add(n - full, (doc, full))
-    while shelf.lengths:
-        n, (doc, start) = shelf.take(window)          # the longest left opens a window
-        got, room = [(doc, start, n)], window - n
-        while room and shelf.lengths:
-            fit = shelf.take(room)
-            if fit is None:                           # cut the shortest to fill the gap
-                n, (doc, start) = shelf.shortest()
-                got.append((doc, start, room))
-                shelf.add(n - room, (doc, start + room))
-                room = 0
+            shelves[holding(n - full)].add(n - full, (doc, full))
+    for k, tier in enumerate(tiers):
+        while shelves[k].lengths:
+            n, (doc, start) = shelves[k].take(tier)   # the tier's longest left opens a window
+            got, room = [(doc, start, n)], tier - n
+            while room:
+                fit = fitting(room)
+                if fit is None:                       # cut the shortest to fill the gap
+                    cut = shortest(k)
+                    if cut is None:
+                        break
+                    n, (doc, start) = cut
+                    got.append((doc, start, room))
+                    shelves[holding(n - room)].add(n - room, (doc, start + room))
+                    room = 0
+                else:
+                    n, (doc, start) = fit
+                    got.append((doc, start, n))
+                    room -= n
+            if not room:
+                windows.append((tier, got))
             else:
-                n, (doc, start) = fit
-                got.append((doc, start, n))
-                room -= n
-        if not room:
-            windows.append((window, got))
-        else:
-            windows += _smaller_tiers(got, window - room, window, least_tier)
+                windows += _smaller_tiers(got, tier - room, tier, least_tier)
     return windows
 
 
 def _smaller_tiers(pieces: list[tuple[int, int, int]], total: int, window: int, least_tier: int) -> list:
     """Cut an open window's pieces along the binary digits of its length."""
-    out, tier = [], window
+    out, sizes = [], tier_sizes(window, least_tier)
     while total:
-        while tier > total:
-            tier //= 2
-        take = total if total < least_tier else tier
+        tier = next((t for t in sizes if t <= total), sizes[-1])
+        take = min(tier, total)
         got, need = [], take
         while need:
             doc, start, n = pieces.pop(0)
@@ -206,7 +243,7 @@ def _smaller_tiers(pieces: list[tuple[int, int, int]], total: int, window: int,
                 n = need
             got.append((doc, start, n))
             need -= n
-        out.append((take if take & (take - 1) == 0 else window, got))
+        out.append((tier, got))
         total -= take
     return out
 
@@ -234,7 +271,7 @@ def pack_documents(df: DataFrame, vocab_path: str, window: int = WINDOW, least_t
         spec = df.sparkSession.sparkContext.broadcast(f.read())     # the vocabulary file: a fixed size
 
     def block(doc_ids: list, ids: list[bytes], at: int, group0: int) -> pa.RecordBatch:
-        windows = pack([len(x) // 4 for x in ids], window, least_tier)
+        windows = pack([len(x) // 4 for x in ids], window, least_tier, tier_sizes(window, least_tier))
         groups = step_groups([sum(p[2] for p in w[1]) for w in windows], step_tokens)
         rows = []
         for i, (tier, pieces) in enumerate(windows):
