@@ -74,3 +74,33 @@ def test_large_buckets_are_compared_in_chunks(llm, monkeypatch):
     rows = [(i, base[:40 + i] + "%02d" % i + base[40 + i:], "", 0) for i in range(50)] + [(90, "quite another line of text, unlike all", "", 0)]
     df = llm.createDataFrame(rows, "doc_id long, text string, n_lines string, n_chars long")
     assert sorted((str(r.doc_id), str(r.text)) for r in ld.dedup_lines(df).collect()) == brute(rows)
+
+
+def test_one_edit_in_an_ordinary_line_links(llm):
+    """By hand, without ``shingles``: sets of five characters, similarity 0.8."""
+    def five(a, b):
+        x, y = ({line[i:i + 5] for i in range(len(line) - 4)} for line in (a, b))
+        return len(x & y) / len(x | y)
+
+    short = "please send the signed form back to our office in may 2021"            # 58 characters
+    long = "the quick brown fox jumps over a lazy dog while seven other small animals watch it from the old barn"
+    far = "we sold four red bikes, two kites and a drum set last week"
+    pairs = [(short, short.replace("office", "offise")), (long, long.replace("seven", "forty")), (far, far.replace("kites and a drum", "boats or one lamp"))]
+    assert 49 <= len(short) < 79 and len(long) <= 100
+    assert [five(a, b) >= 0.8 for a, b in pairs] == [True, True, False]
+    rows = [(2 * k + j, p[j], "", 0) for k, p in enumerate(pairs) for j in (0, 1)]
+    df = llm.createDataFrame(rows, "doc_id long, text string, n_lines string, n_chars long")
+    got = {r.doc_id: r.text for r in ld.dedup_lines(df).collect()}
+    assert got == {0: short, 1: "", 2: long, 3: "", 4: pairs[2][0], 5: pairs[2][1]}
+
+
+def test_bands_find_pairs_at_the_threshold():
+    assert 1 - (1 - ld.NEAR ** ld.ROWS) ** ld.BANDS > 0.9949
+    rng = random.Random(8)
+    found = 0
+    for _ in range(300):
+        line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(95))
+        i = rng.randrange(10, 80)
+        other = line[:i] + "#%&@?" + line[i + 5:]           # 9 of 91 shingles: 0.82
+        found += bool((ld.signatures([line])[0] == ld.signatures([other])[0]).any())
+    assert found >= 295

@@ -2,15 +2,15 @@
 component stays.
 
 A line is compared in lower case with white space collapsed; blank lines are
-left alone. Two lines link if the Jaccard similarity of their sets of eight
+left alone. Two lines link if the Jaccard similarity of their sets of five
 character shingles is ``NEAR`` = 0.8 or more (a shorter line is one shingle).
-Shorter shingles are so common that unrelated lines of one language would share
-bands, ever more of them as the corpus grows.
+Such shingles are common, so a band has six minima: with fewer, ever more
+unrelated lines of one language share a band as the corpus grows.
 
 1. Equal lines: every occurrence has a 128-bit hash of its line; the first
    occurrence of each hash is aggregated (map side first).
 2. Signatures: ``BANDS`` bands of ``ROWS`` minima for each distinct line of a
-   task; at similarity 0.8 a pair shares a band with probability 0.995, at 0.9
+   task; at similarity 0.8 a pair shares a band with probability 0.996, at 0.9
    with more than 0.9999. Only hashes are shuffled.
 3. Verification: only lines that share a band with another one get their text
    again. Inside a bucket, lines of different components are compared exactly;
@@ -43,8 +43,8 @@ from .common import shuffle_partitions, whole_text
 from .components import components
 
 NEAR = 0.8
-SHINGLE = 8
-ROWS, BANDS = 4, 10
+SHINGLE = 5
+ROWS, BANDS = 6, 18
 CHUNK = 1024
 #: Distinct lines with a shared band up to which their hashes are broadcast (16 bytes each).
 BROADCAST_KEYS = 500_000
