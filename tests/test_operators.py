@@ -206,3 +206,15 @@ def test_resume_after_a_killed_run_equals_one_run(spark):
     resumed = spark.read.parquet(killed)
     assert resumed.count() == 100 == resumed.select("row_id").distinct().count()
     assert {r.row_id: r.label for r in resumed.collect()} == full
+
+
+def test_keywords_of_one_character_and_all_languages(spark):
+    from ulasan.operators.collect import match_keywords
+    posts = spark.createDataFrame(
+        [(1, "Vitamin C, murah", "id"), (2, "vitamin a saja", "en"), (3, "makan x gratis", "en"), (4, "makan gratis!", None)],
+        "post_id long, text string, lang string")
+    phrases = ["vitamin c", "makan gratis"]
+    hits = lambda **k: sorted((r.post_id, r.kw_rank) for r in match_keywords(posts, phrases, "post_id", **k).collect())
+    assert hits() == [(1, 1), (4, 2)]
+    assert hits(lang="id") == [(1, 1)]
+    assert hits(lang="en", min_len=2) == [(2, 1), (3, 2)]

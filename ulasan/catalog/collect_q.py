@@ -90,8 +90,8 @@ MATCH_SQL = f"""
 
 
 def _matches(spark, sf):
-    d = tbl(spark, sf, "documents").filter(F.col("lang") == "en")
-    return match_keywords(d, PHRASES, "doc_id")
+    # the language and the two-character words of the given SQL
+    return match_keywords(tbl(spark, sf, "documents"), PHRASES, "doc_id", min_len=2, lang="en")
 
 
 @query("keyword_match", MATCH_SQL)
@@ -105,6 +105,31 @@ def first_keyword_q(spark, sf):
     return first_keyword(_matches(spark, sf), "doc_id", PHRASES)
 
 
+ALL_PHRASES = PHRASES + ["is a", "a la", "y"]
+MATCH_ALL_SQL = f"""
+  WITH tk AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS t FROM documents),
+       g AS (SELECT DISTINCT doc_id, unnest(list_concat(t,
+               list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) AS gram FROM tk)
+  SELECT doc_id, kw_rank, phrase FROM g
+  JOIN (VALUES {", ".join(f"({i + 1}, {lit(p)})" for i, p in enumerate(ALL_PHRASES))}) AS kw(kw_rank, phrase) ON gram = phrase
+"""
+
+
+def _matches_all(spark, sf):
+    return match_keywords(tbl(spark, sf, "documents"), ALL_PHRASES, "doc_id")
+
+
+@query("keyword_match_all", MATCH_ALL_SQL)
+def keyword_match_all_q(spark, sf):
+    return _matches_all(spark, sf)
+
+
+@query("first_keyword_all", f"""
+  SELECT doc_id, kw_rank, phrase FROM ({MATCH_ALL_SQL}) QUALIFY kw_rank = min(kw_rank) OVER (PARTITION BY doc_id)""")
+def first_keyword_all_q(spark, sf):
+    return first_keyword(_matches_all(spark, sf), "doc_id", ALL_PHRASES)
+
+
 CAP_SQL = f"""
   SELECT event_id, strftime(ts::DATE, '%Y-%m-%d') AS day, event_type AS keyword, rk FROM (
     SELECT *, row_number() OVER (PARTITION BY ts::DATE, event_type ORDER BY ts DESC, event_id DESC) AS rk

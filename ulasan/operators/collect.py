@@ -50,18 +50,24 @@ def keyword_day_grid(keywords: DataFrame, start: Column, end: Column) -> DataFra
 
 
 def match_keywords(posts: DataFrame, phrases: list[str], id_col: str, text_col: str = "text",
-                   max_len: int | None = None) -> DataFrame:
+                   max_len: int | None = None, min_len: int = 1, lang: str | None = None,
+                   lang_col: str = "lang") -> DataFrame:
     """``(id, kw_rank, phrase)`` for every post whose lower-cased word
     tokens contain the phrase's tokens contiguously. Each post emits its
     distinct n-grams (n ≤ longest phrase) and joins the broadcast phrase list
-    on equality: no nested-loop join, no pairs of non-matching rows."""
+    on equality: no nested-loop join, no pairs of non-matching rows.
+
+    ``min_len``: shorter words of phrases and posts are skipped (1: none are).
+    ``lang``: only posts of this language (``None``: all, NULL included)."""
     spark = posts.sparkSession
     import re
-    norm = [" ".join(re.findall(r"\w{2,}", p.lower())) for p in phrases]
+    if lang is not None:
+        posts = posts.filter(F.col(lang_col) == lang)
+    norm = [" ".join(re.findall(rf"\w{{{min_len},}}", p.lower())) for p in phrases]
     L = max_len or max(len(p.split(" ")) for p in norm)
     kw = spark.createDataFrame([(i + 1, p, n) for i, (p, n) in enumerate(zip(phrases, norm))],
                                "kw_rank int, phrase string, gram string")
-    grams = let(tokens(F.col(text_col)), lambda t: F.array_distinct(
+    grams = let(tokens(F.col(text_col), min_len), lambda t: F.array_distinct(
         F.flatten(F.array(*[ngrams(t, n) for n in range(1, L + 1)]))))
     if len(norm) <= INLINE_MAX_KEYWORDS:
         # a short phrase list is a hash set inside the expression: only the
