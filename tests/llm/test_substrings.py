@@ -75,3 +75,32 @@ def test_repeats_on_the_documents_table(llm):
     df = llm.read.parquet(f"{SF01}/documents.parquet").where("n_chars < 3000")
     rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
     assert got(df) == brute(rows)
+
+
+def hot_rows():
+    """A phrase of 30 bytes and a passage, each document with its own context."""
+    rng = random.Random(6)
+    own = lambda: "".join(rng.choice("abcdefgh ") for _ in range(70))
+    passage = "".join(rng.choice("qrstuvw ") for _ in range(120))
+    return [(i, own() + "THE PHRASE THEY HAVE IN COMMON" + own() + passage + own()) for i in range(60)] + make_rows()[:40]
+
+
+def test_hot_minimizers_equal_brute_force(llm):
+    rows = hot_rows()
+    df = llm.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for hot in (4, 0):
+        out = sd.remove_repeats(df, hot_segments=hot).collect()
+        assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in out) == brute(rows)
+
+
+def test_hot_minimizers_are_split():
+    """No id brings more than a few distinct segments to one suffix array."""
+    import pyarrow as pa
+    rows = hot_rows()
+    docs = pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows], "block": [0] * len(rows)})
+    most = {}
+    for bound in (10, 1 << 40):
+        sent = sd._shared_rows(pa.table({"bucket": [0], "block": [0], "ids": [sd._minimizer_rows(1)(docs).column("ids")[0].as_py()]}), bound)
+        _, ids, _, _, _ = sd.Block(docs).shared(*sd._wanted(sent))
+        most[bound] = int(np.unique(ids, return_counts=True)[1].max())
+    assert most[1 << 40] >= 50 and most[10] <= 10

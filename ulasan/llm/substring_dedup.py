@@ -9,17 +9,23 @@ first brought together:
    depends on the window's bytes alone, so equal windows have equal minimizers.
    Neighbouring windows with one minimizer form a segment (some 67 bytes).
 2. Blocks send their distinct minimizers, and learn which of them occur in two
-   documents or more. All other windows are unique.
+   documents or more. All other windows are unique. They also learn which
+   minimizers are hot: more than ``HOT_SEGMENTS`` segments in all blocks
+   together, as at the ends of a passage that many documents share, where each
+   document's segment holds its own context.
 3. Blocks send the distinct segments with such a minimizer, each once with its
    smallest doc_id. They meet by minimizer. There the segments are concatenated,
    suffixes are sorted in two stages (``suffix``), and runs of suffixes with
    adjacent common prefixes of 50 bytes or more are the equal windows; their
    smallest doc_id goes back to the blocks. Where a minimizer has only one
-   distinct segment, all its windows are equal already.
+   distinct segment, all its windows are equal already. Segments of a hot
+   minimizer are sent as single windows under the hash of the window instead,
+   dealt over all buckets: equal windows still meet, and nothing is dropped.
 4. Each document drops the windows whose smallest doc_id is below its own.
 
 Every exchange carries at most one entry for a block and string, so a passage
-that a third of all documents share costs one entry a block. Number of blocks
+that a third of all documents share costs one entry a block, and its ends one a
+document and window. Number of blocks
 and buckets follow the bytes of the table. Nothing is collected on the driver
 but the total size.
 
@@ -48,6 +54,8 @@ CHUNK_BYTES = 2 << 20
 ID_BITS = 48
 #: Ranges of minimizers for each block, so that a range's segments stay few.
 BUCKETS_PER_BLOCK = 4
+#: Segments of a minimizer, by the blocks' counts, above which they are sent as single windows.
+HOT_SEGMENTS = 8192
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -117,39 +125,50 @@ class Block:
             yield a, joined, offsets, segments(np.frombuffer(joined, dtype=np.uint8), offsets)
             a = b
 
-    def minimizers(self) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct ids, sorted, and whether two documents have them."""
-        ids, owners = [], []
-        for a, _, _, (seg, doc, _, _) in self.chunks():
+    def minimizers(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct ids, sorted, whether two documents have them, and how many
+        segments (told apart by their ends), as a power of two rounded up."""
+        ids, owners, ends = [], [], []
+        for a, joined, _, (seg, doc, start, windows) in self.chunks():
             ids.append(seg)
+            raw, eight = np.frombuffer(joined, dtype=np.uint8), np.arange(8)
+            last = start + windows + (LENGTH - 9)
+            both = [raw[at[:, None] + eight].view("<u8").ravel().astype(np.uint64) for at in (start, last)]
+            ends.append(_mix(_mix(both[0]) + both[1] + windows.astype(np.uint64)))
             owners.append(np.array(self.doc_ids[a:a + int(doc.max()) + 1] if len(doc) else [], dtype=np.int64)[doc])
         if not ids:
-            return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool)
-        ids, owners = np.concatenate(ids), np.concatenate(owners)
-        order = np.argsort(ids, kind="stable")
-        ids, owners = ids[order], owners[order]
+            return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool), np.zeros(0, dtype=np.uint64)
+        ids, owners, ends = np.concatenate(ids), np.concatenate(owners), np.concatenate(ends)
+        order = np.lexsort((ends, ids))
+        ids, owners, ends = ids[order], owners[order], ends[order]
         first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, dtype=np.int64)
         if not len(first):
-            return ids, np.zeros(0, dtype=bool)
-        return ids[first], np.minimum.reduceat(owners, first) != np.maximum.reduceat(owners, first)
+            return ids, np.zeros(0, dtype=bool), np.zeros(0, dtype=np.uint64)
+        new = np.ones(len(ids), dtype=np.int64)
+        new[1:] = (ids[1:] != ids[:-1]) | (ends[1:] != ends[:-1])
+        power = np.ceil(np.log2(np.add.reduceat(new, first))).astype(np.uint64)
+        return ids[first], np.minimum.reduceat(owners, first) != np.maximum.reduceat(owners, first), power
 
-    def shared(self, wanted: np.ndarray):
+    def shared(self, wanted: np.ndarray, hot: np.ndarray):
         """The distinct segments whose id is wanted (sorted), in the order of
         their ids: texts, ids, smallest doc_ids; and every occurrence as
-        (document, start in the text, segment number)."""
+        (document, start in the text, segment number). Segments whose id is
+        ``hot`` are given as their windows, under the windows' own ids."""
         number: dict[bytes, int] = {}
         ids, least, occ = [], [], []
         for a, joined, offsets, (seg, doc, start, windows) in self.chunks():
             place = np.minimum(np.searchsorted(wanted, seg), max(0, len(wanted) - 1))
             hit = np.flatnonzero(wanted[place] == seg) if len(wanted) else []
-            for k, s, w, d in zip(seg[hit].tolist(), start[hit].tolist(), windows[hit].tolist(), doc[hit].tolist()):
-                text = joined[s:s + w + LENGTH - 1]
-                m = number.get(text)
-                if m is None:
-                    m = number[text] = len(ids)
-                    ids.append(k)
-                    least.append(self.doc_ids[a + d])          # documents come in the order of their ids
-                occ.append((a + d, s - int(offsets[d]), m))
+            split = hot[place[hit]].tolist() if len(hit) else []
+            for k, s, w, d, x in zip(seg[hit].tolist(), start[hit].tolist(), windows[hit].tolist(), doc[hit].tolist(), split):
+                for s, w in [(s + i, 1) for i in range(w)] if x else [(s, w)]:
+                    text = joined[s:s + w + LENGTH - 1]
+                    m = number.get(text)
+                    if m is None:
+                        m = number[text] = len(ids)
+                        ids.append(_window_id(text) if x else k)
+                        least.append(self.doc_ids[a + d])      # documents come in the order of their ids
+                    occ.append((a + d, s - int(offsets[d]), m))
         ids = np.array(ids, dtype=np.uint64)
         order = np.argsort(ids, kind="stable")
         rank = np.empty(len(order), dtype=np.int64)
@@ -158,18 +177,26 @@ class Block:
         return [texts[i] for i in order], ids[order], np.array(least, dtype=np.int64)[order], occ, rank
 
 
-def _pack_ids(ids: np.ndarray, flag: np.ndarray) -> bytes:
-    """48 bits and a flag each, in seven bytes."""
+def _window_id(window: bytes) -> int:
+    from xxhash import xxh3_64_intdigest
+    return xxh3_64_intdigest(window) >> (64 - ID_BITS)
+
+
+def _pack_ids(ids: np.ndarray, flag: np.ndarray, power: np.ndarray | None = None) -> bytes:
+    """48 bits, a flag and a number below 128 each, in seven bytes."""
     value = (ids << np.uint64(1)) | flag.astype(np.uint64)
+    if power is not None:
+        value |= power << np.uint64(ID_BITS + 1)
     return np.ascontiguousarray(value.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
 
 
-def _unpack_ids(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _unpack_ids(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     seven = np.frombuffer(data, dtype=np.uint8).reshape(-1, 7)
     value = np.zeros((len(seven), 8), dtype=np.uint8)
     value[:, :7] = seven
     value = value.view("<u8").ravel()
-    return value >> np.uint64(1), (value & np.uint64(1)).astype(bool)
+    ids = (value >> np.uint64(1)) & np.uint64((1 << ID_BITS) - 1)
+    return ids, (value & np.uint64(1)).astype(bool), value >> np.uint64(ID_BITS + 1)
 
 
 def _cuts(ids: np.ndarray, buckets: int) -> np.ndarray:
@@ -199,19 +226,20 @@ def window_minima(texts: list[bytes], least: np.ndarray) -> list[np.ndarray]:
 
 def _minimizer_rows(buckets: int):
     def run(docs: pa.Table) -> pa.Table:
-        ids, twice = Block(docs).minimizers()
+        ids, twice, power = Block(docs).minimizers()
         block = docs.column("block")[0].as_py()
         cut = _cuts(ids, buckets)
-        rows = [(b, _pack_ids(ids[x:y], twice[x:y])) for b, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x]
+        rows = [(b, _pack_ids(ids[x:y], twice[x:y], power[x:y])) for b, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x]
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([block] * len(rows), pa.int32()),
                          "ids": pa.array([r[1] for r in rows], pa.binary())})
     return run
 
 
-def _shared_rows(rows: pa.Table) -> pa.Table:
-    """The ids of a bucket that two documents have, to each block its own."""
+def _shared_rows(rows: pa.Table, hot_segments: int) -> pa.Table:
+    """The ids of a bucket that two documents have, to each block its own, and
+    whether they are hot."""
     parts = [_unpack_ids(x) for x in rows.column("ids").to_pylist()]
-    ids, twice = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    ids, twice, power = (np.concatenate([p[i] for p in parts]) for i in range(3))
     order = np.argsort(ids, kind="stable")
     s = ids[order]
     again = np.zeros(len(s), dtype=bool)
@@ -220,22 +248,29 @@ def _shared_rows(rows: pa.Table) -> pa.Table:
     good = np.empty(len(s), dtype=bool)
     good[order] = again
     good |= np.isin(ids, ids[twice])
+    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+    total = np.add.reduceat(np.exp2(power[order].astype(np.float64)), first)
+    hot = np.empty(len(s), dtype=bool)
+    hot[order] = np.repeat(total > hot_segments, np.diff(np.concatenate([first, [len(s)]])))
     cut = np.cumsum([len(p[0]) for p in parts])[:-1]
-    out = [_pack_ids(i[g], np.zeros(int(g.sum()), dtype=bool)) for i, g in zip(np.split(ids, cut), np.split(good, cut))]
+    out = [_pack_ids(i[g], x[g]) for i, g, x in zip(np.split(ids, cut), np.split(good, cut), np.split(hot, cut))]
     return pa.table({"block": rows.column("block").cast(pa.int32()), "kind": pa.array([0] * len(out), pa.int32()),
                      "bucket": rows.column("bucket").cast(pa.int32()), "data": pa.array(out, pa.binary())})
 
 
-def _wanted(answers: pa.Table) -> np.ndarray:
+def _wanted(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The ids, sorted, and whether they are hot."""
     got = [d for d, k in zip(answers.column("data").to_pylist(), answers.column("kind").to_pylist()) if k == 0]
-    return np.sort(_unpack_ids(b"".join(got))[0])
+    ids, hot, _ = _unpack_ids(b"".join(got))
+    order = np.argsort(ids, kind="stable")
+    return ids[order], hot[order]
 
 
 def _segment_rows(buckets: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         rows = []
         if docs.num_rows and answers.num_rows:
-            texts, ids, least, _, _ = Block(docs).shared(_wanted(answers))
+            texts, ids, least, _, _ = Block(docs).shared(*_wanted(answers))
             cut = _cuts(ids, buckets)
             for b, (x, y) in enumerate(zip(cut[:-1], cut[1:])):
                 if y > x:
@@ -321,7 +356,7 @@ def _kept_rows(docs: pa.Table, answers: pa.Table) -> pa.Table:
     block = Block(docs)
     covered: dict[int, list] = {}
     if answers.num_rows:
-        texts, _, _, occ, rank = block.shared(_wanted(answers))
+        texts, _, _, occ, rank = block.shared(*_wanted(answers))
         minima = sorted((b, d) for b, k, d in zip(*[answers.column(c).to_pylist() for c in ("bucket", "kind", "data")]) if k == 1)
         parts = [_read_minima(d) for _, d in minima]           # buckets are ranges of ids: together the block's order
         if parts:
@@ -343,7 +378,7 @@ def _kept_rows(docs: pa.Table, answers: pa.Table) -> pa.Table:
     return pa.table({n: pa.array([r[k] for r in rows], kind) for k, (n, kind) in enumerate(zip(names, kinds))})
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
     """One row per row: ``doc_id, n_bytes, n_removed, n_spans, kept`` (bytes)."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(shuffle_partitions(docs.sparkSession), math.ceil(total / BLOCK_BYTES))
@@ -353,7 +388,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                         F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).groupBy("block")
     answer = "block int, kind int, bucket int, data binary"
     shared = (dealt.applyInArrow(_minimizer_rows(buckets), "bucket int, block int, ids binary")
-              .groupBy("bucket").applyInArrow(_shared_rows, answer))
+              .groupBy("bucket").applyInArrow(lambda rows: _shared_rows(rows, hot_segments), answer))
     minima = (dealt.cogroup(shared.groupBy("block"))
               .applyInArrow(_segment_rows(buckets), "bucket int, block int, ids binary, least binary, sizes binary, body binary")
               .groupBy("bucket").applyInArrow(_minima_rows, answer))
