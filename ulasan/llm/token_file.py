@@ -31,10 +31,12 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -50,6 +52,9 @@ MEMO = 500_000
 #: ASCII marks that can stand behind a word; not the apostrophe, which joins endings.
 MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and c != 39)
 
+#: Stands between words; texts that hold it are not cut.
+MARK = "\x01"
+
 #: Lengths of the four numbers of every control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
 
@@ -85,8 +90,8 @@ def unpack_numbers(control: bytes, data: bytes, n: int) -> np.ndarray:
 class LibraryTokenizer:
     """Ids of whole texts by the library, each distinct word encoded once and
     kept. Byte-level patterns begin a piece at a space before a visible
-    character and between a letter or digit and an ASCII mark, so words and the
-    marks behind them can be encoded one by one; texts that hold a special
+    character and between a letter or digit and an ASCII mark, so a word and the
+    mark behind it can be encoded one by one; texts that hold a special
     token's string, and tokenizers with another splitting, go to the library as
     they are."""
 
@@ -105,89 +110,115 @@ class LibraryTokenizer:
                         and not pre.get("add_prefix_space") and pre.get("use_regex", True))
         self.special = [t["content"] for t in said.get("added_tokens", [])]
         self.words = regex.compile(r" ?\S+|\s+(?!\S)|\s+").findall
+        self.dtype = id_type(self.lib.get_vocab_size())
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(self.dtype.char, x.ids).tobytes() for x in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _marked(self, text: str) -> str:
+        """The text with a mark between words (the space before a word is part
+        of it) and white space that stands apart."""
+        words, gaps = text.split(), text.count(" ") + text.count("\n")
+        if len(words) != gaps + 1 or sum(map(len, words)) + gaps != len(text):      # white space of other kinds, or in a row
+            return MARK.join(self.words(text))
+        return text.replace(" ", MARK + " ").replace("\n", MARK + "\n" + MARK)
 
     def _learn(self, missing: set[str]) -> None:
-        new = {w: self.old[w] for w in missing if w in self.old}
-        split = {}
-        for w in missing.difference(new):
-            core = w.rstrip(MARKS)
-            if not core or not (core[-1].isascii() and core[-1].isalnum()):
-                core = w
-            split[w] = core, w[len(core):]
-        parts: dict[str, bytes] = {"": b""}
-        unknown = []
-        for x in {x for pair in split.values() for x in pair if x}:
-            found = self.young.get(x) or self.old.get(x)
-            if found is None:
-                unknown.append(x)
+        young, old = self.young, self.old
+        new, plain, cut = {}, [], []
+        for w in missing:
+            if w in old:
+                new[w] = old[w]
+            elif w and w[-1] in MARKS and w[-2:-1].isalnum() and w.isascii():
+                cut.append(w)
             else:
-                parts[x] = found
-        parts.update(zip(unknown, self._encode(unknown)))
-        new.update((w, parts[core] + parts[tail]) for w, (core, tail) in split.items())
-        if len(self.young) + len(new) > MEMO:
-            self.old, self.young = self.young, new
+                plain.append(w)
+        cores = [w[:-1] for w in cut]
+        for x in {*cores, *(w[-1] for w in cut)}.difference(young, new, plain):
+            if x in old:
+                new[x] = old[x]
+            else:
+                plain.append(x)
+        new.update(zip(plain, self._encode(plain)))
+        for w, core in zip(cut, cores):
+            tail = w[-1]
+            new[w] = (new[core] if core in new else young[core]) + (new[tail] if tail in new else young[tail])
+        if len(young) + len(new) > MEMO:
+            self.old, self.young = young, new
         else:
-            self.young.update(new)
+            young.update(new)
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        missing = set(words).difference(self.young)
+        kept = self.young
+        if missing:
+            self._learn(missing)
+            if self.young is not kept:                      # the earlier words have moved on
+                kept = {**self.old, **self.young}
+        return [kept[w] for w in words]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
+        """Ids of each text, as little-endian integers of ``dtype``. Each distinct
+        word is looked up once; the texts' ids are gathered from them at once."""
         out: list[bytes] = [b""] * len(texts)
-        whole = [i for i, t in enumerate(texts) if not self.by_word or any(s in t for s in self.special)]
+        whole = [i for i, t in enumerate(texts) if not self.by_word or MARK in t or any(s in t for s in self.special)]
         for i, ids in zip(whole, self._encode([texts[i] for i in whole])):
             out[i] = ids
         rest = sorted(set(range(len(texts))).difference(whole))
-        for k in range(0, len(rest), 64):
-            split = [self.words(texts[i]) for i in rest[k:k + 64]]
-            missing = set().union(*split).difference(self.young)
-            kept = self.young
-            if missing:
-                self._learn(missing)
-                if self.young is not kept:                  # the earlier words have moved on
-                    kept = {**self.old, **self.young}
-            for i, ws in zip(rest[k:k + 64], split):
-                out[i] = b"".join([kept[w] for w in ws])
+        words = pc.split_pattern(pa.array([self._marked(texts[i]) for i in rest], pa.large_string()), MARK)
+        found = words.flatten().dictionary_encode()
+        known = self._words(found.dictionary.to_numpy(zero_copy_only=False).tolist())
+        size = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // self.dtype.itemsize
+        start = np.cumsum(size) - size
+        at = found.indices.to_numpy()
+        ends = np.cumsum(size[at])
+        place = np.repeat(start[at] - ends + size[at], size[at]) + np.arange(ends[-1] if len(ends) else 0)
+        raw = np.frombuffer(b"".join(known), dtype=self.dtype)[place].tobytes()
+        border = (np.concatenate([[0], ends])[words.offsets.to_numpy()] * self.dtype.itemsize).tolist()
+        for i, a, b in zip(rest, border, border[1:]):
+            out[i] = raw[a:b]
         return out
 
 
+def id_type(vocabulary: int) -> np.dtype:
+    """Two bytes an id where they are enough, else four."""
+    return np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
+
+
 _WORKER: dict[int, LibraryTokenizer] = {}
 
 
-def encode_documents(df: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
+def encode_documents(df: DataFrame, tokenizer: str, dtype: np.dtype, end_id: int = 0) -> DataFrame:
     """``(doc_id, ids)``: the whole text's ids and the end id, as little-endian
-    32-bit integers."""
+    integers of ``dtype``; ``tokenizer`` is the content of its file."""
     spark = df.sparkSession
-    with open(tokenizer_path, encoding="utf-8") as f:
-        text = f.read()
-    spec = spark.sparkContext.broadcast(text)
-    key, end = zlib.crc32(text.encode()), np.uint32(end_id).astype("<u4").tobytes()
+    spec = spark.sparkContext.broadcast(tokenizer)
+    key, end = zlib.crc32(tokenizer.encode()), np.array([end_id], dtype=dtype).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _WORKER:
             _WORKER[key] = LibraryTokenizer(spec.value)
         for batch in batches:
-            ids = _WORKER[key].encode_all(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x + end for x in ids], pa.binary())], names=["doc_id", "ids"])
+            ids = [np.frombuffer(x, _WORKER[key].dtype).astype(dtype).tobytes() + end for x in _WORKER[key].encode_all(batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
 
-def _ids(value) -> np.ndarray:
-    return np.frombuffer(value.as_buffer(), dtype="<u4")
+def _ids(value, dtype: np.dtype) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), dtype=dtype)
 
 
-def id_counts(encoded: DataFrame) -> DataFrame:
+def id_counts(encoded: DataFrame, dtype: np.dtype) -> DataFrame:
     """``(id, n)``: occurrences of every id over all documents; each task sends
     one row an id it met."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
             for value in batch.column(0):
-                got = np.bincount(_ids(value), minlength=len(total))
+                got = np.bincount(_ids(value, dtype), minlength=len(total))
                 got[:len(total)] += total
                 total = got
         seen = np.flatnonzero(total)
@@ -199,8 +230,11 @@ def id_counts(encoded: DataFrame) -> DataFrame:
 def write_tokens(df: DataFrame, tokenizer_path: str, path: str, end_id: int = 0, block_ids: int = BLOCK_IDS) -> None:
     """Write the token file set of ``df`` ``(doc_id, text)`` to the folder ``path``."""
     spark = df.sparkSession
-    encoded = materialize(encode_documents(df, tokenizer_path, end_id), "token-ids")
-    counts = id_counts(encoded).orderBy(F.desc("n"), "id")
+    with open(tokenizer_path, encoding="utf-8") as f:
+        tokenizer = f.read()
+    dtype = id_type(max(LibraryTokenizer(tokenizer).lib.get_vocab_size(), end_id + 1))
+    encoded = materialize(encode_documents(df, tokenizer, dtype, end_id), "token-ids")
+    counts = id_counts(encoded, dtype).orderBy(F.desc("n"), "id")
     # as many rows as the vocabulary has ids
     ranked = [r[0] for r in counts.select("id").collect()]
     spark.createDataFrame([(ranked,)], "ids array<long>").coalesce(1).write.parquet(f"{path}/ranks")
@@ -221,7 +255,7 @@ def write_tokens(df: DataFrame, tokenizer_path: str, path: str, end_id: int = 0,
         for batch in batches:
             for doc, value in zip(batch.column(0).to_pylist(), batch.column(1)):
                 docs.append(doc)
-                values.append(_ids(value))
+                values.append(_ids(value, dtype))
                 held += len(values[-1])
                 if held >= block_ids:
                     yield block(part, k, first, docs, values)
