@@ -1,4 +1,4 @@
-"""Queries on the dataset manifest (11)."""
+"""Queries on the dataset manifest (11) and the prefix trie (13)."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .merkle import document_leaves, fold, merkle_manifest, proof_digest
+from .prefix_trie import prefix_trie
 from .registry import query
 
 #: crc32 of a column of ASCII text: the table's 256 entries, then one step a character.
@@ -79,3 +80,45 @@ def op11(spark, sf_dir: str) -> DataFrame:
     return (rows.withColumn("folded_root", fold(F.coalesce("tampered", "leaf"), F.col("proof")))
             .select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root",
                     (F.col("folded_root") == F.col("root")).alias("verified")))
+
+
+OP13_SQL = f"""
+WITH RECURSIVE {CRC32_SQL},
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, turn_key) - 1 AS pos
+  FROM (SELECT conv_id, turn, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS turn_key,
+               len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS words
+        FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (SELECT conv_id, {crc32_sql('conv_id::VARCHAR')} % 4 AS h FROM (SELECT DISTINCT conv_id FROM o), crc_table),
+b AS (
+  SELECT c.conv_id, 0 AS own, o.pos, o.turn_key, o.words FROM c JOIN o ON o.conv_id = c.conv_id - c.conv_id % 20 AND o.pos < c.h
+  UNION ALL
+  SELECT c.conv_id, 1, o.pos, o.turn_key, o.words FROM c JOIN o ON o.conv_id = c.conv_id AND o.pos >= c.h),
+s AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY own, pos) AS depth, count(*) OVER (PARTITION BY conv_id) AS total FROM b),
+p AS (
+  SELECT conv_id, 0 AS depth, '' AS node, NULL::VARCHAR AS up, 0::BIGINT AS words,
+         (SELECT count(*) FROM s WHERE s.conv_id = c.conv_id) AS total FROM c
+  UNION ALL
+  SELECT s.conv_id, s.depth, sha256(p.node || s.turn_key), p.node, s.words, p.total
+  FROM p JOIN s ON s.conv_id = p.conv_id AND s.depth = p.depth + 1),
+n AS (
+  SELECT node, depth, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+         coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE total = depth), '') AS ends
+  FROM p GROUP BY node, depth),
+k AS (SELECT up, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY up),
+w AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM n LEFT JOIN k ON k.up = n.node),
+a AS (
+  SELECT node AS top, node, up, (n_children = 0)::BIGINT AS leaf, (n_convs - 1) * words AS saved FROM w
+  UNION ALL
+  SELECT a.up, w.node, w.up, a.leaf, a.saved FROM a JOIN w ON w.node = a.up),
+t AS (SELECT top, sum(leaf)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM a GROUP BY top)
+SELECT w.conv_id, w.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, w.n_convs, w.n_children, t.n_leaves, t.saved_tokens,
+       sha256(w.ends) AS ends_sha256
+FROM w JOIN t ON t.top = w.node LEFT JOIN w u ON u.node = w.up
+"""
+
+
+@query("op13_prefix_trie", OP13_SQL)
+def op13(spark, sf_dir: str) -> DataFrame:
+    """Every node of the trie of the rebuilt conversations."""
+    return prefix_trie(table(spark, sf_dir, "conversations"))
