@@ -83,12 +83,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df, name: str):
+def materialize(df, name: str, compression: str = "snappy"):
     """Cut the lineage by writing ``df`` as a Parquet table in the shared
     checkpoint folder and reading it back. Unlike an RDD checkpoint the table
     is compressed and column-pruned on read; unlike a cache it survives the
     loss of the executors that computed it."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.parquet(path)
