@@ -48,7 +48,7 @@ from .common import shuffle_partitions, whole_text
 
 BLOCK_IDS = 1 << 20
 #: Words kept with their ids in each worker (two generations of this size).
-MEMO = 500_000
+MEMO = 1_000_000
 #: ASCII marks that can stand behind a word; not the apostrophe, which joins endings.
 MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and c != 39)
 
@@ -117,6 +117,20 @@ class LibraryTokenizer:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array(self.dtype.char, x.ids).tobytes() for x in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """ASCII letters, with a space before them or not, are one piece of the
+        pattern and stand for themselves in the vocabulary, the space as U+0120;
+        they need the library's model alone."""
+        out, rest, code, tokens = {}, [], self.dtype.char, self.lib.model.tokenize
+        for w in words:
+            letters = w[1:] if w[:1] == " " else w
+            if letters.isalpha() and letters.isascii():
+                out[w] = array(code, [x.id for x in tokens(letters if letters is w else "\u0120" + letters)]).tobytes()
+            else:
+                rest.append(w)
+        out.update(zip(rest, self._encode(rest)))
+        return out
+
     def _marked(self, text: str) -> str:
         """The text with a mark between words (the space before a word is part
         of it) and white space that stands apart."""
@@ -141,7 +155,7 @@ class LibraryTokenizer:
                 new[x] = old[x]
             else:
                 plain.append(x)
-        new.update(zip(plain, self._encode(plain)))
+        new.update(self._encode_words(plain))
         for w, core in zip(cut, cores):
             tail = w[-1]
             new[w] = (new[core] if core in new else young[core]) + (new[tail] if tail in new else young[tail])
@@ -233,7 +247,7 @@ def write_tokens(df: DataFrame, tokenizer_path: str, path: str, end_id: int = 0,
     with open(tokenizer_path, encoding="utf-8") as f:
         tokenizer = f.read()
     dtype = id_type(max(LibraryTokenizer(tokenizer).lib.get_vocab_size(), end_id + 1))
-    encoded = materialize(encode_documents(df, tokenizer, dtype, end_id), "token-ids")
+    encoded = materialize(encode_documents(df, tokenizer, dtype, end_id), "token-ids", "zstd")
     counts = id_counts(encoded, dtype).orderBy(F.desc("n"), "id")
     # as many rows as the vocabulary has ids
     ranked = [r[0] for r in counts.select("id").collect()]
