@@ -20,8 +20,9 @@ from .plans.svm import OvoModel, grid_search, linear_scores, ovo_vote, train_cla
 from .plans.tfidf import fit_transform as fit_tfidf, fit_vocab, transform as transform_tfidf
 from .sources.files import read_csv, write_csv
 from .sources.registry import SourceSpec, count_or_zero, scan_sources
+from .streaming.epochs import read_epochs, write_epoch
 from .streaming.jobs import (daily_counts as stream_daily_counts, dedupe_ingest as stream_ingest_dedupe,
-                             dedupe_within_watermark, score_stream as stream_predict)
+                             dedupe_within_watermark, read_daily, read_ingested, read_scored, score_stream as stream_predict)
 
 
 def make_batches(rows, state, size: int = 35):

@@ -9,7 +9,7 @@ from ..operators.dedupe import order_key
 from ..plans import tfidf
 from ..plans.svm import OvoModel
 from ..session import scratch_path
-from ..streaming.jobs import daily_counts, dedupe_ingest, score_stream
+from ..streaming.jobs import daily_counts, dedupe_ingest, read_daily, read_ingested, read_scored, score_stream
 from . import query
 from . import sqlgen as q
 from .common import tbl
@@ -35,9 +35,9 @@ def event_files(spark, sf, redeliver: bool):
 def stream_dedupe_q(spark, sf):
     src = event_files(spark, sf, redeliver=True)
     sink, ck = scratch_path(spark, "dedupe_sink"), scratch_path(spark, "dedupe_ck")
-    stream = spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", 2).parquet(src)
-    dedupe_ingest(stream, "event_id", order_key(F.col("ts")), sink, ck).awaitTermination()
-    return spark.read.parquet(sink).select("event_id", "event_type")
+    stream = spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", 2).parquet(src).withColumn("day", F.to_date("ts"))
+    dedupe_ingest(stream, "event_id", order_key(F.col("ts")), sink, ck, day="day").awaitTermination()
+    return read_ingested(spark, sink).select("event_id", "event_type")
 
 
 @query("stream_daily", """
@@ -46,8 +46,9 @@ def stream_daily_q(spark, sf):
     src = event_files(spark, sf, redeliver=False)
     sink, ck = scratch_path(spark, "daily_sink"), scratch_path(spark, "daily_ck")
     stream = spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", 3).parquet(src)
-    daily_counts(stream, "ts", "event_type", sink, ck).awaitTermination()
-    return spark.read.parquet(sink).select("day", "event_type", "n")
+    # every file holds rows of all days, so the delay spans them
+    daily_counts(stream, "ts", "event_type", sink, ck, delay="400 days").awaitTermination()
+    return read_daily(spark, sink, "event_type")
 
 
 def demo_model(spark, sf):
@@ -91,4 +92,4 @@ def stream_score_q(spark, sf):
     sink, ck = scratch_path(spark, "score_sink"), scratch_path(spark, "score_ck")
     lines = spark.readStream.option("maxFilesPerTrigger", 1).text(lines_dir)
     score_stream(lines, lambda rows: model.predict(rows, "row_id"), sink, ck).awaitTermination()
-    return spark.read.parquet(sink).select("text", "prediction")
+    return read_scored(spark, sink)
