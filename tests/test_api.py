@@ -14,8 +14,11 @@ def test_public_api_end_to_end(spark):
     vocab, w = u.fit_tfidf(rows, "row_id")
     labelled = rows.withColumn("label", F.when(F.col("text").contains("buruk"), "negatif")
                                .when(F.col("text").contains("enak"), "positif").otherwise("netral"))
-    model, split, res = u.train_classifier(labelled, [1.0], k=2)
+    model, split, res = u.train_classifier(labelled, [1.0], k=2, max_iter=5)
     path = scratch_path(spark, "api_model")
     u.save_model(model, path)
     pred = u.predict(u.load_model(spark, path), rows).collect()
+    scored = model.score(rows, "row_id").collect()
+    assert {r.row_id: r.prediction for r in pred} == {r.row_id: r.prediction for r in scored}
+    assert all(r.symbol == {"positif": "+", "negatif": "-", "netral": "~"}[r.prediction] for r in scored)
     assert len(pred) == rows.count() and {r.prediction for r in pred} <= {"negatif", "netral", "positif"}

@@ -131,8 +131,8 @@ def test_watermark_dedupe_keeps_one_per_key(spark):
 def test_model_options_train_scope_and_clean(spark):
     from conftest import SF001
     from ulasan.catalog.model_q import train_model
-    model, split, ld, res = train_model(spark, SF001, Cs=[1.0], k=2, fit_scope="train")
-    assert res.filter("is_best").count() == 1
+    model, split, ld, res = train_model(spark, SF001, Cs=[1.0], k=2, max_iter=5, fit_scope="train")
+    assert res.filter("is_best").count() == 1 and res.first().max_iterations > 0
     test = ld.join(split.filter(F.col("split") == "test").select("row_id"), "row_id")
     p1 = model.predict(test, "row_id").collect()
     p2 = model.predict(test, "row_id", clean=True).collect()
@@ -140,21 +140,46 @@ def test_model_options_train_scope_and_clean(spark):
     assert {r.prediction for r in p1 + p2} <= {"negatif", "netral", "positif"}
 
 
-def test_mllib_training_path_runs(spark):
+def test_pairs_are_fitted_on_vectors_read_as_such(spark):
     from ulasan.plans import tfidf
-    from ulasan.plans.svm import fit_ovo, linear_scores, ovo_vote, training_frame, weight_table
+    from ulasan.plans.svm import balanced_weights, fit_ovo, linear_scores, ovo_vote, training_frame, weight_table
     rows = [(i, ("bagus sekali enak" if i % 3 == 0 else "buruk jelek basi" if i % 3 == 1 else "biasa saja info"),
-             ["positif", "negatif", "netral"][i % 3]) for i in range(60)]
+             ["positif", "negatif", "netral"][i % 3]) for i in range(60)] + [(60, "?", "netral")]
     df = spark.createDataFrame(rows, "row_id long, text string, label string")
-    vocab, w = tfidf.fit_transform(df, "row_id")
-    w = w.select("row_id", "term_id", "weight")
-    train = training_frame(w, df.select("row_id", "label"), vocab.count())
-    coefs, bs = fit_ovo(train, 1.0, max_iter=20)
-    pred = ovo_vote(linear_scores(df.select("row_id"), w, weight_table(spark, coefs), bs))
-    acc = pred.join(df, "row_id").filter(F.col("prediction") == F.col("label")).count() / 60
+    vocab, tf = tfidf.fit(df, "row_id")
+    size = vocab.count()
+    train = training_frame(tfidf.transform(tf, vocab), df.select("row_id", "label"), size)
+    assert train.count() == 61          # the row without a known term too
+    vector = train.where("row_id = 0").first().features
+    assert vector.size == size and abs(vector.norm(2) - 1) < 1e-9
+    counts = {"positif": 20, "negatif": 20, "netral": 21}
+    assert balanced_weights({"a": 1, "b": 3, "c": 0}) == {"a": 2.0, "b": 4 / 6}
+    fits = fit_ovo(train.coalesce(1), 1.0, counts, max_iter=5)
+    assert all(0 < f["iterations"] <= 5 and f["converged"] == (f["iterations"] < 5) for f in fits)
+    pred = ovo_vote(linear_scores(df.select("row_id"), tfidf.raw_weights(tf, vocab), weight_table(spark, fits, size), [f["b"] for f in fits]))
+    acc = pred.join(df, "row_id").filter(F.col("prediction") == F.col("label")).count() / 61
     assert acc > 0.9
 
 
+def test_held_out_margins_equal_each_fold_scored_alone(spark):
+    import numpy as np
+    from ulasan.plans import svm
+    rng = np.random.default_rng(2)
+    weighted = spark.createDataFrame([(i, int(t), float(rng.random())) for i in range(12) for t in rng.choice(6, 3, False)],
+                                     "row_id long, term_id int, weight double")
+    held = spark.createDataFrame([(i, i % 2, "netral") for i in range(13)], "row_id long, fold int, label string")
+    fits = {(g, f, p): {"coef": rng.normal(size=6), "b": float(rng.normal())} for g in range(2) for f in range(2) for p in range(3)}
+    got = {(r.gi, r.row_id): (r.s0, r.s1, r.s2) for r in svm._held_out_margins(weighted, held, fits, 2, 2, 6).collect()}
+    assert len(got) == 26
+    rows = {}
+    for r in weighted.collect():
+        rows.setdefault(r.row_id, []).append((r.term_id, r.weight))
+    for (g, i), margins in got.items():
+        for p, m in enumerate(margins):
+            fit = fits[g, i % 2, p]
+            assert abs(m - fit["b"] - sum(w * fit["coef"][t] for t, w in rows.get(i, []))) < 1e-9
+
+
 def test_label_job_resumes_and_exits_early(spark):
     from ulasan.catalog.model_q import offline_labeller
     from ulasan.operators.labelling import label_job

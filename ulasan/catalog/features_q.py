@@ -80,9 +80,8 @@ def tfidf_weights_q(spark, sf):
 
 @query("doc_norms", TF_SQL + " SELECT DISTINCT doc_id, round(norm, 6) AS norm FROM wn")
 def doc_norms_q(spark, sf):
-    _, w = fitted(spark, sf)
-    return w.groupBy("row_id").agg(F.round(F.first("norm"), 6).alias("norm")) \
-            .withColumnRenamed("row_id", "doc_id")
+    vocab, tf = tfidf.fit(docs(spark, sf), "doc_id")
+    return tfidf.row_norms(tfidf.raw_weights(tf, vocab)).select(F.col("row_id").alias("doc_id"), F.round("norm", 6).alias("norm"))
 
 
 @query("vocab_lookup", TF_SQL + """
@@ -140,9 +139,9 @@ SCORES_SQL = TF_SQL + f"""
 
 
 def scored(spark, sf):
-    vocab, w = fitted(spark, sf)
+    vocab, tf = tfidf.fit(docs(spark, sf), "doc_id")
     rows = docs(spark, sf).select(F.col("doc_id").alias("row_id"))
-    return linear_scores(rows, w, demo_weights(vocab), DEMO_B)
+    return linear_scores(rows, tfidf.raw_weights(tf, vocab), demo_weights(vocab), DEMO_B)
 
 
 @query("linear_scores", SCORES_SQL + """

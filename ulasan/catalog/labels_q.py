@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 from ..operators.counts import value_counts, with_share, zero_filled_counts
 from ..operators.dedupe import keep_first, order_key
-from ..operators.labelling import (BATCH_SIZE, DEFAULT_LABEL, LABELS, PROMPT_HEAD, PROMPT_TAIL,
+from ..operators.labelling import (SYMBOLS, UNKNOWN_SYMBOL, symbol_of, BATCH_SIZE, DEFAULT_LABEL, LABELS, PROMPT_HEAD, PROMPT_TAIL,
                                    REPORT_ORDER, assign_batches, batch_rows, build_prompts,
                                    labels_from_responses, parse_response, pending_rows, publish)
 from ..operators.review import override_labels, sample_exact
@@ -20,8 +20,6 @@ from .common import tbl
 from .sqlgen import lit
 
 # --- fixed values ------------------------------------------------------------
-SYMBOLS = {"positif": "+", "negatif": "-", "netral": "~"}   # scorer output symbols
-UNKNOWN_SYMBOL = "?"
 SAMPLE_N, SEED = 300, 42
 GRID_C = [0.1, 1.0, 10.0, 100.0]
 DEMO_KEYWORDS = ["the", "und", "que", "les", "with"]
@@ -43,12 +41,6 @@ def labeled(spark, sf):
     return tbl(spark, sf, "labels").select("doc_id", label_col().alias("label"))
 
 
-def symbol_of(c):
-    """Dict lookup with default as a literal map."""
-    m = F.create_map(*[F.lit(x) for kv in SYMBOLS.items() for x in kv])
-    return F.coalesce(m[c], F.lit(UNKNOWN_SYMBOL))
-
-
 @query("label_map", f"SELECT doc_id, label, {SYMBOL_SQL} AS symbol FROM {LABELED_SQL}")
 def label_map_q(spark, sf):
     return labeled(spark, sf).withColumn("symbol", symbol_of(F.col("label")))

@@ -11,7 +11,7 @@ from ..plans.svm import OvoModel, train_classifier
 from ..session import scratch_path
 from . import query
 from .common import tbl
-from .labels_q import GRID_C, SEED, label_col, symbol_of
+from .labels_q import GRID_C, SEED, label_col
 
 
 def labelled_docs(spark, sf):
@@ -20,9 +20,9 @@ def labelled_docs(spark, sf):
     return d.join(lab, "row_id")
 
 
-def train_model(spark, sf, Cs=None, k=5, max_iter=50, fit_scope="all"):
+def train_model(spark, sf, Cs=None, k=5, max_iter=30, fit_scope="all"):
     """Train on the labelled documents of ``sf`` (see ``train_classifier``)."""
-    ld = labelled_docs(spark, sf).cache()
+    ld = labelled_docs(spark, sf)
     model, split, res = train_classifier(ld, Cs or GRID_C, k=k, max_iter=max_iter, fit_scope=fit_scope, seed=SEED)
     return model, split, ld, res
 
@@ -31,9 +31,8 @@ def train_model(spark, sf, Cs=None, k=5, max_iter=50, fit_scope="all"):
 def svm_grid_predict_q(spark, sf):
     model, split, ld, _ = train_model(spark, sf)
     test = ld.join(split.filter(F.col("split") == "test").select("row_id"), "row_id")
-    pred = model.predict(test, "row_id")
-    return test.select("row_id", "label").join(pred, "row_id").select(
-        F.col("row_id").alias("doc_id"), "label", "prediction", symbol_of(F.col("prediction")).alias("symbol"))
+    return test.select("row_id", "label").join(model.score(test, "row_id"), "row_id").select(
+        F.col("row_id").alias("doc_id"), "label", "prediction", "symbol")
 
 
 @query("evaluate_model")
@@ -43,12 +42,12 @@ def evaluate_model_q(spark, sf):
 
 @query("model_roundtrip")
 def model_roundtrip_q(spark, sf):
-    model, _, _, _ = train_model(spark, sf, Cs=[1.0], k=2, max_iter=30)
+    """Train on the whole grid, save, load and score every document."""
+    model, _, _, _ = train_model(spark, sf)
     path = scratch_path(spark, "model")
     model.save(path)
-    loaded = OvoModel.load(spark, path)
     docs = spread(tbl(spark, sf, "documents")).select("doc_id", "text")
-    return loaded.predict(docs, "doc_id").select(F.col("row_id").alias("doc_id"), "prediction")
+    return OvoModel.load(spark, path).score(docs, "doc_id").select(F.col("row_id").alias("doc_id"), "prediction", "symbol")
 
 
 def offline_labeller(prompts, texts):

@@ -22,6 +22,8 @@ from .positions import with_positions
 LABELS = ["negatif", "netral", "positif"]          # class order (alphabetical)
 REPORT_ORDER = ["positif", "negatif", "netral"]    # order of the summary counts
 DEFAULT_LABEL = "netral"
+SYMBOLS = {"positif": "+", "negatif": "-", "netral": "~"}   # scorer output symbols
+UNKNOWN_SYMBOL = "?"
 BATCH_SIZE = 35
 SYSTEM_PROMPT = (
     "Kamu adalah annotator sentimen untuk teks media sosial berbahasa Indonesia. "
@@ -45,6 +47,12 @@ FENCE = "```"
 STATE_SCHEMA = "row_id long, label string, batch_id long, labelled_at timestamp"
 
 
+def symbol_of(label: Column) -> Column:
+    """The label's symbol, by a literal map with a default."""
+    m = F.create_map(*[F.lit(x) for kv in SYMBOLS.items() for x in kv])
+    return F.coalesce(m[label], F.lit(UNKNOWN_SYMBOL))
+
+
 # --- batching and prompts ---------------------------------------------------------
 def assign_batches(rows: DataFrame, order: list[Column], size: int = BATCH_SIZE) -> DataFrame:
     """E02 + D17: position every row on the total ``order`` and cut batches of

@@ -1,24 +1,21 @@
 """Linear SVM, one-vs-one.
 
-Two training paths, chosen by the size of the labelled set:
-
-* up to ``LOCAL_FIT_MAX_ROWS`` training rows, every held-out fold is one
-  ``applyInPandas`` group: for each C the three pair models are solved with
-  dual coordinate descent (L1-loss SVM, per-sample bound C·wᵢ) in numpy
-  inside the task and the held-out rows are predicted there; Spark spreads
-  the folds over the executors in one job;
-* beyond it, MLlib ``LinearSVC`` trains each pair distributed over all rows.
-
-Training uses MLlib ``LinearSVC`` per class pair on the labelled rows, with
-balanced sample weights and ``regParam = 1/(C·Σw)`` so that MLlib's
-weight-averaged hinge loss + (regParam/2)·||w||² has the same minimiser as
-0.5·||w||² + C·Σ wᵢ·hingeᵢ. Grid-search fits are independent Spark jobs
-submitted from a small thread pool.
-
-Scoring never builds vectors: in-vocabulary TF-IDF rows join the broadcast
-weight table (one row per vocabulary term, bounded by ``max_features``), one
-conditional-sum aggregation gives the three pair margins per row, and the
-vote is a column expression (ties go to the first label).
+Training is one path at every size: Spark ML's ``LinearSVC`` for each pair of
+classes, distributed over the rows. Balanced class weights are those of the rows
+a fit sees (each fold has its own), and ``regParam = 1/(C·Σw)`` gives the averaged
+hinge loss + (regParam/2)·||w||² the same minimiser as 0.5·||w||² + C·Σ wᵢ·hingeᵢ.
+The fits of a grid are independent jobs submitted from a small thread pool; all
+held-out rows are then scored in one pass, by a weight table with one row per
+(fold, term) and one column per (C, pair). Every fit reports its iterations and
+whether it converged.
+
+Vectors are built by the JVM: indices and values are gathered natively and
+written as a table in the vector type's own layout, which is read back as it.
+
+Scoring never builds vectors: in-vocabulary TF-IDF rows join the weight table
+(one row per vocabulary term, bounded by ``max_features``), one aggregation
+gives the three pair margins per row, and the vote is a column expression (ties
+go to the first label).
 """
 from __future__ import annotations
 
@@ -28,13 +25,16 @@ from concurrent.futures import ThreadPoolExecutor
 import numpy as np
 import pandas as pd
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LinearSVC
-from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..operators.labelling import LABELS
-from ..operators.split import class_weights, stratified_kfold
+from ..operators.labelling import LABELS, symbol_of
+from ..operators.split import stratified_kfold
+from ..session import materialize, scratch_path
 from . import tfidf
 from .evaluate import best_param, macro_f1
 
@@ -42,15 +42,19 @@ PAIRS = [(0, 1), (0, 2), (1, 2)]   # indices into LABELS; margin > 0 votes the f
 
 
 # --- scoring (relational) ------------------------------------------------------------
-def linear_scores(rows: DataFrame, weighted: DataFrame, weights: DataFrame, intercepts: list[float]) -> DataFrame:
+def linear_scores(rows: DataFrame, raw: DataFrame, weights: DataFrame, intercepts: list[float]) -> DataFrame:
     """``(row_id, s0, s1, s2)``: margins of the three pair classifiers for
-    every row of ``rows`` (rows without known terms get the intercepts)."""
-    j = weighted.select("row_id", "term_id", "weight").join(F.broadcast(weights), "term_id")
-    s = j.groupBy("row_id").agg(*[F.sum(F.col("weight") * F.col(f"w{p}")).alias(f"s{p}")
-                                  for p in range(len(PAIRS))])
-    out = rows.select("row_id").join(s, "row_id", "left")
-    return out.select("row_id", *[(F.coalesce(F.col(f"s{p}"), F.lit(0.0)) + F.lit(float(b))).alias(f"s{p}")
-                                  for p, b in enumerate(intercepts)])
+    every row of ``rows`` (rows without known terms get the intercepts).
+    ``raw`` holds ``(row_id, term_id, raw)``; the length of a row's vector is
+    summed in the same aggregate as its margins."""
+    # a row for each vocabulary term, max_features at most
+    j = raw.select("row_id", "term_id", "raw").join(F.broadcast(weights), "term_id", "left")
+    names = [f"s{p}" for p in range(len(PAIRS))]
+    sums = j.groupBy("row_id").agg(F.sum(F.col("raw") * F.col("raw")).alias("q"),
+                                   *[F.sum(F.col("raw") * F.col(f"w{p}")).alias(n) for p, n in enumerate(names)])
+    out = rows.select("row_id").join(sums, "row_id", "left")
+    return out.select("row_id", *[(F.coalesce(F.col(n) / F.sqrt("q"), F.lit(0.0)) + F.lit(float(b))).alias(n)
+                                  for n, b in zip(names, intercepts)])
 
 
 def ovo_vote(scores: DataFrame) -> DataFrame:
@@ -73,40 +77,67 @@ def ovo_vote(scores: DataFrame) -> DataFrame:
 
 # --- vectors and fitting ---------------------------------------------------------------
 def to_vectors(weighted: DataFrame, size: int) -> DataFrame:
-    """``(row_id, features)`` SparseVectors for MLlib (training rows only).
-    Indices/values are gathered natively; the small per-row helper only
-    wraps them in the vector type, which has no SQL constructor."""
+    """``(row_id, features)``: sparse vectors. They are written in the layout of
+    the vector type (0 = sparse) and read back as that type."""
     g = weighted.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("term_id", "weight"))).alias("x"))
-    mk = F.udf(lambda idx, val: SparseVector(size, idx, val), VectorUDT())
-    return g.select("row_id", mk(F.col("x.term_id"), F.col("x.weight")).alias("features"))
+    return _as_vectors(g.select("row_id", F.struct(
+        F.lit(0).cast("byte").alias("type"), F.lit(size).alias("size"), F.col("x.term_id").alias("indices"),
+        F.col("x.weight").alias("values")).alias("features")))
 
 
-def fit_ovo(train: DataFrame, C: float, max_iter: int = 100, tol: float = 1e-6) -> tuple[list[list[float]], list[float]]:
-    """Fit the three pair classifiers on ``(row_id, label, features, w)``;
-    returns per-pair coefficient lists and intercepts (bounded by the vocabulary)."""
-    coefs, bs = [], []
-    for a, b in PAIRS:
-        sub = train.filter(F.col("label").isin(LABELS[a], LABELS[b])) \
-                   .withColumn("y", (F.col("label") == LABELS[a]).cast("double"))
-        sw = sub.agg(F.sum("w")).first()[0] or 1.0
-        svc = LinearSVC(featuresCol="features", labelCol="y", weightCol="w", regParam=1.0 / (C * sw),
-                        standardization=False, maxIter=max_iter, tol=tol)
-        m = svc.fit(sub)
-        coefs.append(m.coefficients.toArray().tolist())
-        bs.append(float(m.intercept))
-    return coefs, bs
+def _as_vectors(df: DataFrame) -> DataFrame:
+    """``df`` as a table whose ``features`` are read as vectors."""
+    path = scratch_path(df.sparkSession, "vectors")
+    df.write.parquet(path)
+    kinds = [T.StructField(f.name, VectorUDT() if f.name == "features" else f.dataType) for f in df.schema.fields]
+    return df.sparkSession.read.schema(T.StructType(kinds)).parquet(path)
 
 
-def weight_table(spark: SparkSession, coefs: list[list[float]]) -> DataFrame:
-    rows = [(i, *[float(c[i]) for c in coefs]) for i in range(len(coefs[0]))]
-    return spark.createDataFrame(rows, "term_id int, " + ", ".join(f"w{p} double" for p in range(len(coefs))))
+def balanced_weights(counts: dict[str, int]) -> dict[str, float]:
+    """Weight of each class with rows: all rows / (classes · its rows)."""
+    counts = {c: n for c, n in counts.items() if n}
+    return {c: sum(counts.values()) / (len(counts) * n) for c, n in counts.items()}
 
 
-def training_frame(labeled_weighted: DataFrame, labels: DataFrame, size: int) -> DataFrame:
-    """``(row_id, label, features, w)`` with balanced class weights."""
-    cw = class_weights(labels).select("label", F.col("weight").alias("w"))
-    vec = to_vectors(labeled_weighted, size)
-    return labels.join(vec, "row_id").join(F.broadcast(cw), "label")
+def fit_pair(rows: DataFrame, a: str, b: str, C: float, counts: dict[str, int], max_iter: int, tol: float) -> dict:
+    """One pair classifier on ``(label, features)``; ``counts`` are the rows of
+    each class. A pair without rows of both classes votes for the one it has."""
+    weights = balanced_weights(counts)
+    if a not in weights or b not in weights:
+        return {"coef": None, "b": 1.0 if a in weights else -1.0, "iterations": 0, "converged": True}
+    sub = rows.filter(F.col("label").isin(a, b)).select(
+        "features", (F.col("label") == a).cast("double").alias("y"),
+        F.when(F.col("label") == a, F.lit(weights[a])).otherwise(F.lit(weights[b])).alias("w"))
+    total = weights[a] * counts[a] + weights[b] * counts[b]
+    model = LinearSVC(featuresCol="features", labelCol="y", weightCol="w", regParam=1.0 / (C * total), standardization=False,
+                      maxIter=max_iter, tol=tol).fit(sub)
+    n = model.summary().totalIterations
+    return {"coef": model.coefficients.toArray(), "b": float(model.intercept), "iterations": int(n), "converged": n < max_iter}
+
+
+def fit_ovo(train: DataFrame, C: float, counts: dict[str, int], max_iter: int = 30, tol: float = 1e-2) -> list[dict]:
+    """The pair classifiers on ``(label, features)``, in the order of ``PAIRS``."""
+    return [fit_pair(train, LABELS[a], LABELS[b], C, counts, max_iter, tol) for a, b in PAIRS]
+
+
+def _coefficients(fits: list[dict], size: int) -> np.ndarray:
+    return np.stack([np.zeros(size) if f["coef"] is None else f["coef"] for f in fits], axis=1)
+
+
+def weight_table(spark: SparkSession, fits: list[dict], size: int) -> DataFrame:
+    """``(term_id, w0, w1, w2)``: one row a vocabulary term."""
+    frame = pd.DataFrame(_coefficients(fits, size), columns=[f"w{p}" for p in range(len(fits))])
+    frame.insert(0, "term_id", np.arange(size, dtype=np.int32))
+    return spark.createDataFrame(frame)
+
+
+def training_frame(weighted: DataFrame, labels: DataFrame, size: int) -> DataFrame:
+    """``labels`` (``row_id, label, ...``) with ``features``; a row without known
+    terms has the empty vector."""
+    filled = weighted.select("row_id", "term_id", "weight").unionByName(
+        labels.select("row_id", F.lit(0).alias("term_id"), F.lit(0.0).alias("weight")))
+    one = filled.groupBy("row_id", "term_id").agg(F.sum("weight").alias("weight"))
+    return labels.join(to_vectors(one.join(labels.select("row_id"), "row_id", "left_semi"), size), "row_id")
 
 
 class OvoModel:
@@ -121,9 +152,15 @@ class OvoModel:
             from ..functions.text import clean_text
             docs = docs.withColumn(text_col, clean_text(text_col))
         tf = tfidf.doc_terms(docs, id_col, text_col)
-        w = tfidf.transform(tf, self.vocab)
+        raw = tfidf.raw_weights(tf, self.vocab)
         rows = docs.select(F.col(id_col).alias("row_id"))
-        return ovo_vote(linear_scores(rows, w, self.weights, self.intercepts)).select("row_id", "prediction")
+        return ovo_vote(linear_scores(rows, raw, self.weights, self.intercepts)).select("row_id", "prediction")
+
+    def score(self, docs: DataFrame, id_col: str, text_col: str = "text", clean: bool = False) -> DataFrame:
+        """``(row_id, text, prediction, symbol)`` for every row of ``docs``."""
+        pred = self.predict(docs, id_col, text_col, clean)
+        return (docs.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("text")).join(pred, "row_id")
+                .withColumn("symbol", symbol_of(F.col("prediction"))))
 
     def save(self, path: str) -> None:
         """Vocabulary and weights as Parquet, scalars as a one-row JSON table."""
@@ -150,192 +187,80 @@ def size_partitions(df: DataFrame, n_rows: int) -> DataFrame:
     return df.repartition(max(1, -(-n_rows // ROWS_PER_PART)))
 
 
-def grid_search(train: DataFrame, weighted: DataFrame, spark: SparkSession, Cs: list[float], k: int = 5,
-                max_iter: int = 100, parallelism: int = 8) -> DataFrame:
-    """Stratified k-fold macro-F1 per C (fold fits run concurrently);
-    returns ``(C, gi, mean_score, is_best)``."""
-    folds = stratified_kfold(train.select("row_id", "label"), "row_id", k=k).select("row_id", "fold").cache()
-    data = train.join(folds, "row_id")
-    data = size_partitions(data, data.count()).cache()
-    jobs = [(gi, c, f) for gi, c in enumerate(Cs) for f in range(k)]
+def _held_out_margins(weighted: DataFrame, held: DataFrame, fits: dict, n_grid: int, k: int, size: int) -> DataFrame:
+    """``(gi, row_id, fold, label, s0, s1, s2)``: margins of every held-out row by
+    the models of its fold, for all grid points in one pass."""
+    spark, n_pairs = weighted.sparkSession, len(PAIRS)
+    names = [f"w{gi}_{p}" for gi in range(n_grid) for p in range(n_pairs)]
+    tables = []
+    for f in range(k):
+        t = pd.DataFrame(np.concatenate([_coefficients([fits[gi, f, p] for p in range(n_pairs)], size) for gi in range(n_grid)], axis=1), columns=names)
+        t.insert(0, "fold", f)
+        t.insert(1, "term_id", np.arange(size, dtype=np.int32))
+        tables.append(t[(t[names] != 0).any(axis=1)])
+    table = materialize(spark.createDataFrame(pd.concat(tables), "fold int, term_id int, " + ", ".join(f"{n} double" for n in names)), "grid_weights")
+    terms = weighted.join(held, "row_id").join(table, ["fold", "term_id"])
+    sums = terms.groupBy("row_id").agg(*[F.sum(F.col("weight") * F.col(n)).alias(n) for n in names])
+    first = lambda gi, p: F.array(*[F.lit(fits[gi, f, p]["b"]) for f in range(k)])[F.col("fold")]
+    margin = lambda gi, p: (F.coalesce(F.col(f"w{gi}_{p}"), F.lit(0.0)) + first(gi, p)).alias(f"s{p}")
+    points = F.array(*[F.struct(F.lit(gi).alias("gi"), *[margin(gi, p) for p in range(n_pairs)]) for gi in range(n_grid)])
+    return held.join(sums, "row_id", "left").select("row_id", "fold", "label", F.explode(points).alias("x")).select("row_id", "fold", "label", "x.*")
+
+
+def grid_search(weighted: DataFrame, labels: DataFrame, size: int, Cs: list[float], k: int = 5, max_iter: int = 30,
+                tol: float = 1e-2, parallelism: int = 8) -> tuple[DataFrame, dict]:
+    """Stratified k-fold macro-F1 per C on ``labels`` (``row_id, label``) and
+    a refit of the best C on all of them. Returns ``(C, gi, mean_score, is_best,
+    max_iterations, converged)`` and ``{"C", "fits"}``."""
+    spark = labels.sparkSession
+    folds = materialize(stratified_kfold(labels, "row_id", k=k).select("row_id", "label", "fold"), "folds")
+    # at most a row for each class and fold
+    cells = {(r.label, r.fold): r.n for r in folds.groupBy("label", "fold").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = [{c: sum(n for (x, g), n in cells.items() if x == c and g != f) for c in LABELS} for f in [*range(k), None]]
+    # a table, not a cache: each of the many small jobs of a fit carries its lineage
+    data = _as_vectors(size_partitions(training_frame(weighted, folds, size), sum(cells.values())))
+    jobs = [(gi, f, p) for gi in range(len(Cs)) for f in range(k) for p in range(len(PAIRS))]
 
     def run(job):
-        gi, c, f = job
-        coefs, bs = fit_ovo(data.filter(F.col("fold") != f), c, max_iter)
-        held = data.filter(F.col("fold") == f).select("row_id", "label")
-        sc = ovo_vote(linear_scores(held, weighted, weight_table(spark, coefs), bs))
-        return sc.join(held, "row_id").select(F.lit(gi).alias("gi"), F.lit(float(c)).alias("C"),
-                                              F.lit(f).alias("fold"), "label", "prediction")
-
-    with ThreadPoolExecutor(max_workers=parallelism) as ex:
-        parts = list(ex.map(run, jobs))
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
-    res = best_param(macro_f1(scored, ["gi", "C", "fold"]), "C", "gi")
-    return res
-
-
-# --- in-task training for labelled sets of bounded size -------------------------------
-LOCAL_FIT_MAX_ROWS = 50_000
-
-
-def dual_cd(idx: list, val: list, y: np.ndarray, upper: np.ndarray, dim: int,
-            max_iter: int = 1000, eps: float = 0.1, seed: int = 0) -> tuple[np.ndarray, float]:
-    """L1-loss linear SVM by dual coordinate descent with shrinking; the bias
-    is an extra feature of value 1. Samples whose multiplier sits at a bound
-    with the gradient pointing outwards leave the active set; convergence
-    (projected-gradient spread below ``eps``, 0.1 being the usual default of
-    this solver) is confirmed on the full set before stopping. Returns
-    (coefficients, intercept)."""
-    n = len(y)
-    w = np.zeros(dim + 1)
-    alpha = np.zeros(n)
-    xs = [(np.append(np.asarray(i, dtype=np.int64), dim), np.append(np.asarray(v, dtype=float), 1.0))
-          for i, v in zip(idx, val)]
-    q = np.array([float(v @ v) for _, v in xs])
-    rng = np.random.default_rng(seed)
-    active = np.arange(n)
-    hi_bar, lo_bar = np.inf, -np.inf
-    for _ in range(max_iter):
-        hi, lo = -np.inf, np.inf
-        keep = []
-        for i in rng.permutation(active):
-            ii, vv = xs[i]
-            g = y[i] * float(w[ii] @ vv) - 1.0
-            a, u = alpha[i], upper[i]
-            if a == 0.0:
-                if g > hi_bar:
-                    continue
-                pg = min(g, 0.0)
-            elif a == u:
-                if g < lo_bar:
-                    continue
-                pg = max(g, 0.0)
-            else:
-                pg = g
-            keep.append(i)
-            hi, lo = max(hi, pg), min(lo, pg)
-            if pg != 0.0:
-                alpha[i] = min(max(a - g / q[i], 0.0), u)
-                w[ii] += (alpha[i] - a) * y[i] * vv
-        active = np.asarray(keep, dtype=np.int64)
-        if hi - lo <= eps:
-            if len(active) == n:
-                break
-            active, hi_bar, lo_bar = np.arange(n), np.inf, -np.inf
-            continue
-        hi_bar = hi if hi > 0 else np.inf
-        lo_bar = lo if lo < 0 else -np.inf
-    return w[:dim], float(w[dim])
-
-
-def _fit_pairs(fit: pd.DataFrame, C: float, dim: int):
-    out = []
-    for a, b in PAIRS:
-        sub = fit[fit["label"].isin([LABELS[a], LABELS[b]])]
-        y = np.where(sub["label"].to_numpy() == LABELS[a], 1.0, -1.0)
-        coef, b0 = dual_cd(list(sub["idx"]), list(sub["val"]), y, C * sub["w"].to_numpy(float), dim)
-        out.append((coef, b0))
-    return out
-
-
-def _predict_rows(models, rows: pd.DataFrame) -> list[str]:
-    preds = []
-    for ii, vv in zip(rows["idx"], rows["val"]):
-        ii, vv = np.asarray(ii, dtype=np.int64), np.asarray(vv, dtype=float)
-        votes = [0] * len(LABELS)
-        for (a, b), (coef, b0) in zip(PAIRS, models):
-            votes[a if float(coef[ii] @ vv) + b0 > 0 else b] += 1
-        preds.append(LABELS[int(np.argmax(votes))])
-    return preds
-
-
-def task_rows(weighted: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(row_id, label, w, idx, val)``: one row per labelled row with its
-    sparse TF-IDF vector as arrays (gathered natively, no vector type)."""
-    cw = class_weights(labels).select("label", F.col("weight").alias("w"))
-    g = weighted.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("term_id", "weight"))).alias("x"))
-    v = g.select("row_id", F.col("x.term_id").alias("idx"), F.col("x.weight").alias("val"))
-    return labels.join(v, "row_id", "left").join(F.broadcast(cw), "label") \
-                 .withColumn("idx", F.coalesce("idx", F.array().cast("array<int>"))) \
-                 .withColumn("val", F.coalesce("val", F.array().cast("array<double>")))
-
-
-def grid_predict_local(rows: DataFrame, folds: DataFrame, Cs: list[float], k: int, dim: int) -> DataFrame:
-    """Every held-out fold is one group holding the fit rows and the held-out
-    rows (k copies of the training set, not k·|C|); the task fits the three
-    pair models for each C in turn and predicts its held-out rows:
-    ``(gi, C, fold, row_id, label, prediction)``."""
-    held = F.array(*[F.lit(f) for f in range(k)])
-    d = rows.join(folds, "row_id").select("*", F.explode(held).alias("held"))
-    d = d.withColumn("role", F.when(F.col("fold") == F.col("held"), "eval").otherwise("fit"))
-    d = d.select(F.col("held").alias("fold"), "role", "row_id", "label", "w", "idx", "val")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        fit, ev = pdf[pdf["role"] == "fit"], pdf[pdf["role"] == "eval"]
-        out = []
-        for gi, c in enumerate(Cs):
-            preds = _predict_rows(_fit_pairs(fit, float(c), dim), ev)
-            out.append(pd.DataFrame({"gi": gi, "C": float(c), "fold": ev["fold"].to_numpy(),
-                                     "row_id": ev["row_id"].to_numpy(), "label": ev["label"].to_numpy(),
-                                     "prediction": preds}))
-        return pd.concat(out, ignore_index=True)
-
-    return d.groupBy("fold").applyInPandas(
-        run, "gi int, C double, fold int, row_id long, label string, prediction string")
-
-
-def fit_local(rows: DataFrame, C: float, dim: int) -> tuple[list[list[float]], list[float]]:
-    """Refit on all training rows in one task (bounded by LOCAL_FIT_MAX_ROWS)."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        models = _fit_pairs(pdf, C, dim)
-        return pd.DataFrame({"pair": list(range(len(PAIRS))), "coef": [m[0].tolist() for m in models],
-                             "b": [m[1] for m in models]})
-    out = rows.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(
-        run, "pair int, coef array<double>, b double").orderBy("pair").collect()
-    return [list(r["coef"]) for r in out], [float(r["b"]) for r in out]
-
-
-def train_classifier(labelled: DataFrame, Cs: list[float], k: int = 5, max_iter: int = 50,
-                     fit_scope: str = "all", seed: int = 42, test_size: float = 0.2):
+        gi, f, p = job
+        a, b = PAIRS[p]
+        return fit_pair(data.filter(F.col("fold") != f), LABELS[a], LABELS[b], Cs[gi], counts[f], max_iter, tol)
+
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        fits = dict(zip(jobs, pool.map(inheritable_thread_target(spark)(run), jobs)))
+    margins = _held_out_margins(weighted, folds, fits, len(Cs), k, size)
+    scored = materialize(ovo_vote(margins).withColumn("C", _of_grid(Cs)).select("gi", "C", "fold", "label", "prediction"), "grid_predictions")
+    best = best_param(macro_f1(scored, ["gi", "C", "fold"]), "C", "gi")
+    told = spark.createDataFrame([(gi, max(fits[gi, f, p]["iterations"] for f in range(k) for p in range(len(PAIRS))),
+                                   all(fits[gi, f, p]["converged"] for f in range(k) for p in range(len(PAIRS)))) for gi in range(len(Cs))],
+                                 "gi int, max_iterations int, converged boolean")
+    res = materialize(best.join(told, "gi"), "grid_scores")
+    C = res.filter("is_best").first()["C"]
+    return res, {"C": C, "fits": fit_ovo(data, C, counts[k], max_iter, tol)}
+
+
+def _of_grid(Cs: list[float]) -> Column:
+    return F.array(*[F.lit(float(c)) for c in Cs])[F.col("gi")]
+
+
+def train_classifier(labelled: DataFrame, Cs: list[float], k: int = 5, max_iter: int = 30,
+                     fit_scope: str = "all", seed: int = 42, test_size: float = 0.2, tol: float = 1e-2):
     """I01-I05 end to end on ``(row_id, text, label)``: stratified split,
     TF-IDF (``fit_scope="all"`` fits the vocabulary on every labelled row as
     the reference does, leaking test terms into the idf; ``"train"`` fits it
     on the training rows only), stratified k-fold grid search over ``Cs`` on
-    the training part, refit with the best C.
-
-    Training path by size: up to ``LOCAL_FIT_MAX_ROWS`` training rows the
-    fits run inside tasks (one group per held-out fold), beyond it MLlib
-    ``LinearSVC`` trains each pair distributed. Returns ``(model, split,
+    the training part, refit with the best C. Returns ``(model, split,
     grid_scores)``."""
     from ..operators.split import stratified_split
-    from ..session import materialize
     spark = labelled.sparkSession
-    split = stratified_split(labelled.select("row_id", "label"), "row_id", test_size=test_size, seed=seed).cache()
-    if fit_scope == "train":
-        tf = materialize(tfidf.doc_terms(labelled, "row_id"), "term_counts")
-        fit_rows = split.filter(F.col("split") == "train").select("row_id")
-        vocab = tfidf.fit_vocab(tf.join(fit_rows, "row_id"), fit_rows.agg(F.count(F.lit(1))).scalar())
-        w = tfidf.transform(tf, vocab)
-    else:
-        vocab, w = tfidf.fit_transform(labelled, "row_id")
-    vocab, w = vocab.cache(), w.select("row_id", "term_id", "weight").cache()
+    split = materialize(stratified_split(labelled.select("row_id", "label"), "row_id", test_size=test_size, seed=seed), "split")
+    tf = materialize(tfidf.doc_terms(labelled, "row_id"), "term_counts")
+    fit_rows = labelled if fit_scope == "all" else split.filter(F.col("split") == "train")
+    fit_tf = tf if fit_scope == "all" else tf.join(fit_rows.select("row_id"), "row_id", "left_semi")
+    vocab = materialize(tfidf.fit_vocab(fit_tf, fit_rows.agg(F.count(F.lit(1))).scalar()), "vocabulary")
+    weighted = materialize(tfidf.transform(tf, vocab).select("row_id", "term_id", "weight"), "weights")
     train_rows = split.filter(F.col("split") == "train").select("row_id", "label")
-    n_train = train_rows.count()
-    dim = tfidf.MAX_FEATURES
-    if n_train <= LOCAL_FIT_MAX_ROWS:
-        rows = task_rows(w, train_rows).cache()
-        folds = stratified_kfold(train_rows, "row_id", k=k).select("row_id", "fold")
-        # the evaluation reads the predictions several times: train once
-        pred = materialize(grid_predict_local(rows, folds, Cs, k, dim), "grid_predictions")
-        res = best_param(macro_f1(pred, ["gi", "C", "fold"]), "C", "gi").cache()
-        best_c = res.filter("is_best").first()["C"]
-        coefs, bs = fit_local(rows, best_c, dim)
-    else:
-        train = size_partitions(training_frame(w, train_rows, dim), n_train).cache()
-        res = grid_search(train, w, spark, Cs, k=k, max_iter=max_iter)
-        best_c = res.filter("is_best").first()["C"]
-        coefs, bs = fit_ovo(train, best_c, max_iter)
-    weights = weight_table(spark, coefs).join(F.broadcast(vocab.select("term_id")), "term_id")
-    return OvoModel(vocab, weights, bs, best_c), split, res
+    size = max(1, vocab.count())
+    res, best = grid_search(weighted, train_rows, size, Cs, k, max_iter, tol)
+    weights = weight_table(spark, best["fits"], size)
+    return OvoModel(vocab, weights, [f["b"] for f in best["fits"]], best["C"]), split, res

@@ -61,22 +61,37 @@ def fit_vocab(tf: DataFrame, n_docs: Column, max_features: int = MAX_FEATURES) -
     return ids.select("term_id", "term", "n", "df", idf.alias("idf"))
 
 
-def transform(tf: DataFrame, vocab: DataFrame, sublinear: bool = True) -> DataFrame:
-    """``(row_id, term_id, term, tf, raw, norm, weight)`` for in-vocabulary terms."""
+def raw_weights(tf: DataFrame, vocab: DataFrame, sublinear: bool = True) -> DataFrame:
+    """``(row_id, term_id, term, tf, raw)`` for in-vocabulary terms: tf·idf before
+    the rows are scaled to length one."""
     v = F.broadcast(vocab.select("term", "term_id", "idf"))   # ≤ max_features rows
-    j = tf.join(v, "term")
     tfw = (F.lit(1.0) + F.log(F.col("tf"))) if sublinear else F.col("tf").cast("double")
-    j = j.withColumn("raw", tfw * F.col("idf"))
+    return tf.join(v, "term").withColumn("raw", tfw * F.col("idf")).select("row_id", "term_id", "term", "tf", "raw")
+
+
+def row_norms(raw: DataFrame) -> DataFrame:
+    """``(row_id, norm)``: one sum a row, combined before the shuffle."""
+    return raw.groupBy("row_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+
+
+def transform(tf: DataFrame, vocab: DataFrame, sublinear: bool = True) -> DataFrame:
+    """``(row_id, term_id, term, tf, raw, norm, weight)`` for in-vocabulary terms."""
+    j = raw_weights(tf, vocab, sublinear)
     j = j.withColumn("norm", F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("row_id"))))
     return j.withColumn("weight", F.col("raw") / F.col("norm"))
 
 
-def fit_transform(docs: DataFrame, id_col: str, text_col: str = "text",
-                  max_features: int = MAX_FEATURES) -> tuple[DataFrame, DataFrame]:
+def fit(docs: DataFrame, id_col: str, text_col: str = "text", max_features: int = MAX_FEATURES) -> tuple[DataFrame, DataFrame]:
+    """The vocabulary and the term counts ``(row_id, term, tf)`` it comes from."""
     # tokenising is the expensive part and the fit and the transform both
     # need it: materialise the per-document counts once in the shared
     # checkpoint folder (this also cuts the lineage for executor loss)
     tf = materialize(doc_terms(docs, id_col, text_col), "term_counts")
     n_docs = docs.agg(F.count(F.lit(1))).scalar()
-    vocab = fit_vocab(tf, n_docs, max_features)
+    return fit_vocab(tf, n_docs, max_features), tf
+
+
+def fit_transform(docs: DataFrame, id_col: str, text_col: str = "text",
+                  max_features: int = MAX_FEATURES) -> tuple[DataFrame, DataFrame]:
+    vocab, tf = fit(docs, id_col, text_col, max_features)
     return vocab, transform(tf, vocab)
