@@ -82,3 +82,57 @@ def test_labeller_gets_both_prompts(spark):
     echo = lambda messages, texts: [m["system"] + "|" + m["user"] for m in messages]
     raw = lb.run_labeller(lb.build_prompts(df), echo).first().raw
     assert raw.startswith(lb.SYSTEM_PROMPT + "|") and "[0] teks" in raw
+
+
+def _answers():
+    """Local to the test: workers do not import this module."""
+    def answer(texts):
+        return "[" + ", ".join(f'{{"index": {i}, "label": "positif"}}' for i in range(len(texts))) + "]"
+    return answer
+
+
+def test_a_dying_labeller_leaves_all_earlier_groups(spark):
+    import os
+    import pytest
+    from pyspark.sql import functions as F
+    from ulasan.operators.labelling import label_job
+    from ulasan.session import scratch_path
+    rows = spark.createDataFrame([(i, f"teks {i}") for i in range(100)], "row_id long, text string")
+    state, dead = scratch_path(spark, "state"), scratch_path(spark, "dead").removeprefix("file://")
+
+    answer = _answers()
+
+    def dies(messages, texts):
+        for m, t in zip(messages, texts):
+            if any(x in ("teks 60",) for x in t) and not os.path.exists(dead):
+                raise SystemExit("killed")
+        return [answer(t) for t in texts]
+
+    kw = {"size": 5, "task_batches": 1, "commit_tasks": 2}
+    with pytest.raises(Exception):
+        label_job(rows, state, dies, **kw)
+    kept = spark.read.parquet(state)
+    first = kept.count()
+    assert 0 < first < 100 and kept.where("batch_id = 12").count() == 0
+    os.mkdir(dead)
+    assert label_job(rows, state, dies, **kw) == {"pending": 100 - first, "labelled": 100}
+    whole = spark.read.parquet(state)
+    assert whole.count() == 100 and whole.where(F.col("label") != "positif").count() == 0
+
+
+def test_a_call_that_raises_leaves_its_prompt_pending(spark):
+    from ulasan.operators.labelling import label_job
+    from ulasan.session import scratch_path
+    rows = spark.createDataFrame([(i, f"teks {i}") for i in range(20)], "row_id long, text string")
+    state = scratch_path(spark, "state")
+
+    answer = _answers()
+
+    def fails(messages, texts):
+        if any("teks 7" in t for t in texts):
+            raise RuntimeError("no answer")
+        return [answer(t) for t in texts]
+
+    assert label_job(rows, state, fails, size=5) == {"pending": 20, "labelled": 15}
+    assert spark.read.parquet(state).where("row_id BETWEEN 5 AND 9").count() == 0
+    assert label_job(rows, state, lambda m, t: [answer(x) for x in t], size=5) == {"pending": 5, "labelled": 20}

@@ -191,11 +191,21 @@ def parse_responses(responses: DataFrame) -> DataFrame:
 def run_labeller(prompts: DataFrame, labeller: Callable[[list[dict], list[list[str]]], list[str]]) -> DataFrame:
     """Call ``labeller(messages, texts)`` → raw responses inside executor
     Python workers, one Arrow batch of prompt rows at a time; each message has
-    the ``system`` and the ``user`` prompt."""
+    the ``system`` and the ``user`` prompt. A call that raises is repeated prompt
+    by prompt; a prompt that raises alone gets a NULL response (status ``retry``)
+    and stays pending."""
+    def answers(messages: list[dict], texts: list[list[str]]) -> list[str | None]:
+        try:
+            return list(labeller(messages, texts))
+        except Exception:
+            if len(messages) == 1:
+                return [None]
+            return [answers([m], [t])[0] for m, t in zip(messages, texts)]
+
     def fn(it):
         for pdf in it:
             messages = [{"system": s, "user": u} for s, u in zip(pdf["system"], pdf["prompt"])]
-            raws = labeller(messages, [list(t) for t in pdf["texts"]])
+            raws = answers(messages, [list(t) for t in pdf["texts"]])
             yield pd.DataFrame({"batch_id": pdf["batch_id"], "n": pdf["n"], "row_ids": pdf["row_ids"],
                                 "raw": raws})
     return prompts.select("batch_id", "n", "row_ids", "system", "prompt", "texts").mapInPandas(
@@ -219,12 +229,21 @@ def publish(rows: DataFrame, state: DataFrame) -> DataFrame:
     return rows.join(latest_labels(state), "row_id", "left").withColumn("label", F.coalesce("label", F.lit(DEFAULT_LABEL)))
 
 
+#: Batches of a task, and tasks of a commit.
+TASK_BATCHES, COMMIT_TASKS = 20, 64
+
+
 def label_job(rows: DataFrame, state_path: str, labeller, order: list[Column] | None = None,
-              size: int = BATCH_SIZE) -> dict:
+              size: int = BATCH_SIZE, task_batches: int = TASK_BATCHES, commit_tasks: int = COMMIT_TASKS) -> dict:
     """M04/J04 as a resumable job: rows without a label in the state table are
     batched (on their full positions), prompted, labelled, parsed and appended
     to the state. Returns counts; does nothing when no row is pending (B17).
-    Re-running after a failure labels only what is still missing."""
+
+    The prompts are written as files of ``task_batches`` batches and streamed,
+    ``commit_tasks`` files at a time: the labels of each group are committed
+    before the next group is asked for, so a job that dies keeps them, and
+    another run labels only what is still missing."""
+    from ..session import scratch_path
     from ..sources.registry import read_table
     spark = rows.sparkSession
     state = read_table(spark, state_path, "parquet")
@@ -232,8 +251,19 @@ def label_job(rows: DataFrame, state_path: str, labeller, order: list[Column] |
     if pending.isEmpty():
         return {"pending": 0, "labelled": 0}
     pos = assign_batches(rows, order or [F.col("row_id")], size)
-    todo = pending_rows(pos, state)
-    new = labels_from_responses(run_labeller(build_prompts(batch_rows(todo)), labeller))
-    new.write.mode("append").parquet(state_path)
-    done = spark.read.parquet(state_path)
-    return {"pending": todo.count(), "labelled": done.select("row_id").distinct().count()}
+    prompts = build_prompts(batch_rows(pending_rows(pos, state)))
+    source = scratch_path(spark, "prompts")
+    # by batch number, so that files hold their batches in order and of about one size
+    (prompts.repartition(commit_tasks, F.floor(F.col("batch_id") / task_batches)).sortWithinPartitions("batch_id")
+     .write.option("maxRecordsPerFile", task_batches).parquet(source))
+    written = spark.read.parquet(source)
+    todo = written.agg(F.sum("n")).first()[0] or 0
+
+    def label(group: DataFrame, epoch: int) -> None:
+        labels_from_responses(run_labeller(group, labeller)).write.mode("append").parquet(state_path)
+
+    stream = spark.readStream.schema(written.schema).option("maxFilesPerTrigger", commit_tasks).parquet(source)
+    (stream.writeStream.foreachBatch(label).option("checkpointLocation", scratch_path(spark, "label_commits"))
+     .trigger(availableNow=True).start().awaitTermination())
+    done = read_table(spark, state_path, "parquet", schema=STATE_SCHEMA)
+    return {"pending": int(todo), "labelled": done.select("row_id").distinct().count() if done is not None else 0}
