@@ -147,4 +147,5 @@ def date_scalars_q(spark, sf):
   SELECT {q.null_like('text')} AS text, {q.ts('date')} AS date, source, k1, k2 FROM ({SOURCES_SQL})""")
 def scan_registry_q(spark, sf):
     u = scan_sources(spark, test_sources(sf, extra_missing=True))
-    return u.select("text", ts_string("date").alias("date"), "source", "k1", "k2")
+    return u.select("text", ts_string("date").alias("date"), "source", F.col("row_key")[0]["num"].alias("k1"),
+                    F.coalesce(F.get("row_key", F.lit(1))["num"], F.lit(0)).alias("k2"))

@@ -19,17 +19,17 @@ MIN_CHARS = 5
 
 def merged_order():
     """Keep-first order of the merge: config order of sources, then row order."""
-    return order_key(F.col("source_rank"), F.col("k1"), F.col("k2"))
+    return order_key(F.col("source_rank"), F.col("row_key"))
 
 
 def corpus_order():
     """Order of the merged corpus (F01): null dates first, then date, source, row."""
-    return order_key(*nulls_first(F.col("date")), F.col("source_rank"), F.col("k1"), F.col("k2"))
+    return order_key(*nulls_first(F.col("date")), F.col("source_rank"), F.col("row_key"))
 
 
 def merge_sources(spark: SparkSession, specs: list[SourceSpec]) -> DataFrame:
     """Union in config order, drop null text, strip, keep first per text.
-    Returns ``text, date, source, source_rank, k1, k2`` (unsorted)."""
+    Returns ``text, date, source, source_rank, row_key`` (unsorted)."""
     u = scan_sources(spark, specs)
     u = u.filter(F.col("text").isNotNull()).withColumn("text", strip_ws("text"))
     return keep_first(u, ["text"], merged_order())
@@ -37,7 +37,7 @@ def merge_sources(spark: SparkSession, specs: list[SourceSpec]) -> DataFrame:
 
 def sort_corpus(df: DataFrame) -> DataFrame:
     """date ascending with nulls first; ties by source rank and row."""
-    return df.orderBy(F.col("date").asc_nulls_first(), "source_rank", "k1", "k2")
+    return df.orderBy(F.col("date").asc_nulls_first(), "source_rank", "row_key")
 
 
 def clean_corpus(df: DataFrame, text: str = "text", min_words: int = MIN_WORDS,
