@@ -243,3 +243,24 @@ def test_keywords_of_one_character_and_all_languages(spark):
     assert hits() == [(1, 1), (4, 2)]
     assert hits(lang="id") == [(1, 1)]
     assert hits(lang="en", min_len=2) == [(2, 1), (3, 2)]
+
+
+def test_many_phrases_equal_brute_force_on_both_plans(spark, monkeypatch):
+    import random
+    import re
+    from ulasan.operators import collect
+    rng = random.Random(4)
+    words = [f"k{i}" for i in range(60)] + ["a", "é"]
+    phrases = list(dict.fromkeys(" ".join(rng.choice(words) for _ in range(rng.choice([1, 2, 3]))) for _ in range(6000)))[:5000]
+    rows = [(i, ", ".join(rng.choice(words) for _ in range(30)).upper()) for i in range(40)]
+    want = set()
+    for i, text in rows:
+        t = re.findall(r"\w+", text.lower())
+        grams = {" ".join(t[x:x + n]) for n in (1, 2, 3) for x in range(len(t) - n + 1)}
+        want |= {(i, rank + 1) for rank, p in enumerate(phrases) if p in grams}
+    posts = spark.createDataFrame(rows, "post_id long, text string")
+    for inline, broadcast in ((1_000, 100_000), (10_000, 100_000), (1_000, 10)):
+        monkeypatch.setattr(collect, "INLINE_MAX_KEYWORDS", inline)
+        monkeypatch.setattr(collect, "BROADCAST_MAX_KEYWORDS", broadcast)
+        got = collect.match_keywords(posts, phrases, "post_id").collect()
+        assert len(got) == len(want) and {(r.post_id, r.kw_rank) for r in got} == want

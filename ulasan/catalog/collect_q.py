@@ -73,25 +73,21 @@ def keyword_day_grid_q(spark, sf):
     return _grid(spark, sf).select("keyword", day_string(F.col("day")).alias("day"), "query")
 
 
-def _kw_values():
-    import re
-    rows = ", ".join(f"({i + 1}, {lit(p)}, {lit(' '.join(re.findall(r'\w{2,}', p.lower())))})"
-                     for i, p in enumerate(PHRASES))
-    return f"(VALUES {rows}) AS kw(kw_rank, phrase, gram)"
-
-
-MATCH_SQL = f"""
-  WITH tk AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS t
-              FROM documents WHERE lang = 'en'),
+def _match_sql(phrases):
+    values = ", ".join(f"({i + 1}, {lit(p)})" for i, p in enumerate(phrases))
+    return f"""
+  WITH tk AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS t FROM documents),
        g AS (SELECT DISTINCT doc_id, unnest(list_concat(t,
                list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) AS gram FROM tk)
-  SELECT doc_id, kw_rank, phrase FROM g JOIN {_kw_values()} USING (gram)
+  SELECT doc_id, kw_rank, phrase FROM g JOIN (VALUES {values}) AS kw(kw_rank, phrase) ON gram = phrase
 """
 
 
+MATCH_SQL = _match_sql(PHRASES)
+
+
 def _matches(spark, sf):
-    # the language and the two-character words of the given SQL
-    return match_keywords(tbl(spark, sf, "documents"), PHRASES, "doc_id", min_len=2, lang="en")
+    return match_keywords(tbl(spark, sf, "documents"), PHRASES, "doc_id")
 
 
 @query("keyword_match", MATCH_SQL)
@@ -105,14 +101,9 @@ def first_keyword_q(spark, sf):
     return first_keyword(_matches(spark, sf), "doc_id", PHRASES)
 
 
+# phrases with words of one character besides
 ALL_PHRASES = PHRASES + ["is a", "a la", "y"]
-MATCH_ALL_SQL = f"""
-  WITH tk AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS t FROM documents),
-       g AS (SELECT DISTINCT doc_id, unnest(list_concat(t,
-               list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) AS gram FROM tk)
-  SELECT doc_id, kw_rank, phrase FROM g
-  JOIN (VALUES {", ".join(f"({i + 1}, {lit(p)})" for i, p in enumerate(ALL_PHRASES))}) AS kw(kw_rank, phrase) ON gram = phrase
-"""
+MATCH_ALL_SQL = _match_sql(ALL_PHRASES)
 
 
 def _matches_all(spark, sf):

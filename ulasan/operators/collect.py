@@ -30,10 +30,10 @@ def keyword_frame(spark: SparkSession, phrases: list[str]) -> DataFrame:
     return spark.createDataFrame([(i + 1, p) for i, p in enumerate(phrases)], "kw_rank int, phrase string")
 
 
-def small(df: DataFrame, n_rows: int, limit: int = BROADCAST_MAX_KEYWORDS) -> DataFrame:
+def small(df: DataFrame, n_rows: int) -> DataFrame:
     """Broadcast a side whose row count is known and bounded; otherwise leave
     the join strategy to the planner (AQE switches at run time)."""
-    return F.broadcast(df) if n_rows <= limit else df
+    return F.broadcast(df) if n_rows <= BROADCAST_MAX_KEYWORDS else df
 
 
 def search_query(keyword: Column, day: Column) -> Column:
