@@ -102,3 +102,16 @@ def test_hot_id_is_split(llm):
     assert len(out) == 600 and max(size.values()) <= 2500 and all(size[r.shard] == r.shard_bytes for r in out)
     names = sorted(size)
     assert not any(b.startswith(a) for a, b in zip(names, names[1:]))
+
+
+def test_written_shards_hold_every_row_once(llm, tmp_path):
+    rows = [(5, "a" * 900, "x", 1), (5, "b" * 900, "x", 2), (5, "a" * 900, "x", 1), (None, "c" * 900, "y", 3), (6, None, "y", 4), (None, "d", None, 5)]
+    schema = "doc_id long, text string, shard string, n_bytes int"
+    sharding.write_shards(llm.createDataFrame(rows, schema), str(tmp_path / "shards"), max_bytes=1000)
+    back = llm.read.parquet(str(tmp_path / "shards"))
+    got = back.select("doc_id", "text", "n_bytes").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(((a, b, d) for a, b, _, d in rows), key=repr)
+    sizes = {}
+    for r in back.collect():
+        sizes.setdefault(r.shard, []).append(len(r.text or ""))
+    assert all(sum(v) <= 1000 or len(v) == 1 for v in sizes.values())

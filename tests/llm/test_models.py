@@ -19,7 +19,7 @@ def test_neighbours_recall_and_exact_scores(llm):
         d = np.sqrt(((x - x[at[q]]) ** 2).sum(1))
         want = [i for _, i in sorted((v, i) for v, i in zip(d, ids) if i != q)][:10]
         mine = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
-        assert [r for r, _, _ in mine] == list(range(1, len(mine) + 1))
+        assert [r for r, _, _ in mine] == list(range(1, 11))
         assert [s for *_, s in mine] == sorted(s for *_, s in mine)
         assert all(abs(s - d[at[v]]) < 1e-12 for _, v, s in mine)
         hits, total = hits + len(set(want) & {v for _, v, _ in mine}), total + len(want)
@@ -38,12 +38,31 @@ def test_neighbours_edge_cases(llm):
     assert all(r.vec_id != r.query_id for r in got)
     for q in {r.query_id for r in got}:
         mine = sorted((r.rank, r.score, r.vec_id) for r in got if r.query_id == q)
-        assert [m[1:] for m in mine] == sorted(m[1:] for m in mine) and len(mine) <= 10
+        assert [m[1:] for m in mine] == sorted(m[1:] for m in mine) and len(mine) == min(10, len(part) - 1)
     assert neighbours.nearest(df.limit(0)).count() == 0
     few = llm.createDataFrame([(0, [1.0, 2.0]), (7, [2.0, 1.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in neighbours.nearest(few).collect()] == [(0, 1, 7, math.sqrt(2))]
 
 
+def test_isolated_vectors_among_clusters_find_their_neighbours_too(llm):
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((40, 64))
+    x = np.concatenate([centres[rng.integers(0, 40, 3980)] + 0.01 * rng.standard_normal((3980, 64)), 6 * rng.standard_normal((20, 64))])
+    ids = np.concatenate([np.arange(3980) * 10 + 7, np.arange(20) * 100])
+    ids[rng.choice(3980, 30, False)] = 50_000 + 100 * np.arange(30)
+    df = llm.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df).collect()
+    hits = 0
+    queries = ids[ids % 100 == 0]
+    for q in queries:
+        d = ((x - x[np.flatnonzero(ids == q)[0]]) ** 2).sum(1)
+        want = [i for _, i in sorted((v, i) for v, i in zip(d, ids) if i != q)][:10]
+        mine = [r.vec_id for r in got if r.query_id == q]
+        assert len(mine) == 10
+        hits += len(set(want) & set(mine))
+    assert hits >= 0.9 * 10 * len(queries)
+
+
 def test_probing_retrieves_every_code_within_the_radius():
     rng = np.random.default_rng(1)
     x = rng.standard_normal((600, 32))

@@ -10,6 +10,9 @@
   substring differs in at most ``floor(r / m)``. So a query probes, in every
   substring, all values within that distance, which retrieves every code
   within r bits; the exact distance of the retrieved codes is then checked.
+- Widening: a query that retrieves fewer than ``k`` rows in all blocks, as one
+  far from the rest does, is asked again at a wider radius, up to all bits, where
+  every row is retrieved.
 - Reranking: the retrieved rows are ranked by Euclidean distance of the
   original vectors in double precision.
 
@@ -26,7 +29,7 @@ so thousands of equal vectors are no hot spot.
 Edge cases: vectors that are NULL, zero, or hold NULL or non-finite components
 take no part, nor do rows without an id, nor vectors of another length than the
 most frequent one. If an id has several vectors, its smallest one counts. With
-fewer candidates than ``k``, all that were found are returned. An empty table,
+fewer candidates than ``k``, all are returned. An empty table,
 or one without queries, gives an empty result. Extra columns are not read.
 """
 from __future__ import annotations
@@ -85,11 +88,12 @@ def usable(vectors: DataFrame, id_column: str, vector: str) -> DataFrame:
     return good.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
-def search_block(rotation: Rotation, q_ids, q, ids, x, k: int) -> list[tuple[int, int, float]]:
+def search_block(rotation: Rotation, q_ids, q, ids, x, k: int, radius: int | None = None) -> list[tuple[int, int, float]]:
     """The ``k`` nearest retrieved rows of each query in one index block."""
     q_code, code = rotation.codes(q), rotation.codes(x)
     m = rotation.substrings
-    reach = rotation.radius // m
+    radius = rotation.radius if radius is None else radius
+    reach = radius // m
     near = _POP[np.arange(256)[:, None] ^ np.arange(256)] <= reach        # values to probe
     lists = []                                                             # substring index: rows by value
     for j in range(m):
@@ -101,7 +105,7 @@ def search_block(rotation: Rotation, q_ids, q, ids, x, k: int) -> list[tuple[int
         for j, (order, count) in enumerate(lists):
             seen[order[np.repeat(near[q_code[a, j]], count)]] = True
         rows = np.flatnonzero(seen)
-        rows = rows[_POP[code[rows] ^ q_code[a]].sum(1, dtype=np.int64) <= rotation.radius]
+        rows = rows[_POP[code[rows] ^ q_code[a]].sum(1, dtype=np.int64) <= radius]
         rows = rows[ids[rows] != q_ids[a]]
         d = np.sqrt(((x[rows] - q[a]) ** 2).sum(1))
         if len(rows) > k:
@@ -128,19 +132,37 @@ def nearest(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embedd
     q_blocks, i_blocks = max(1, -(-n // (every * QUERY_BLOCK))), max(1, -(-n // INDEX_BLOCK))
     dealt = lambda blocks: F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
     all_of = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    queries = rows.where(F.col("vec_id") % every == 0).select(
-        dealt(q_blocks).cast("int").alias("qb"), all_of(i_blocks).alias("ib"), "vec_id", "v")
+    asked = rows.where(F.col("vec_id") % every == 0)
     index = rows.select(all_of(q_blocks).alias("qb"), dealt(i_blocks).cast("int").alias("ib"), "vec_id", "v")
 
     def arrays(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         ids = t.column("vec_id").to_numpy()
         return ids, t.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), dim)
 
-    def run(q: pa.Table, x: pa.Table) -> pa.Table:
-        found = search_block(rotation.value, *arrays(q), *arrays(x), k) if q.num_rows and x.num_rows else []
-        return pa.table({"query_id": pa.array([f[0] for f in found], pa.int64()), "vec_id": pa.array([f[1] for f in found], pa.int64()),
-                         "score": pa.array([f[2] for f in found], pa.float64())})
-
-    found = queries.groupBy("qb", "ib").cogroup(index.groupBy("qb", "ib")).applyInArrow(run, "query_id long, vec_id long, score double")
-    w = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def search(queries: DataFrame, radius: int) -> DataFrame:
+        def run(q: pa.Table, x: pa.Table) -> pa.Table:
+            found = search_block(rotation.value, *arrays(q), *arrays(x), k, radius) if q.num_rows and x.num_rows else []
+            return pa.table({"query_id": pa.array([f[0] for f in found], pa.int64()), "vec_id": pa.array([f[1] for f in found], pa.int64()),
+                             "score": pa.array([f[2] for f in found], pa.float64())})
+
+        q = queries.select(dealt(q_blocks).cast("int").alias("qb"), all_of(i_blocks).alias("ib"), "vec_id", "v")
+        found = q.groupBy("qb", "ib").cogroup(index.groupBy("qb", "ib")).applyInArrow(run, "query_id long, vec_id long, score double")
+        w = Window.partitionBy("query_id").orderBy("score", "vec_id")
+        return materialize(found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+                           .select("query_id", "rank", "vec_id", "score"), "neighbours")
+
+    # a query that stands apart finds too few rows at the common radius: it is asked again at wider ones, up to all bits
+    need, bits, radius = min(k, n - 1), 8 * rotation.value.substrings, rotation.value.radius
+    out, done = [], search(asked, radius)
+    while radius < bits:
+        full = done.where(F.col("rank") == need).select(F.col("query_id").alias("vec_id"))
+        short = asked.join(full, "vec_id", "left_anti")
+        if need < 1 or short.isEmpty():
+            break
+        out.append(done.join(full.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi"))
+        radius = min(bits, radius + max(8, radius // 2))
+        asked = materialize(short, "neighbours")
+        done = search(asked, radius)
+    for more in out:
+        done = done.unionByName(more)
+    return done.select("query_id", "rank", "vec_id", "score")

@@ -55,13 +55,14 @@ def _parent(depth: Column, by: Column) -> list[Column]:
             F.call_function("shiftright", F.col("q"), from_q.cast("int")).alias("pq")]
 
 
-def shard(docs: DataFrame, id_column: str = "doc_id", text: str = "text", max_bytes: int = MAX_BYTES) -> DataFrame:
+def shard(docs: DataFrame, id_column: str = "doc_id", text: str = "text", max_bytes: int = MAX_BYTES, carry: bool = False) -> DataFrame:
     """One row per row of ``docs``: its id, ``n_bytes``, ``shard`` (the hash
     prefix in binary digits; empty if all rows fit one shard), ``depth``,
     ``shard_bytes`` and ``shard_rows``."""
     rows = materialize(docs.select(
         F.col(id_column), F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("n_bytes"), id_hash(id_column).alias("h"),
-        F.call_function("shiftrightunsigned", F.xxhash64(F.monotonically_increasing_id()), F.lit(64 - BITS)).alias("t")), "shards")
+        F.call_function("shiftrightunsigned", F.xxhash64(F.monotonically_increasing_id()), F.lit(64 - BITS)).alias("t"),
+        *([F.struct("*").alias("row")] if carry else [])), "shards")
     total = rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     depth = min(2 * BITS, max(1, math.ceil(math.log2(max(1, total) / max_bytes + 1)) + 4))
     done, open_rows, shallow = [], rows, 0
@@ -88,11 +89,13 @@ def shard(docs: DataFrame, id_column: str = "doc_id", text: str = "text", max_by
         out = out.unionByName(more)
     digits = F.concat(F.lpad(F.bin("h"), BITS, "0"), F.lpad(F.bin("t"), BITS, "0"))
     return out.select(F.col(id_column), "n_bytes", digits.substr(F.lit(1), F.col("depth")).alias("shard"),
-                      F.col("depth").cast("int").alias("depth"), "shard_bytes", "shard_rows")
+                      F.col("depth").cast("int").alias("depth"), "shard_bytes", "shard_rows", *(["row"] if carry else []))
 
 
 def write_shards(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "text", max_bytes: int = MAX_BYTES) -> None:
-    """Write the rows as Parquet, one folder ``shard=<prefix>`` each, for ids
-    without repeats. The rows of a shard meet in one task; its size is bounded."""
-    where = shard(docs, id_column, text, max_bytes).select(id_column, F.concat(F.lit("s"), "shard").alias("shard"))
-    docs.join(where, id_column).repartition("shard").write.partitionBy("shard").parquet(path)
+    """Write the rows as Parquet, one folder ``shard=s<prefix>`` each. Every row
+    is written once, in the shard it was given: rows carry their columns through
+    the sharding, so NULL and repeated ids need no join. The rows of a shard meet
+    in one task; its size is bounded."""
+    rows = shard(docs.drop("shard"), id_column, text, max_bytes, carry=True).select(F.concat(F.lit("s"), "shard").alias("shard"), "row.*")
+    rows.repartition("shard").write.partitionBy("shard").parquet(path)
