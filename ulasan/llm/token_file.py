@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
-from .common import shuffle_partitions, whole_text
+from .common import shuffle_partitions, utf8, whole_text
 
 BLOCK_IDS = 1 << 20
 #: Words kept with their ids in each worker (two generations of this size).
@@ -56,7 +56,7 @@ MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and c !=
 MARK = "\x01"
 
 #: Lengths of the four numbers of every control byte.
-LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
+LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.uint8)
 
 BLOCK_SCHEMA = T.StructType([
     T.StructField("part", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("first", T.LongType()),
@@ -78,7 +78,7 @@ def pack_numbers(numbers: np.ndarray) -> tuple[bytes, bytes]:
 def unpack_numbers(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The ``n`` numbers of a control and a data stream."""
     size = LENGTHS[np.frombuffer(control, dtype=np.uint8)].reshape(-1)[:n]
-    at = np.cumsum(size) - size
+    at = np.cumsum(size, dtype=np.int64) - size
     raw = np.concatenate([np.frombuffer(data, dtype=np.uint8), np.zeros(4, np.uint8)])
     out = raw[at].astype(np.uint32)
     for k in range(1, int(size.max(initial=1))):
@@ -231,10 +231,9 @@ def id_counts(encoded: DataFrame, dtype: np.dtype) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for value in batch.column(0):
-                got = np.bincount(_ids(value, dtype), minlength=len(total))
-                got[:len(total)] += total
-                total = got
+            got = np.bincount(utf8(batch, "ids")[0].view(dtype), minlength=len(total))
+            got[:len(total)] += total
+            total = got
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
 
