@@ -259,8 +259,49 @@ def test_many_phrases_equal_brute_force_on_both_plans(spark, monkeypatch):
         grams = {" ".join(t[x:x + n]) for n in (1, 2, 3) for x in range(len(t) - n + 1)}
         want |= {(i, rank + 1) for rank, p in enumerate(phrases) if p in grams}
     posts = spark.createDataFrame(rows, "post_id long, text string")
-    for inline, broadcast in ((1_000, 100_000), (10_000, 100_000), (1_000, 10)):
-        monkeypatch.setattr(collect, "INLINE_MAX_KEYWORDS", inline)
+    for bits, broadcast in ((1 << 24, 100_000), (64, 100_000), (1 << 24, 10)):      # a full filter passes all, the join decides
+        monkeypatch.setattr(collect, "FILTER_MAX_BITS", bits)
         monkeypatch.setattr(collect, "BROADCAST_MAX_KEYWORDS", broadcast)
         got = collect.match_keywords(posts, phrases, "post_id").collect()
         assert len(got) == len(want) and {(r.post_id, r.kw_rank) for r in got} == want
+
+
+def _search_case():
+    import datetime as dt
+    import re
+    rng = random.Random(12)
+    at = dt.datetime(2024, 3, 1)
+    words = ["makan", "gratis", "bergizi", "enak", "x", "é"]
+    posts = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 12))) if i % 23 else None,
+              at + dt.timedelta(hours=6 * rng.randint(0, 120)) if i % 29 else None,
+              rng.choice(["id", "en", None]), rng.choice([True, False, None])) for i in range(400)]
+    posts += posts[:5]
+    requests = [(k, rng.choice(["makan", "Makan Gratis", "x", "gratis, enak x", "", "é"]),
+                 at + dt.timedelta(hours=6 * a), at + dt.timedelta(hours=6 * (a + n)), rng.choice(["id", "en", None]),
+                 rng.choice([True, False, None]))
+                for k, (a, n) in enumerate([(rng.randint(0, 100), rng.choice([-2, 0, 1, 4, 4, 4, 40, 900])) for _ in range(40)])]
+    requests += [(90, "makan", None, at, None, True), (91, "makan", at, None, None, True)]
+    want = []
+    for i, text, ts, lang, repost in posts:
+        t = " " + " ".join(re.findall(r"\w+", (text or "").lower())) + " "
+        for k, phrase, since, until, asked, reposts in requests:
+            p = " ".join(re.findall(r"\w+", phrase.lower()))
+            if (p and f" {p} " in t and ts is not None and since is not None and until is not None and since <= ts < until
+                    and (asked is None or asked == lang) and (reposts or not repost)):
+                want.append((i, k))
+    return posts, requests, want
+
+
+def test_search_posts_equals_brute_force(spark, monkeypatch):
+    from ulasan.operators import collect
+    posts, requests, want = _search_case()
+    p = spark.createDataFrame(posts, "post_id long, text string, ts timestamp, lang string, is_repost boolean")
+    r = spark.createDataFrame(requests, "kw_rank int, phrase string, since timestamp, until timestamp, lang string, reposts boolean")
+    assert len(want) > 100
+    for broadcast in (100_000, 0):
+        monkeypatch.setattr(collect, "BROADCAST_MAX_KEYWORDS", broadcast)
+        out = collect.search_posts(p, r)
+        assert sorted((x.post_id, x.kw_rank) for x in out.collect()) == sorted(want)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan and "split(" not in plan
+    assert collect.search_posts(p.limit(0), r).count() == 0 and collect.search_posts(p, r.limit(0)).count() == 0

@@ -4,7 +4,7 @@ lazy DataFrames or Columns (jobs return small dicts of counts)."""
 from .functions.dates import day_param, day_range, parse_utc
 from .functions.text import clean_and_filter, clean_text, html_unescape, tokens, uni_bigrams
 from .operators.collect import (cap_newest, collection_rollup as collection_report, first_keyword,
-                                greedy_collect as collect_capped, keyword_day_grid, match_keywords)
+                                greedy_collect as collect_capped, keyword_day_grid, match_keywords, search_posts)
 from .operators.counts import value_counts, with_share, word_frequencies
 from .operators.counts import zero_filled_counts as label_counts
 from .operators.dedupe import keep_first as dedupe_keep_first, nulls_first, order_key

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import day_string, ts_string
 from ..operators.collect import (cap_newest, collection_rollup, first_keyword, greedy_collect,
-                                 keyword_day_grid, match_keywords, small)
+                                 keyword_day_grid, match_keywords, search_posts, small)
 from . import query
 from .common import tbl
 from .sqlgen import lit
@@ -20,6 +20,10 @@ GREEDY_CAP = 10
 KEYWORD_SETS = [("purchase", ["purchase"]), ("shop", ["purchase", "click"]),
                 ("activity", ["click", "view", "signup"]),
                 ("any", ["purchase", "click", "view", "signup", "error"])]
+# search requests: phrase, first day after the earliest event, days, language, reposts taken
+SEARCHES = [("this", 0, 7, "en", False), ("from the", 3, 10, "en", False), ("with", 0, 400, "en", False),
+            ("de la", 2, 5, None, False), ("y", 4, 12, "es", True), ("it is", 1, 1, None, True),
+            ("this", 5, 6, "en", True), ("und", 0, 20, "de", False)]
 NEW_FROM, KNOWN_BEFORE = "2024-01-11", "2024-01-16"
 # ---------------------------------------------------------------------------
 
@@ -121,6 +125,40 @@ def first_keyword_all_q(spark, sf):
     return first_keyword(_matches_all(spark, sf), "doc_id", ALL_PHRASES)
 
 
+def _search_sql():
+    values = ", ".join(f"({i + 1}, {lit(p)}, {a}, {n}, {lit(g) if g else 'NULL'}, {str(r).lower()})"
+                       for i, (p, a, n, g, r) in enumerate(SEARCHES))
+    return f"""
+  WITH lo AS (SELECT min(ts)::DATE AS lo FROM events),
+  rq AS (SELECT kw_rank, phrase, (lo + a)::TIMESTAMP AS since, (lo + a + n)::TIMESTAMP AS until, lang AS want, reposts
+         FROM (VALUES {values}) AS v(kw_rank, phrase, a, n, lang, reposts), lo),
+  tk AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS t FROM documents),
+  g AS (SELECT DISTINCT doc_id, lang, unnest(list_concat(t,
+          list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) AS gram FROM tk)
+  SELECT e.event_id AS post_id, kw_rank, phrase, strftime(since, '%Y-%m-%d') AS since, strftime(until, '%Y-%m-%d') AS until
+  FROM events e JOIN g ON g.doc_id = e.user_id JOIN rq ON g.gram = rq.phrase
+  WHERE e.ts >= since AND e.ts < until AND (want IS NULL OR g.lang = want) AND (reposts OR e.event_type <> 'view')
+"""
+
+
+@query("post_search", _search_sql())
+def post_search_q(spark, sf):
+    """The whole post predicate: phrase, half-open time range, language, reposts.
+    Posts: each event, with the text and language of its user's document."""
+    e = tbl(spark, sf, "events")
+    posts = e.join(tbl(spark, sf, "documents"), e["user_id"] == F.col("doc_id")).select(
+        F.col("event_id").alias("post_id"), F.col("ts").cast("timestamp").alias("ts"), "text", "lang",
+        (F.col("event_type") == "view").alias("is_repost"))
+    first = e.agg(F.to_date(F.min("ts"))).scalar()
+    asked = spark.createDataFrame([(i + 1, *r) for i, r in enumerate(SEARCHES)],
+                                  "kw_rank int, phrase string, a int, n int, lang string, reposts boolean")
+    requests = asked.select("kw_rank", "phrase", F.date_add(first, F.col("a")).cast("timestamp").alias("since"),
+                            F.date_add(first, F.col("a") + F.col("n")).cast("timestamp").alias("until"), "lang", "reposts")
+    out = search_posts(posts, requests)
+    return out.select("post_id", "kw_rank", "phrase", day_string(F.to_date("since")).alias("since"),
+                      day_string(F.to_date("until")).alias("until"))
+
+
 CAP_SQL = f"""
   SELECT event_id, strftime(ts::DATE, '%Y-%m-%d') AS day, event_type AS keyword, rk FROM (
     SELECT *, row_number() OVER (PARTITION BY ts::DATE, event_type ORDER BY ts DESC, event_id DESC) AS rk
@@ -189,6 +227,6 @@ def _greedy_sql():
 
 @query("greedy_collection", _greedy_sql())
 def greedy_collection_q(spark, sf):
-    out = greedy_collect(greedy_candidates(spark, sf), GREEDY_CAP, id_col="event_id")
+    out = greedy_collect(greedy_candidates(spark, sf), GREEDY_CAP, id_col="event_id", n_keywords=len(KEYWORD_SETS))
     return out.select(day_string(F.col("day")).alias("day"), "kw_rank", "event_id",
                       ts_string(F.col("ts")).alias("ts"))
