@@ -62,6 +62,33 @@ def test_random_responses_match_python(spark):
         assert got[i] == parse(raw, n), raw
 
 
+JSON_CASES = [
+    "{}", "{ \n\t}", '{"a":1}', "NaN", "[NaN]", "[]", "[{}]", '""', '"x"', "null", "true", "Infinity",
+    '[{"index":NaN,"label":"positif"},{"index":0,"label":"positif"}]', '[{"index":0,"label":NaN}]',
+    '[{"index":-Infinity,"label":"positif"},{"index":1,"label":"negatif","p":Infinity}]',
+    '[{"index":0,"label":"-Infinity NaN"},{"index":1,"label":"positif"}]', '[{"index":1,"label":"positif","NaN":NaN}]',
+    '[{"index":-NaN,"label":"positif"}]', '[{"index":xNaN,"label":"positif"}]', '[{"index":0,"label":"positif","p":NaN1}]',
+    '[{"index":1,"index":0,"label":"positif"}]', '[{"index":0,"label":"positif","label":"negatif"}]',
+    '[{"index":0,"label":null,"label":"negatif"}]', '[{"index":0,"label":"positif","label":null}]',
+    '[{"index":true,"label":"positif"},{"index":false,"label":"negatif"}]', '[{"index":null,"label":"positif"}]',
+    '[{"index":0,"label":"pos\\u0069tif"}]', '[{"index":0,"label":"a\\"NaN\\\\"},{"index":2,"label":"positif"}]',
+    'it\'s "NaN: [{"index":0,"label":"positif","p":NaN}] ok', '[{"index":0,"label":"positif"}] NaN', '[{"index":0,"label":"a\nb"}]',
+    '[{"index":1e0,"label":"positif"}]', '[{"index":-0,"label":"positif"}]', '[{"index":12345678901234567890123,"label":"positif"}]',
+    '[{"index":01,"label":"positif"}]', '[{"index":0,"label":"positif",}]', "{'index':0}", '[[]]', '[{"index":[0],"label":"positif"}]',
+]
+
+
+def test_json_cases_match_the_library(spark):
+    from ulasan.operators.labelling import parse_responses
+    df = spark.createDataFrame([(i, 3, r) for i, r in enumerate(JSON_CASES)], "batch_id long, n int, raw string")
+    got = {}
+    for r in sorted(parse_responses(df).collect(), key=lambda r: r.pos):
+        got.setdefault(r.batch_id, (r.status, []))[1].append(r.label)
+    for i, raw in enumerate(JSON_CASES):
+        status, labels = parse(raw, 3)
+        assert got[i] == (status, labels or [None] * 3), raw
+
+
 def test_no_response_null_text_and_overlapping_state(spark):
     from pyspark.sql import functions as F
     from ulasan.operators import labelling as lb

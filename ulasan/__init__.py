@@ -9,7 +9,7 @@ from .operators.counts import value_counts, with_share, word_frequencies
 from .operators.counts import zero_filled_counts as label_counts
 from .operators.dedupe import keep_first as dedupe_keep_first, nulls_first, order_key
 from .operators.labelling import (assign_batches, batch_rows, build_prompts, label_job, parse_response,
-                                  parse_responses, pending_rows, publish as publish_labels,
+                                  parse_responses, pending_rows, pending_slots, pending_texts, publish as publish_labels,
                                   run_labeller as label_batches)
 from .operators.positions import with_positions
 from .operators.review import override_labels, sample_exact
@@ -29,7 +29,7 @@ def make_batches(rows, state, size: int = 35):
     """M04 batching: positions on ``row_id``, batches of ``size`` cut on the
     full positions, rows already in ``state`` removed, one row per batch."""
     from pyspark.sql import functions as F
-    return batch_rows(pending_rows(assign_batches(rows, [F.col("row_id")], size), state))
+    return batch_rows(pending_texts(rows, state, [F.col("row_id")], size))
 
 
 def save_model(model: OvoModel, path: str) -> None:

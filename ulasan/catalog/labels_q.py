@@ -10,7 +10,7 @@ from ..operators.counts import value_counts, with_share, zero_filled_counts
 from ..operators.dedupe import keep_first, order_key
 from ..operators.labelling import (SYMBOLS, UNKNOWN_SYMBOL, symbol_of, BATCH_SIZE, DEFAULT_LABEL, LABELS, PROMPT_HEAD, PROMPT_TAIL,
                                    REPORT_ORDER, assign_batches, batch_rows, build_prompts,
-                                   labels_from_responses, parse_response, pending_rows, publish)
+                                   labels_from_responses, parse_response, pending_slots, pending_texts, publish)
 from ..operators.review import override_labels, sample_exact
 from ..operators.split import class_weights, split_sizes, stratified_kfold, stratified_split
 from ..plans.evaluate import best_param, classification_report, confusion_matrix, macro_f1
@@ -95,11 +95,10 @@ def inline_relation_q(spark, sf):
 
 
 # --- batching and prompts over documents, with `labels` as the done state ---------
-def doc_batches(spark, sf):
+def doc_batches(spark, sf, find=pending_texts):
     docs = tbl(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), "text")
     state = tbl(spark, sf, "labels").select(F.col("doc_id").alias("row_id"))
-    pos = assign_batches(docs, [F.col("row_id")], BATCH_SIZE)
-    return pending_rows(pos, state)
+    return find(docs, state, [F.col("row_id")], BATCH_SIZE)
 
 
 BATCH_SQL = f"""
@@ -126,7 +125,7 @@ def batch_prompts_q(spark, sf):
          ceil((SELECT count(*) FROM p) / {BATCH_SIZE})::BIGINT AS est_batches
   FROM p GROUP BY batch_id""")
 def pending_batches_q(spark, sf):
-    p = doc_batches(spark, sf)
+    p = doc_batches(spark, sf, pending_slots)
     total = tbl(spark, sf, "documents").agg(F.count(F.lit(1))).scalar()   # scalar subquery
     per = p.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_pending"))
     # ceil(remaining / batch size); a scalar aggregate, not a global window

@@ -61,6 +61,19 @@ def assign_batches(rows: DataFrame, order: list[Column], size: int = BATCH_SIZE)
     return d.withColumn("batch_id", F.floor(F.col("pos") / size).cast("long"))
 
 
+def pending_slots(rows: DataFrame, state: DataFrame | None, order: list[Column], size: int = BATCH_SIZE) -> DataFrame:
+    """``(row_id, pos, batch_id)`` of the rows without a label in the state, on
+    their full positions. Texts take no part in the range shuffle."""
+    slots = with_positions(rows, order, "pos", keep=["row_id"])
+    return pending_rows(slots.withColumn("batch_id", F.floor(F.col("pos") / size).cast("long")), state)
+
+
+def pending_texts(rows: DataFrame, state: DataFrame | None, order: list[Column], size: int = BATCH_SIZE) -> DataFrame:
+    """The pending slots with their rows' other columns, fetched by ``row_id``, the
+    key of the rows and of the state (unique, not NULL)."""
+    return rows.join(pending_slots(rows, state, order, size), "row_id")
+
+
 def pending_rows(rows: DataFrame, state: DataFrame | None) -> DataFrame:
     """Rows whose ``row_id`` has no label in the state (a NULL label
     is none)."""
@@ -109,6 +122,26 @@ def _schema(v: Column) -> Column:
     return F.call_function("schema_of_variant", v)
 
 
+def _names_may_repeat(df: DataFrame) -> None:
+    """Spark's own setting by which the last of repeated names counts."""
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
+# a JSON string, or one of the number words that ``json.loads`` takes
+_STRING_OR_WORD = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|(?<![\w.+-])(?:NaN|-?Infinity)(?![\w.])'
+
+
+def _plain_json(x: Column) -> Column:
+    """The text with NaN, Infinity and -Infinity outside strings put as 1.5: like
+    them no integer, no text and no object. Strings are scanned with their escapes,
+    so that words inside them stay."""
+    hits = F.regexp_extract_all(x, F.lit(f"(?s){_STRING_OR_WORD}"), F.lit(0))
+    scanned = let(hits, lambda h: F.array_join(F.flatten(F.transform(
+        F.split(x, f"(?s){_STRING_OR_WORD}", -1), lambda gap, i: F.array(gap, F.when(
+            F.get(h, i).startswith('"'), F.get(h, i)).otherwise(F.when(F.get(h, i).isNotNull(), F.lit("1.5")).otherwise(F.lit("")))))), ""))
+    return F.when(x.rlike("NaN|Infinity"), scanned).otherwise(x)
+
+
 def _strict(x: Column) -> Column:
     return (_try_parse_json(F.concat(F.lit('{"a":'), x, F.lit("}"))).isNotNull()
             & _try_parse_json(F.concat(F.lit("["), x, F.lit("]"))).isNotNull())
@@ -135,7 +168,9 @@ def _item(v: Column) -> Column:
     label = F.coalesce(F.call_function("variant_get", v, F.lit("$.label"), F.lit("string")), F.lit(DEFAULT_LABEL))
     label = F.lower(strip_ws(label))
     label = F.when(label.isin(LABELS), label).otherwise(F.lit(DEFAULT_LABEL))
-    index = F.when(is_obj & idx_int, F.call_function("variant_get", v, F.lit("$.index"), F.lit("long")))
+    index = (F.when(is_obj & idx_int, F.call_function("variant_get", v, F.lit("$.index"), F.lit("long")))
+              .when(is_obj & (_schema(idx) == "BOOLEAN"),          # a bool is an int there
+                    F.call_function("variant_get", v, F.lit("$.index"), F.lit("boolean")).cast("long")))
     return F.struct(index.alias("idx"), label.alias("label"), (~(is_obj & lab_ok)).alias("bad"))
 
 
@@ -147,7 +182,11 @@ def parse_response(raw: Column, n: Column) -> Column:
     JSON of the wrong shape, or no response at all; labels NULL).
 
     A strictly valid array equals its own first-'['-to-last-']' extract, so
-    parsing the extract covers both the direct and the regex path."""
+    parsing the extract covers both the direct and the regex path. NaN and the
+    infinities are numbers, an empty object holds no items, and ``true`` is the
+    index 1, as in ``json.loads``; so is the last of repeated names, if the session
+    sets ``spark.sql.variant.allowDuplicateKeys`` (the functions on DataFrames below
+    do)."""
     def result(status: str, labels: Column, n_items: Column = F.lit(None)) -> Column:
         return F.struct(F.lit(status).alias("status"), labels.cast("array<string>").alias("labels"),
                         n_items.cast("int").alias("n_items"))
@@ -159,7 +198,7 @@ def parse_response(raw: Column, n: Column) -> Column:
     def with_items(s: Column, arr: Column, items: Column) -> Column:
         all_netral = F.array_repeat(F.lit(DEFAULT_LABEL), n)
         not_array = _strict(s) & ~s.startswith("[")
-        return (F.when(not_array & (s == '""'), result("ok", all_netral))
+        return (F.when(not_array & s.rlike(r'^(""|\{[ \t\n\r]*\})$'), result("ok", all_netral))     # nothing to go through
                  .when(not_array, result("retry", F.lit(None)))
                  .when(arr.isNull(), result("fallback_netral", all_netral))
                  .when(F.exists(items, lambda it: it["bad"]), result("retry", F.lit(None), F.size(items)))
@@ -169,6 +208,10 @@ def parse_response(raw: Column, n: Column) -> Column:
         return let(F.transform(arr, _item), lambda items: with_items(s, arr, items))
 
     def with_extract(s: Column, e: Column) -> Column:
+        s, e = _plain_json(s), _plain_json(e)
+        return let(s, lambda s: let(e, lambda e: with_plain(s, e)))
+
+    def with_plain(s: Column, e: Column) -> Column:
         arr = F.when(_strict(e), F.call_function("variant_get", _try_parse_json(e), F.lit("$"),
                                                  F.lit("array<variant>")))
         return let(arr, lambda a: with_array(s, a))
@@ -181,6 +224,7 @@ def parse_response(raw: Column, n: Column) -> Column:
 def parse_responses(responses: DataFrame) -> DataFrame:
     """``(batch_id, n, raw)`` → ``(batch_id, pos, label, status)``; retry
     batches give one row per position with a NULL label."""
+    _names_may_repeat(responses)
     p = responses.select("batch_id", "n", parse_response(F.col("raw"), F.col("n")).alias("r"))
     return p.select("batch_id", F.col("r.status").alias("status"),
                     F.posexplode(F.coalesce(F.col("r.labels"),
@@ -215,6 +259,7 @@ def run_labeller(prompts: DataFrame, labeller: Callable[[list[dict], list[list[s
 def labels_from_responses(responses: DataFrame) -> DataFrame:
     """Label k of a batch belongs to its k-th pending row; retry batches
     produce nothing (they stay pending)."""
+    _names_may_repeat(responses)
     p = responses.select("batch_id", "row_ids", parse_response(F.col("raw"), F.col("n")).alias("r"))
     ok = p.filter(F.col("r.status") != "retry")
     z = ok.select("batch_id", F.explode(F.arrays_zip(F.col("row_ids").alias("row_id"),
@@ -250,8 +295,7 @@ def label_job(rows: DataFrame, state_path: str, labeller, order: list[Column] |
     pending = pending_rows(rows, state)
     if pending.isEmpty():
         return {"pending": 0, "labelled": 0}
-    pos = assign_batches(rows, order or [F.col("row_id")], size)
-    prompts = build_prompts(batch_rows(pending_rows(pos, state)))
+    prompts = build_prompts(batch_rows(pending_texts(rows, state, order or [F.col("row_id")], size)))
     source = scratch_path(spark, "prompts")
     # by batch number, so that files hold their batches in order and of about one size
     (prompts.repartition(commit_tasks, F.floor(F.col("batch_id") / task_batches)).sortWithinPartitions("batch_id")

@@ -6,6 +6,9 @@ rows, the (tiny: one row per partition) count table is prefix-summed and
 broadcast back. The tagged rows are checkpointed to the shared checkpoint
 folder first so both passes see identical partitions even if executors are
 lost (range-partition sampling is not stable across separate executions).
+
+Only the columns to keep and those of the order go through the range shuffle, and
+the number of ranges follows the number of rows.
 """
 from __future__ import annotations
 
@@ -15,13 +18,21 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 
+#: Rows of a range: of slim rows, some hundred MB in one task at most.
+ROWS_PER_RANGE = 2_000_000
+
+
 def with_positions(df: DataFrame, order: list[Column], name: str = "pos",
-                   num_partitions: int | None = None) -> DataFrame:
+                   num_partitions: int | None = None, keep: list[str] | None = None) -> DataFrame:
+    """``df`` with each row's 0-based position in the total ``order``. ``keep``:
+    the columns of the result besides the position (None: all); name the key
+    alone where rows are wide and join the rest on it afterwards."""
     spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keep = df.columns if keep is None else keep
+    n = num_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // ROWS_PER_RANGE))
     ordered = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    tagged = materialize(ordered.withColumn("__pid", F.spark_partition_id())
-                                .withColumn("__mid", F.monotonically_increasing_id()), "positions")
+    tagged = materialize(ordered.select(*keep, F.spark_partition_id().alias("__pid"),
+                                        F.monotonically_increasing_id().alias("__mid")), "positions")
     counts = tagged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"),
                                          F.min("__mid").alias("__m0"))
     w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)

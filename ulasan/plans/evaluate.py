@@ -1,9 +1,10 @@
 """Evaluation: confusion matrix, classification report, macro F1 and the
-grid-search pick (D12-D15). All from ``(label, prediction)`` pair counts: one
-partial aggregation over the scored rows, then arithmetic on ≤ k² rows."""
+grid-search pick (D12-D15). One partial aggregate over the scored rows each:
+pair counts for the matrix, conditional counts of every class for the report and
+the macro F1; the rest is arithmetic on an array of k classes."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.labelling import LABELS
@@ -28,51 +29,71 @@ def confusion_matrix(scored: DataFrame, labels: list[str] = LABELS, label: str =
                                         for v in labels])
 
 
-def per_class(pc: DataFrame, labels: list[str], by: list[str]) -> DataFrame:
-    """Per (group, class): tp, predicted, support → precision, recall, F1
-    (0 on an empty denominator)."""
-    spark: SparkSession = pc.sparkSession
-    tp = pc.filter(F.col("label") == F.col("prediction")).groupBy(*by, F.col("label").alias("cls")).agg(F.sum("n").alias("tp"))
-    sup = pc.groupBy(*by, F.col("label").alias("cls")).agg(F.sum("n").alias("support"))
-    prd = pc.groupBy(*by, F.col("prediction").alias("cls")).agg(F.sum("n").alias("predicted"))
-    # every (group, class) cell, classes exploded from the literal list
-    groups = pc.select(*by).distinct() if by else spark.range(1).select()
-    base = groups.select(*by, F.posexplode(F.array(*[F.lit(v) for v in labels])).alias("ord", "cls"))
-    d = (base.join(tp, by + ["cls"], "left").join(sup, by + ["cls"], "left").join(prd, by + ["cls"], "left")
-             .na.fill(0, ["tp", "support", "predicted"]))
-    p = F.coalesce(F.try_divide(F.col("tp"), F.col("predicted")), F.lit(0.0))
-    r = F.coalesce(F.try_divide(F.col("tp"), F.col("support")), F.lit(0.0))
-    d = d.withColumn("precision", p).withColumn("recall", r)
-    f1 = F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")),
-                    F.lit(0.0))
-    return d.withColumn("f1", f1)
+def _cells(labels: list[str], label: str, pred: str) -> Column:
+    """An aggregate: ``array<struct<cls,tp,predicted,support>>`` in label order."""
+    truth, guess = F.col(label), F.col(pred)
+    return F.array(*[F.struct(F.lit(v).alias("cls"), F.count_if((truth == v) & (guess == v)).alias("tp"),
+                              F.count_if(guess == v).alias("predicted"), F.count_if(truth == v).alias("support"))
+                     for v in labels])
+
+
+def _rate(top: Column, bottom: Column) -> Column:
+    return F.coalesce(F.try_divide(top, bottom), F.lit(0.0))
+
+
+def _scores(cells: Column) -> Column:
+    """Adds precision, recall and F1 (0 on an empty denominator) to the cells."""
+    def one(c: Column) -> Column:
+        p, r = _rate(c["tp"], c["predicted"]), _rate(c["tp"], c["support"])
+        return F.struct(c["cls"].alias("cls"), c["tp"].alias("tp"), c["predicted"].alias("predicted"),
+                        c["support"].alias("support"), p.alias("precision"), r.alias("recall"),
+                        _rate(2 * p * r, p + r).alias("f1"))
+    return F.transform(cells, one)
+
+
+def _total(scores: Column, value, start) -> Column:
+    return F.aggregate(scores, start, lambda acc, c: acc + value(c))
+
+
+def class_scores(scored: DataFrame, by: list[str], labels: list[str] = LABELS, label: str = "label",
+                 pred: str = "prediction") -> DataFrame:
+    """``(*by, scores)``: every class's counts, precision, recall and F1 as one
+    array in label order, from one partial aggregate over the scored rows (one
+    row in all without ``by``, also for an empty table)."""
+    return scored.groupBy(*by).agg(_cells(labels, label, pred).alias("cells")).select(*by, _scores(F.col("cells")).alias("scores"))
 
 
 def classification_report(scored: DataFrame, labels: list[str] = LABELS, label: str = "label",
                           pred: str = "prediction", digits: int = 6) -> DataFrame:
     """Rows per class, then ``accuracy``, ``macro avg``, ``weighted avg``
     (accuracy row: f1 = accuracy, precision/recall NULL, support = n)."""
-    pcs = per_class(pair_counts(scored, label, pred), labels, [])
-    n = F.sum("support")
-    macro = pcs.agg(F.lit("macro avg").alias("name"), F.avg("precision").alias("precision"),
-                    F.avg("recall").alias("recall"), F.avg("f1").alias("f1"), n.alias("support"))
-    weighted = pcs.agg(F.lit("weighted avg").alias("name"),
-                       (F.sum(F.col("precision") * F.col("support")) / n).alias("precision"),
-                       (F.sum(F.col("recall") * F.col("support")) / n).alias("recall"),
-                       (F.sum(F.col("f1") * F.col("support")) / n).alias("f1"), n.alias("support"))
-    acc = pcs.agg(F.lit("accuracy").alias("name"), F.lit(None).cast("double").alias("precision"),
-                  F.lit(None).cast("double").alias("recall"), (F.sum("tp") / n).alias("f1"), n.alias("support"))
-    rows = pcs.select(F.col("cls").alias("name"), "precision", "recall", "f1", "support")
-    out = rows.unionByName(acc).unionByName(macro).unionByName(weighted)
-    return out.select("name", *[F.round(c, digits).alias(c) for c in ("precision", "recall", "f1")],
-                      F.col("support").cast("long").alias("support"))
+    s = F.col("scores")
+    zero = F.lit(0.0)
+
+    def row(name, precision, recall, f1, support) -> Column:
+        return F.struct(name.alias("name"), precision.cast("double").alias("precision"), recall.cast("double").alias("recall"),
+                        f1.cast("double").alias("f1"), support.alias("support"))
+
+    def averaged(name: str, mean) -> Column:
+        return row(F.lit(name), mean("precision"), mean("recall"), mean("f1"), F.col("n"))
+
+    one = class_scores(scored, [], labels, label, pred).withColumn(
+        "n", _total(s, lambda c: c["support"], F.lit(0).cast("long")))
+    classes = F.transform(s, lambda c: row(c["cls"], c["precision"], c["recall"], c["f1"], c["support"]))
+    tp = _total(s, lambda c: c["tp"], F.lit(0).cast("long"))
+    summary = F.array(
+        row(F.lit("accuracy"), F.lit(None), F.lit(None), F.try_divide(tp, F.col("n")), F.col("n")),
+        averaged("macro avg", lambda m: _total(s, lambda c: c[m], zero) / F.lit(float(len(labels)))),
+        averaged("weighted avg", lambda m: F.try_divide(_total(s, lambda c: c[m] * c["support"], zero), F.col("n"))))
+    out = one.select(F.explode(F.concat(classes, summary)).alias("r")).select("r.*")
+    return out.select("name", *[F.round(c, digits).alias(c) for c in ("precision", "recall", "f1")], "support")
 
 
 def macro_f1(scored: DataFrame, by: list[str], labels: list[str] = LABELS, label: str = "label",
              pred: str = "prediction") -> DataFrame:
     """Macro F1 per group (e.g. per ``(C, fold)``)."""
-    pcs = per_class(pair_counts(scored, label, pred, by), labels, by)
-    return pcs.groupBy(*by).agg(F.avg("f1").alias("f1_macro"))
+    mean = _total(F.col("scores"), lambda c: c["f1"], F.lit(0.0)) / F.lit(float(len(labels)))
+    return class_scores(scored, by, labels, label, pred).select(*by, mean.alias("f1_macro"))
 
 
 def best_param(scores: DataFrame, param: str, param_order: str, score: str = "f1_macro") -> DataFrame:
