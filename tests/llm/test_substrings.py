@@ -93,6 +93,19 @@ def test_hot_minimizers_equal_brute_force(llm):
         assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in out) == brute(rows)
 
 
+def test_several_blocks_equal_brute_force_and_follow_the_bytes(llm, monkeypatch):
+    rows = hot_rows()
+    df = llm.createDataFrame(rows, "doc_id long, text string")
+    total = sum(len((t or "").encode()) for _, t in rows)
+    monkeypatch.setattr(sd, "BLOCK_BYTES", total // 9)
+    assert sd.block_count(total) in (9, 10) and sd.block_count(0) == 1
+    assert got(df) == brute(rows)
+    import pyarrow as pa
+    docs = pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows], "block": [3] * len(rows)})
+    sent, entries = sd._minimizer_rows(10 ** 4)(docs), len(sd.Block(docs).minimizers()[0])
+    assert sent.num_rows <= entries == sum(len(x) // 7 for x in sent.column("ids").to_pylist())
+
+
 def test_hot_minimizers_are_split():
     """No id brings more than a few distinct segments to one suffix array."""
     import pyarrow as pa

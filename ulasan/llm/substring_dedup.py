@@ -25,9 +25,11 @@ first brought together:
 
 Every exchange carries at most one entry for a block and string, so a passage
 that a third of all documents share costs one entry a block, and its ends one a
-document and window. Number of blocks
-and buckets follow the bytes of the table. Nothing is collected on the driver
-but the total size.
+document and window. The numbers of blocks and buckets follow the bytes of the
+table alone. An exchange has a row for a block and bucket that share an entry, so
+never more rows than entries (a minimizer for some 40 bytes of text), and far fewer
+while a bucket holds many entries of a block. Nothing is collected on the driver but
+the total size.
 
 Edge cases: NULL text counts as empty. Rows with the same doc_id do not remove
 each other's bytes (neither is smaller), nor does a row its own. Rows without a
@@ -43,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, whole_text
+from .common import whole_text
 from .suffix import common_prefixes, suffix_array, words_at
 
 LENGTH = 50
@@ -378,10 +380,14 @@ def _kept_rows(docs: pa.Table, answers: pa.Table) -> pa.Table:
     return pa.table({n: pa.array([r[k] for r in rows], kind) for k, (n, kind) in enumerate(zip(names, kinds))})
 
 
+def block_count(total_bytes: int) -> int:
+    return max(1, math.ceil(total_bytes / BLOCK_BYTES))
+
+
 def remove_repeats(docs: DataFrame, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
     """One row per row: ``doc_id, n_bytes, n_removed, n_spans, kept`` (bytes)."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(shuffle_partitions(docs.sparkSession), math.ceil(total / BLOCK_BYTES))
+    blocks = block_count(total)
     buckets = BUCKETS_PER_BLOCK * blocks
     text = whole_text()
     dealt = docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long"), text), F.lit(blocks)).cast("int").alias("block"),
