@@ -70,6 +70,27 @@ def test_redact(llm):
     assert secret_scan.secret_spans(df.limit(0)).count() == 0
 
 
+def test_text_with_very_many_hits(llm):
+    """100,000 spans in one text, weak ones among them, in time that does not grow with their square."""
+    import time
+    unit = "token=abcdef1 user=bob77é password: user=x1234567 "
+    n = 34000
+    df = llm.createDataFrame([(1, unit * n), (2, "x" * 100 + unit)], "doc_id long, text string")
+    t0 = time.time()
+    got = {r.doc_id: r for r in secret_scan.secret_spans(df).collect()}
+    base, every = brute(unit * 3)
+    of = lambda spans: [tuple(s) for s in spans]
+    first, last = (lambda x: [s for s in x if s[0] < len(unit)]), (lambda x: [s for s in x if s[0] >= len(unit) * 2])
+    middle = lambda x: [(s - len(unit), k, e - len(unit)) for s, k, e in x if len(unit) <= s < 2 * len(unit)]
+    for name, some in (("base", base), ("spans", every)):
+        want = first(some) + [(s + len(unit) * i, k, e + len(unit) * i) for i in range(1, n - 1) for s, k, e in middle(some)]
+        want += [(s + len(unit) * (n - 3), k, e + len(unit) * (n - 3)) for s, k, e in last(some)]
+        assert of(got[1][name]) == want
+    assert len(got[1].spans) >= 100_000 and len(got[2].spans) == len(brute(unit)[1])
+    out = secret_scan.redact(df).where("doc_id = 1").first().text
+    assert out.count("[SECRET]") == 3 * n and "token=" not in out and time.time() - t0 < 120
+
+
 def brute_shards(rows, limit):
     h = {r[0]: f"{int(hashlib.md5(('' if r[0] is None else str(r[0])).encode()).hexdigest()[:15], 16):060b}" for r in rows}
     out = []

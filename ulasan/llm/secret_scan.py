@@ -20,6 +20,9 @@ the matches, and of the matches, sum to each match's place in code points.
 Linking is an interval join: spans are dealt by text and scope-sized bin, a
 candidate meets the parts of its own and the two adjacent bins, and the exact
 distance decides. A very long text with many parts is so spread over its bins.
+Candidates that overlap a base span are found by the same bins. Within a text, hits
+are gone through in pieces of about the root of their number, since every step of a
+fold copies what it has gathered: a text with 100,000 hits takes seconds.
 
 Edge cases: NULL text counts as empty. Spans belong to (doc_id, text), so
 repeated rows get the same spans and rows that share an id do not mix. A NULL
@@ -31,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from ..functions.text import let
 from .common import whole_text
 
 #: Code points between two parts that belong together.
@@ -65,6 +69,7 @@ def _spans(text: Column, kind: str) -> Column:
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, p, F.lit(0)).alias("hit"),
                          F.regexp_extract_all(text, p, F.lit(1)).alias("value"))
     none = F.array().cast(f"array<{SPAN}>")
+    nothing = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
@@ -75,11 +80,27 @@ def _spans(text: Column, kind: str) -> Column:
         span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end")).cast(SPAN)
         return F.struct(F.coalesce(end, start).alias("at"), F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    def moved(spans: Column, by: Column) -> Column:
+        return F.transform(spans, lambda s: F.struct((s["start"] + by).alias("start"), s["kind"].alias("kind"), (s["end"] + by).alias("end")).cast(SPAN))
+
+    def join(acc: Column, piece: Column) -> Column:
+        return F.struct((acc["at"] + piece["at"]).alias("at"), F.concat(acc["out"], F.array(moved(piece["out"], acc["at"]))).alias("out"))
+
+    # every piece from zero on, then the pieces moved to their places
+    found = let(parts, lambda all_parts: F.aggregate(
+        _pieces(all_parts, lambda piece: F.aggregate(piece, nothing, step)),
+        F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{SPAN}>>").alias("out")), join, lambda acc: F.flatten(acc["out"])))
     maybe = text.contains(sign) if sign in ("AKIA", "://") else text.rlike(sign)
     return F.when(maybe, found).otherwise(none)
 
 
+def _pieces(values: Column, body) -> Column:
+    """``body`` of each piece of a non-empty array, in order."""
+    size = F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(values)))).cast("int")
+    return let(size, lambda n: F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / n).cast("int")),
+                                           lambda i: body(F.slice(values, i * n + 1, n))))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """``(doc_id, text_hash, base, weak)`` of every row: sorted base spans and
     weak candidates, written to the shared checkpoint folder."""
@@ -91,13 +112,27 @@ def scan(docs: DataFrame) -> DataFrame:
     return materialize(found, "secrets")
 
 
+def _clear(spans: DataFrame, key: list[str], scope: int) -> DataFrame:
+    """The spans without the weak ones that overlap a base span: both stand in
+    every bin that they cover, and overlapping ones share one."""
+    binned = spans.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / scope), F.floor((F.col("end") - 1) / scope))))
+    base = binned.where("kind < 3").select(F.col("doc_id").alias("b_id"), F.col("text_hash").alias("b_hash"), F.col("bin").alias("b_bin"),
+                                           F.col("start").alias("b0"), F.col("end").alias("b1"))
+    over = F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("text_hash") == F.col("b_hash")) & (F.col("bin") == F.col("b_bin"))
+    hit = (binned.where("kind >= 3").join(base, over & (F.col("b0") < F.col("end")) & (F.col("start") < F.col("b1")), "left_semi")
+           .select(*[F.col(c).alias(f"h_{c}") for c in (*key, "kind", "start")]).distinct())
+    same = F.col("doc_id").eqNullSafe(F.col("h_doc_id"))
+    for c in ("text_hash", "kind", "start"):
+        same = same & (F.col(c) == F.col(f"h_{c}"))
+    return spans.join(hit, same, "left_anti")
+
+
 def link(scanned: DataFrame, scope: int = SCOPE) -> DataFrame:
     """``(doc_id, text_hash, linked)``: the weak candidates that complementary
     parts confirm, for the texts that have any."""
     key = ["doc_id", "text_hash"]
     some = scanned.where(F.size("weak") > 0).dropDuplicates(key)
-    clear = F.filter("weak", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    spans = some.select(*key, F.explode(F.concat("base", clear)).alias("s")).select(*key, "s.*")
+    spans = _clear(some.select(*key, F.explode(F.concat("base", "weak")).alias("s")).select(*key, "s.*"), key, scope)
     ident, secret = F.col("kind").isin(1, 3), F.col("kind").isin(0, 2, 4)
     # a part stands in every bin that its text and scope touch, a candidate in its first
     parts = (spans.where(ident | secret)
@@ -131,15 +166,22 @@ def listed(spans: Column) -> Column:
 
 
 def mask(text: Column, spans: Column, by: str = MASK) -> Column:
-    """The text with every run of overlapping spans (sorted) put as ``by``."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    """The text with every run of overlapping spans (sorted) put as ``by``. Each
+    piece of the spans cuts its own stretch of the text, so that no step counts
+    code points from the text's beginning."""
+    def stretch(acc: Column, piece: Column) -> Column:
+        end = F.greatest(acc["at"], F.array_max(F.transform(piece, lambda s: s["end"])))
+        return let(F.substring(text, acc["at"] + 1, end - acc["at"]), lambda local: F.aggregate(
+            piece, F.struct(acc["at"].alias("at"), F.array().cast("array<string>").alias("out")),
+            lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] < a["at"], a["out"]).otherwise(
+                F.concat(a["out"], F.array(F.substring(local, a["at"] - acc["at"] + 1, s["start"] - a["at"]), F.lit(by)))).alias("out")),
+            lambda a: F.struct(a["at"].alias("at"), F.array_join(a["out"], "").alias("out"))))
+
+    def step(acc: Column, piece: Column) -> Column:
+        return let(stretch(acc, piece), lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] < acc["at"], acc["out"]).otherwise(
-            F.concat(acc["out"], F.array(gap, F.lit(by)))).alias("out"))
-
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, lambda acc: F.concat(
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    return F.when(F.size(spans) > 0, F.aggregate(_pieces(spans, lambda piece: piece), start, step, lambda acc: F.concat(
         F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))).otherwise(text)
 
 
