@@ -153,30 +153,38 @@ class Block:
 
     def shared(self, wanted: np.ndarray, hot: np.ndarray):
         """The distinct segments whose id is wanted (sorted), in the order of
-        their ids: texts, ids, smallest doc_ids; and every occurrence as
-        (document, start in the text, segment number). Segments whose id is
+        their ids: texts, ids, smallest doc_ids; and every occurrence as arrays of
+        documents, starts in the text and segment numbers. Segments whose id is
         ``hot`` are given as their windows, under the windows' own ids."""
         number: dict[bytes, int] = {}
-        ids, least, occ = [], [], []
+        ids, least = [], []
+        none = np.zeros(0, dtype=np.int64)
+        occ = [(none, none, none)]
         for a, joined, offsets, (seg, doc, start, windows) in self.chunks():
             place = np.minimum(np.searchsorted(wanted, seg), max(0, len(wanted) - 1))
-            hit = np.flatnonzero(wanted[place] == seg) if len(wanted) else []
-            split = hot[place[hit]].tolist() if len(hit) else []
-            for k, s, w, d, x in zip(seg[hit].tolist(), start[hit].tolist(), windows[hit].tolist(), doc[hit].tolist(), split):
-                for s, w in [(s + i, 1) for i in range(w)] if x else [(s, w)]:
-                    text = joined[s:s + w + LENGTH - 1]
-                    m = number.get(text)
-                    if m is None:
-                        m = number[text] = len(ids)
-                        ids.append(_window_id(text) if x else k)
-                        least.append(self.doc_ids[a + d])      # documents come in the order of their ids
-                    occ.append((a + d, s - int(offsets[d]), m))
+            hit = np.flatnonzero(wanted[place] == seg) if len(wanted) else none
+            split = hot[place[hit]] if len(hit) else np.zeros(0, dtype=bool)
+            each = np.where(split, windows[hit], 1)
+            at = np.repeat(np.arange(len(hit)), each)
+            s = start[hit][at] + np.arange(len(at)) - np.repeat(np.cumsum(each) - each, each)
+            end = s + np.where(split, 1, windows[hit])[at] + LENGTH - 1
+            d, own = doc[hit][at], []
+            for k, x, y, alone, o in zip(seg[hit][at].tolist(), s.tolist(), end.tolist(), split[at].tolist(), d.tolist()):
+                text = joined[x:y]
+                m = number.get(text)
+                if m is None:
+                    m = number[text] = len(ids)
+                    ids.append(_window_id(text) if alone else k)
+                    least.append(self.doc_ids[a + o])          # documents come in the order of their ids
+                own.append(m)
+            occ.append((a + d, s - offsets[d], np.array(own, dtype=np.int64)))
         ids = np.array(ids, dtype=np.uint64)
         order = np.argsort(ids, kind="stable")
         rank = np.empty(len(order), dtype=np.int64)
         rank[order] = np.arange(len(order))
         texts = list(number)
-        return [texts[i] for i in order], ids[order], np.array(least, dtype=np.int64)[order], occ, rank
+        return ([texts[i] for i in order], ids[order], np.array(least, dtype=np.int64)[order],
+                tuple(np.concatenate(c) for c in zip(*occ)), rank)
 
 
 def _window_id(window: bytes) -> int:
@@ -350,6 +358,37 @@ def remove_windows(text: bytes, covered: list[tuple[int, int]]) -> tuple[bytes,
     return b"".join(kept), spans
 
 
+def _covered(block: Block, sizes: np.ndarray, occ: tuple, rank: np.ndarray, runs: tuple) -> dict[int, list[tuple[int, int]]]:
+    """The maximal intervals to drop, by document: ``sizes`` and ``runs`` (count;
+    length and smallest doc_id of each run) of the segments, in their order."""
+    count, length, least = runs
+    count = count.astype(np.int64)
+    first = np.cumsum(count) - count
+    length = np.where(length == 0, np.repeat(sizes - LENGTH + 1, count), length).astype(np.int64)
+    before = np.cumsum(length) - length
+    before -= np.repeat(before[first], count)                  # windows of the segment's earlier runs
+    doc, start, m = occ[0], occ[1], rank[occ[2]]
+    at = np.repeat(np.arange(len(doc)), count[m])
+    run = np.repeat(first[m] - (np.cumsum(count[m]) - count[m]), count[m]) + np.arange(len(at))
+    mine = np.array([i for i in block.doc_ids if i is not None], dtype=np.int64)
+    drop = least[run] < mine[doc[at]]
+    at, run = at[drop], run[drop]
+    if not len(at):
+        return {}
+    base = np.cumsum([0] + [len(t) + 1 for t in block.texts])  # texts laid out one after another, a gap between them
+    a = base[doc[at]] + start[at] + before[run]
+    b = a + length[run] + LENGTH - 1
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], np.maximum.accumulate(b[order])
+    new = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]]))
+    a, b = a[new], b[np.concatenate([new[1:] - 1, [len(b) - 1]])]
+    covered: dict[int, list[tuple[int, int]]] = {}
+    owner = np.searchsorted(base, a, side="right") - 1
+    for d, x, y in zip(owner.tolist(), (a - base[owner]).tolist(), (b - base[owner]).tolist()):
+        covered.setdefault(d, []).append((x, y))
+    return covered
+
+
 def _kept_rows(docs: pa.Table, answers: pa.Table) -> pa.Table:
     names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept")
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
@@ -362,17 +401,8 @@ def _kept_rows(docs: pa.Table, answers: pa.Table) -> pa.Table:
         minima = sorted((b, d) for b, k, d in zip(*[answers.column(c).to_pylist() for c in ("bucket", "kind", "data")]) if k == 1)
         parts = [_read_minima(d) for _, d in minima]           # buckets are ranges of ids: together the block's order
         if parts:
-            count, length, least = (np.concatenate([p[i] for p in parts]) for i in range(3))
-            first = (np.cumsum(count.astype(np.int64)) - count).tolist()
-            count, length, least = count.tolist(), length.tolist(), least.tolist()
-            for doc, start, m in occ:
-                m, mine = rank[m], block.doc_ids[doc]
-                at = start
-                for k in range(first[m], first[m] + count[m]):
-                    n = length[k] or len(texts[m]) - LENGTH + 1
-                    if least[k] < mine:
-                        covered.setdefault(doc, []).append((at, at + n + LENGTH - 1))
-                    at += n
+            covered = _covered(block, np.array([len(t) for t in texts]), occ, rank,
+                               tuple(np.concatenate([p[i] for p in parts]) for i in range(3)))
     rows = []
     for d, (i, t) in enumerate(zip(block.doc_ids, block.texts)):
         kept, spans = remove_windows(t, covered[d]) if d in covered else (t, 0)
