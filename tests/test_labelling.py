@@ -163,3 +163,15 @@ def test_a_call_that_raises_leaves_its_prompt_pending(spark):
     assert label_job(rows, state, fails, size=5) == {"pending": 20, "labelled": 15}
     assert spark.read.parquet(state).where("row_id BETWEEN 5 AND 9").count() == 0
     assert label_job(rows, state, lambda m, t: [answer(x) for x in t], size=5) == {"pending": 5, "labelled": 20}
+
+
+def test_restore_labels_adds_the_column_and_keeps_what_there_is(spark):
+    from ulasan import restore_labels, with_label_column
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (None, "d")], "row_id long, text string")
+    state = spark.createDataFrame([(1, "positif", 1), (1, "negatif", 2), (3, None, 9), (8, "netral", 1)], "row_id long, label string, labelled_at long")
+    say = lambda df: sorted((str(r.row_id), r.label) for r in df.collect())
+    assert with_label_column(rows).columns == ["row_id", "text", "label"] and with_label_column(state) is state
+    assert say(restore_labels(rows, state)) == [("1", "negatif"), ("2", None), ("3", None), ("None", None)]
+    own = rows.selectExpr("*", "'netral' AS label")
+    assert say(restore_labels(own, state)) == [("1", "negatif"), ("2", "netral"), ("3", "netral"), ("None", "netral")]
+    assert say(restore_labels(rows, None)) == say(restore_labels(rows, state.drop("label"))) == [("1", None), ("2", None), ("3", None), ("None", None)]

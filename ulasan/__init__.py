@@ -10,7 +10,7 @@ from .operators.counts import zero_filled_counts as label_counts
 from .operators.dedupe import keep_first as dedupe_keep_first, nulls_first, order_key
 from .operators.labelling import (assign_batches, batch_rows, build_prompts, label_job, parse_response,
                                   parse_responses, pending_rows, pending_slots, pending_texts, publish as publish_labels,
-                                  run_labeller as label_batches)
+                                  restore_labels, run_labeller as label_batches, symbol_of, with_label_column)
 from .operators.positions import with_positions
 from .operators.review import override_labels, sample_exact
 from .operators.split import class_weights, split_sizes, stratified_kfold, stratified_split

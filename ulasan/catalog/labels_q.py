@@ -10,7 +10,8 @@ from ..operators.counts import value_counts, with_share, zero_filled_counts
 from ..operators.dedupe import keep_first, order_key
 from ..operators.labelling import (SYMBOLS, UNKNOWN_SYMBOL, symbol_of, BATCH_SIZE, DEFAULT_LABEL, LABELS, PROMPT_HEAD, PROMPT_TAIL,
                                    REPORT_ORDER, assign_batches, batch_rows, build_prompts,
-                                   labels_from_responses, parse_response, pending_slots, pending_texts, publish)
+                                   labels_from_responses, parse_response, pending_slots, pending_texts, publish,
+                                   with_label_column)
 from ..operators.review import override_labels, sample_exact
 from ..operators.split import class_weights, split_sizes, stratified_kfold, stratified_split
 from ..plans.evaluate import best_param, classification_report, confusion_matrix, macro_f1
@@ -241,10 +242,7 @@ def resume_publish_q(spark, sf):
 # --- state, review, splits, evaluation --------------------------------------------
 @query("column_default_prune", "SELECT doc_id, NULL::VARCHAR AS label FROM labels")
 def column_default_prune_q(spark, sf):
-    d = tbl(spark, sf, "labels")
-    if "label" not in d.columns:                       # B15: add when absent
-        d = d.withColumn("label", F.lit(None).cast("string"))
-    return d.select("doc_id", "label")                  # B03: prune
+    return with_label_column(tbl(spark, sf, "labels")).select("doc_id", "label")
 
 
 @query("restore_labels", f"""

@@ -91,6 +91,23 @@ def latest_labels(state: DataFrame) -> DataFrame:
             .agg(F.max(F.struct(when.alias("at"), "label"))["label"].alias("label")))
 
 
+def with_label_column(rows: DataFrame, name: str = "label") -> DataFrame:
+    """``rows`` with a label column, NULL where there was none."""
+    return rows if name in rows.columns else rows.withColumn(name, F.lit(None).cast("string"))
+
+
+def restore_labels(rows: DataFrame, state: DataFrame | None) -> DataFrame:
+    """``rows`` with the labels that earlier runs left in the state (its newest
+    of each row that is not NULL); other rows keep their own label or none. Rows
+    are matched by ``row_id``, so the state may hold more rows, or fewer."""
+    rows = with_label_column(rows)
+    if state is None or "label" not in state.columns:
+        return rows
+    earlier = latest_labels(state).withColumnRenamed("label", "__earlier")
+    return (rows.join(earlier, "row_id", "left").withColumn("label", F.coalesce("__earlier", "label"))
+            .select(*rows.columns))
+
+
 def batch_rows(positioned: DataFrame, text: str = "text") -> DataFrame:
     """One row per batch that still has pending rows: ``(batch_id, n, row_ids,
     texts)``, items in position order; a batch holds at most ``size`` rows."""
