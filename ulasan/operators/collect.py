@@ -69,16 +69,13 @@ def _gram_filter(phrases: DataFrame, n_phrases: int) -> tuple[int, Callable[[Col
     bits = min(FILTER_MAX_BITS, 1 << max(6, (FILTER_BITS * max(1, n_phrases) - 1).bit_length()))
 
     def place(gram: Column) -> Column:
-        return F.xxhash64(gram).bitwiseAND(F.lit(bits - 1))
+        return F.hash(gram).bitwiseAND(F.lit(bits - 1))
 
     def word(gram: Column) -> Column:
-        return F.shiftright(place(gram), 6).cast("int")
-
-    def bit(gram: Column) -> Column:
-        return place(gram).bitwiseAND(F.lit(63)).cast("int")
+        return F.shiftright(place(gram), 6)
 
     rows = (phrases.groupBy(word(F.col("gram")).alias("w"))
-            .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("gram")))).alias("b"),
+            .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place(F.col("gram")))).alias("b"),
                  F.max("n_words").alias("n")).collect())
     table = [0] * (bits // 64)
     for r in rows:
@@ -86,7 +83,8 @@ def _gram_filter(phrases: DataFrame, n_phrases: int) -> tuple[int, Callable[[Col
     bitmap = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
 
     def passes(gram: Column) -> Column:
-        return F.call_function("shiftright", F.get(bitmap, word(gram)), bit(gram)).bitwiseAND(F.lit(1)) == 1
+        # a shift of 64 bits goes by the place's last six
+        return F.call_function("shiftright", F.get(bitmap, word(gram)), place(gram)).bitwiseAND(F.lit(1)) == 1
 
     return max((r["n"] for r in rows), default=0), passes
 
