@@ -89,9 +89,8 @@ def doc_norms_q(spark, sf):
   FROM tf t LEFT JOIN vocab v USING (term) GROUP BY t.doc_id""")
 def vocab_lookup_q(spark, sf):
     d = docs(spark, sf)
-    tf = tfidf.doc_terms(d, "doc_id")
-    vocab = tfidf.fit_vocab(tf, d.agg(F.count(F.lit(1))).scalar())
-    j = tf.join(F.broadcast(vocab.select("term", F.lit(1).alias("hit"))), "term", "left")
+    vocab, tf = tfidf.fit(d, "doc_id")      # the terms are cut once
+    j = tfidf.look_up(tf, vocab.select("term", F.lit(1).alias("hit")), "left")
     return j.groupBy(F.col("row_id").alias("doc_id")).agg(
         F.sum("tf").alias("n_terms"),
         F.coalesce(F.sum(F.when(F.col("hit") == 1, F.col("tf"))), F.lit(0)).cast("long").alias("n_in_vocab"))

@@ -254,10 +254,11 @@ def train_classifier(labelled: DataFrame, Cs: list[float], k: int = 5, max_iter:
     from ..operators.split import stratified_split
     spark = labelled.sparkSession
     split = materialize(stratified_split(labelled.select("row_id", "label"), "row_id", test_size=test_size, seed=seed), "split")
-    tf = materialize(tfidf.doc_terms(labelled, "row_id"), "term_counts")
+    tf, sums = tfidf.term_table(labelled, "row_id")
     fit_rows = labelled if fit_scope == "all" else split.filter(F.col("split") == "train")
     fit_tf = tf if fit_scope == "all" else tf.join(fit_rows.select("row_id"), "row_id", "left_semi")
-    vocab = materialize(tfidf.fit_vocab(fit_tf, fit_rows.agg(F.count(F.lit(1))).scalar()), "vocabulary")
+    n_docs = fit_rows.agg(F.count(F.lit(1))).scalar()
+    vocab = materialize(tfidf.fit_vocab(fit_tf, n_docs, sums=sums if fit_scope == "all" else None), "vocabulary")
     weighted = materialize(tfidf.transform(tf, vocab).select("row_id", "term_id", "weight"), "weights")
     train_rows = split.filter(F.col("split") == "train").select("row_id", "label")
     size = max(1, vocab.count())
