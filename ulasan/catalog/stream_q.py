@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.dedupe import order_key
+from ..operators.parallel import spread
 from ..plans import tfidf
 from ..plans.svm import OvoModel
 from ..session import scratch_path
@@ -53,9 +54,8 @@ def stream_daily_q(spark, sf):
 
 def demo_model(spark, sf):
     from .features_q import DEMO_B, demo_weights
-    d = tbl(spark, sf, "documents").select("doc_id", "text")
-    tf = tfidf.doc_terms(d, "doc_id")
-    vocab = tfidf.fit_vocab(tf, d.agg(F.count(F.lit(1))).scalar())
+    d = spread(tbl(spark, sf, "documents").select("doc_id", "text"))
+    vocab, _ = tfidf.fit(d, "doc_id")
     model = OvoModel(vocab, demo_weights(vocab), DEMO_B, 1.0)
     path = scratch_path(spark, "demo_model")
     model.save(path)
