@@ -65,3 +65,19 @@ def test_terms_meet_the_vocabulary_by_a_number(spark, docs):
     assert re.search(r"BroadcastHashJoin \[xxhash64\(term#\d+, 42\)\], \[__hash#\d+L\]", plan)
     got = Counter((r.term, r.term_id) for r in tfidf.look_up(tf, vocab, "left").collect())
     assert got["satu", 0] == 3 and got["umum kata1", 1] == 1 and got["dua", None] == 3
+
+
+def test_training_table_has_no_more_partitions_than_its_rows_need(spark, docs, monkeypatch):
+    from ulasan.plans import svm
+    weighted = spark.range(60).select(F.col("id").alias("row_id"), (F.col("id") % 7).cast("int").alias("term_id"), F.lit(1.0).alias("weight"))
+    folds = spark.range(60).select(F.col("id").alias("row_id"), F.lit("netral").alias("label"), F.lit(0).alias("fold"))
+    old = spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "64")      # small files are cut as larger ones are
+        data = svm.training_table(weighted, folds, 7, 60)
+        assert (data.count(), data.rdd.getNumPartitions()) == (60, 1)
+        assert svm._as_vectors(svm.training_frame(weighted, folds, 7).repartition(1)).rdd.getNumPartitions() > 1      # as it was read before
+        monkeypatch.setattr(svm, "ROWS_PER_PART", 20)
+        assert svm.training_table(weighted, folds, 7, 60).rdd.getNumPartitions() == 3
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", old)

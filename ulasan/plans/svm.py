@@ -178,13 +178,25 @@ class OvoModel:
                         meta["intercepts"], meta["C"])
 
 
-ROWS_PER_PART = 200_000
+ROWS_PER_PART = 50_000
+
+
+def n_partitions(n_rows: int) -> int:
+    """Iterative solvers pay per task per iteration: the training frame has one
+    partition per ``ROWS_PER_PART`` rows (many at scale, one when tiny)."""
+    return max(1, -(-n_rows // ROWS_PER_PART))
 
 
 def size_partitions(df: DataFrame, n_rows: int) -> DataFrame:
-    """Iterative solvers pay per task per iteration: give the training frame
-    one partition per ``ROWS_PER_PART`` rows (many at scale, one when tiny)."""
-    return df.repartition(max(1, -(-n_rows // ROWS_PER_PART)))
+    return df.repartition(n_partitions(n_rows))
+
+
+def training_table(weighted: DataFrame, folds: DataFrame, size: int, n_rows: int) -> DataFrame:
+    """``training_frame`` as a table, not a cache: each of the many small jobs of a
+    fit carries its lineage. A scan cuts a small file into a split for each core,
+    all but one of them without a row group and each a task in every iteration, so
+    the splits are put together again."""
+    return _as_vectors(size_partitions(training_frame(weighted, folds, size), n_rows)).coalesce(n_partitions(n_rows))
 
 
 def _held_out_margins(weighted: DataFrame, held: DataFrame, fits: dict, n_grid: int, k: int, size: int) -> DataFrame:
@@ -217,8 +229,7 @@ def grid_search(weighted: DataFrame, labels: DataFrame, size: int, Cs: list[floa
     # at most a row for each class and fold
     cells = {(r.label, r.fold): r.n for r in folds.groupBy("label", "fold").agg(F.count(F.lit(1)).alias("n")).collect()}
     counts = [{c: sum(n for (x, g), n in cells.items() if x == c and g != f) for c in LABELS} for f in [*range(k), None]]
-    # a table, not a cache: each of the many small jobs of a fit carries its lineage
-    data = _as_vectors(size_partitions(training_frame(weighted, folds, size), sum(cells.values())))
+    data = training_table(weighted, folds, size, sum(cells.values()))
     jobs = [(gi, f, p) for gi in range(len(Cs)) for f in range(k) for p in range(len(PAIRS))]
 
     def run(job):
