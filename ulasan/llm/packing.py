@@ -29,11 +29,10 @@ NULL doc_id is packed and stays NULL; other columns are not read.
 from __future__ import annotations
 
 import heapq
+import json
 import zlib
-from array import array
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
-from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +40,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import utf8, whole_text
+from .pieces import PieceTokenizer
+
 WINDOW = 2048
 #: Windows of fewer tokens than this are padded rather than cut further.
 LEAST_TIER = 64
@@ -48,9 +50,7 @@ BLOCK_TOKENS = 1 << 21
 #: Tokens that one step takes.
 STEP_TOKENS = 64 * WINDOW
 END_ID = 1
-#: ASCII marks that can stand behind a word; not the apostrophe, which joins endings.
-MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and c != 39)
-#: Words kept with their ids in each worker (two generations of this size).
+#: Pieces kept with their ids in each worker.
 MEMO = 700_000
 
 SCHEMA = T.StructType([
@@ -60,76 +60,28 @@ SCHEMA = T.StructType([
 ])
 
 
-class WordTokenizer:
-    """Ids of a text by the library, word by word: this kind of vocabulary
-    drops white space and never joins across it, so each distinct word is
-    encoded once and kept."""
+#: Normalizer and split pattern of the vocabularies whose plain words are cut into pieces.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-    def __init__(self, spec: str):
-        import os
 
-        import regex
+class WordTokenizer(PieceTokenizer):
+    """Ids of a text by the library, piece by piece: this kind of vocabulary
+    drops white space and never joins across it. With another normalizer or
+    pattern than the known ones, whole words go to the library."""
+
+    def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"      # a task has one core
-        self.lib = Tokenizer.from_str(spec)
-        self.lib.no_truncation()
-        self.lib.no_padding()
-        self.words = regex.compile(r"\S+").findall
-        self.separators = regex.compile("[\x1c-\x1f]").search   # blanks to str.split alone
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    @staticmethod
-    def _parts(word: str) -> tuple[str, str]:
-        """The word's core, which many words share, and the ASCII marks behind
-        it: the vocabulary's pattern cuts between a letter or digit and a mark,
-        and lowers all letters."""
-        if "<|" in word:                                    # may be a special token
-            return word, ""
-        core = word.rstrip(MARKS)
-        if not core or not (core[-1].isalnum() and (core[-1].isascii() or normalize("NFC", core[-1].lower())[-1].isalnum())):
-            core = word
-        return core.lower() if core.isascii() else core, word[len(core):]
-
-    def _learn(self, missing: set[str]) -> None:
-        new = {w: self.old[w] for w in missing if w in self.old}
-        young, old = self.young, self.old
-        words = [w for w in missing if w not in new]
-        cores, tails = [], []
-        for w in words:
-            core, tail = self._parts(w)
-            cores.append(core)
-            tails.append(tail)
-        rest = []
-        for x in {*cores, *tails} - young.keys():
-            if x in old:
-                new[x] = old[x]
-            elif x not in new:
-                rest.append(x)
-        found = self.lib.encode_batch_fast(rest, add_special_tokens=False)
-        new.update(zip(rest, [array("I", x.ids).tobytes() for x in found]))
-        for w, core, tail in zip(words, cores, tails):
-            ids = new[core] if core in new else young[core]
-            new[w] = ids + (new[tail] if tail in new else young[tail]) if tail else ids
-        if len(self.young) + len(new) > MEMO:
-            self.old, self.young = self.young, new
-        else:
-            self.young.update(new)
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for k in range(0, len(texts), 64):
-            split = [self.words(t) if self.separators(t) else t.split() for t in texts[k:k + 64]]
-            known = self.young
-            got = [list(map(known.get, ws)) for ws in split]
-            missing = {w for ws, ids in zip(split, got) if None in ids for w, x in zip(ws, ids) if x is None}
-            if missing:
-                self._learn(missing)
-                learned = self.young
-                got = [ids if None not in ids else [learned[w] if x is None else x for w, x in zip(ws, ids)] for ws, ids in zip(split, got)]
-            out += [b"".join(ids) for ids in got]
-        return out
+        lib = Tokenizer.from_str(spec)
+        lib.no_truncation()
+        lib.no_padding()
+        said = json.loads(spec)
+        steps = (said.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        known = ((said.get("normalizer") or {}).get("normalizers") == NORMALIZERS and len(steps) == 2
+                 and (steps[0].get("pattern"), steps[0].get("behavior"), steps[0].get("invert")) == ({"Regex": PATTERN}, "Removed", True)
+                 and (steps[1].get("type"), steps[1].get("add_prefix_space"), steps[1].get("use_regex")) == ("ByteLevel", False, False))
+        super().__init__(lib, np.dtype("<u4"), MEMO, known, blanks=False, lower=True, single_digits=True)
 
 
 class _Shelf:
@@ -287,12 +239,12 @@ def pack_documents(df: DataFrame, vocab_path: str, window: int = WINDOW, least_t
         key = (vocab_path, len(spec.value))
         if key not in _WORKER:
             _WORKER[key] = WordTokenizer(spec.value)
-        encode, end = _WORKER[key].encode_all, np.array([END_ID], dtype="<u4").tobytes()
+        encode, end = _WORKER[key].encode, np.array([END_ID], dtype="<u4").tobytes()
         at = group0 = TaskContext.get().partitionId() << 33
         docs, ids, held = [], [], 0
         for batch in batches:
             docs += batch.column(0).to_pylist()
-            new = [x + end for x in encode([t or "" for t in batch.column(1).to_pylist()])]
+            new = [x + end for x in encode(*utf8(batch, "text"))]
             ids += new
             held += sum(map(len, new)) // 4
             if held >= block_tokens:
@@ -302,4 +254,4 @@ def pack_documents(df: DataFrame, vocab_path: str, window: int = WINDOW, least_t
         if docs:
             yield block(docs, ids, at, group0)[0]
 
-    return df.select(df["doc_id"].cast("long").alias("doc_id"), df["text"].cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return df.select(df["doc_id"].cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, SCHEMA)
