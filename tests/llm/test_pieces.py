@@ -7,10 +7,10 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from ulasan.llm import packing, pieces
+from ulasan.llm import packing, pieces, token_file
 from ulasan.llm.common import utf8
 
-WORD = public_tokenizers.path("word_bpe_49k.json")
+BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 SIGNS = list("abcXYZtsre  \n\n'.,!?<|>012é") + [
     " '", "'s", "'ll", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "É", "ß", "÷", "×", "Þ", "ÿ", "\t", "\r", "\x0b", "\x0c", "\x00",
     "\x1c", "\x1f", "\x7f", "\x85", "\xa0", " ", " ", " ", " ", "　", "​", "́", "中", "文", "😀", "ﬁ", "İ",
@@ -21,7 +21,7 @@ def batch(texts):
     return utf8(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"]), "text")
 
 
-@pytest.mark.parametrize("path,kind", [(WORD, packing.WordTokenizer)])
+@pytest.mark.parametrize("path,kind", [(BYTE, token_file.LibraryTokenizer), (WORD, packing.WordTokenizer)])
 @pytest.mark.parametrize("chunk,memo", [(1 << 20, 700_000), (200, 30)])
 def test_ids_equal_the_library(monkeypatch, path, kind, chunk, memo):
     monkeypatch.setattr(pieces, "CHUNK", chunk)
@@ -53,7 +53,7 @@ def test_other_patterns_go_to_the_library():
 def test_texts_of_plain_words_need_the_model_alone(monkeypatch):
     """Before, each new word went through the library's normalizer, pattern and model."""
     texts = ["Plain words, of letters and 1234 signs. Étude für él."] * 3
-    for path, kind in ((WORD, packing.WordTokenizer),):
+    for path, kind in ((BYTE, token_file.LibraryTokenizer), (WORD, packing.WordTokenizer)):
         with open(path, encoding="utf-8") as f:
             mine = kind(f.read())
         sent = []

@@ -29,14 +29,13 @@ text become their ids, as the library does. Other columns are not read.
 """
 from __future__ import annotations
 
-import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -45,15 +44,13 @@ from pyspark.sql import types as T
 
 from ..session import materialize
 from .common import shuffle_partitions, utf8, whole_text
+from .pieces import PieceTokenizer
 
 BLOCK_IDS = 1 << 20
-#: Words kept with their ids in each worker (two generations of this size).
+#: Pieces kept with their ids in each worker.
 MEMO = 1_000_000
-#: ASCII marks that can stand behind a word; not the apostrophe, which joins endings.
-MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and c != 39)
-
-#: Stands between words; texts that hold it are not cut.
-MARK = "\x01"
+#: White space of three UTF-8 bytes.
+WIDE_BLANK = re.compile(rb"\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80").finditer
 
 #: Lengths of the four numbers of every control byte.
 LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.uint8)
@@ -87,113 +84,66 @@ def unpack_numbers(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-class LibraryTokenizer:
-    """Ids of whole texts by the library, each distinct word encoded once and
+class LibraryTokenizer(PieceTokenizer):
+    """Ids of whole texts by the library, each distinct piece encoded once and
     kept. Byte-level patterns begin a piece at a space before a visible
-    character and between a letter or digit and an ASCII mark, so a word and the
-    mark behind it can be encoded one by one; texts that hold a special
-    token's string, and tokenizers with another splitting, go to the library as
-    they are."""
+    character and between letters, digits and ASCII marks. Texts with white
+    space beyond ASCII are cut at their words by the pattern ``words``; texts
+    that hold a special token's string, and tokenizers with another splitting,
+    go to the library as they are."""
 
     def __init__(self, spec: str):
         import json
 
         from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"      # a task has one core
-        self.lib = Tokenizer.from_str(spec)
-        self.lib.no_truncation()
-        self.lib.no_padding()
+        lib = Tokenizer.from_str(spec)
+        lib.no_truncation()
+        lib.no_padding()
         said = json.loads(spec)
         pre = said.get("pre_tokenizer") or {}
         self.by_word = (said.get("normalizer") is None and pre.get("type") == "ByteLevel"
                         and not pre.get("add_prefix_space") and pre.get("use_regex", True))
-        self.special = [t["content"] for t in said.get("added_tokens", [])]
+        self.special = [t["content"].encode() for t in said.get("added_tokens", [])]
         self.words = regex.compile(r" ?\S+|\s+(?!\S)|\s+").findall
-        self.dtype = id_type(self.lib.get_vocab_size())
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array(self.dtype.char, x.ids).tobytes() for x in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
-        """ASCII letters, with a space before them or not, are one piece of the
-        pattern and stand for themselves in the vocabulary, the space as U+0120;
-        they need the library's model alone."""
-        out, rest, code, tokens = {}, [], self.dtype.char, self.lib.model.tokenize
-        for w in words:
-            letters = w[1:] if w[:1] == " " else w
-            if letters.isalpha() and letters.isascii():
-                out[w] = array(code, [x.id for x in tokens(letters if letters is w else "\u0120" + letters)]).tobytes()
-            else:
-                rest.append(w)
-        out.update(zip(rest, self._encode(rest)))
+        super().__init__(lib, id_type(lib.get_vocab_size()), MEMO, True, blanks=True, lower=False, single_digits=False)
+
+    def _apart(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which texts hold a special token, and which white space beyond ASCII."""
+        special, wide = np.zeros((2, len(offsets) - 1), dtype=bool)
+        if not self.by_word:
+            special[:] = True
+            return special, wide
+        data = raw.tobytes()
+        found = [m.start() for token in self.special for m in re.finditer(re.escape(token), data)]
+        special[np.searchsorted(offsets, found, "right") - 1] = True
+        at = [np.array([m.start() for m in WIDE_BLANK(data)], dtype=np.int64)] if (raw >= 0xE1).any() else []
+        two = np.flatnonzero(raw[:-1] == 0xC2)
+        at.append(two[(raw[two + 1] == 0x85) | (raw[two + 1] == 0xA0)])
+        wide[np.searchsorted(offsets, np.concatenate(at), "right") - 1] = True
+        return special, wide & ~special
+
+    def encode(self, raw: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """Ids of each text (see ``utf8``), as little-endian integers of ``dtype``."""
+        special, wide = self._apart(raw, offsets)
+        apart = special | wide
+        if not apart.any():
+            return super().encode(raw, offsets)
+        size = np.diff(offsets)
+        plain = super().encode(raw[np.repeat(~apart, size)], np.concatenate([[0], np.cumsum(size[~apart])]))
+        text = lambda i: raw[offsets[i]:offsets[i + 1]].tobytes().decode()
+        out: list[bytes] = [b""] * len(size)
+        for i, ids in zip(np.flatnonzero(~apart).tolist(), plain):
+            out[i] = ids
+        whole = np.flatnonzero(special).tolist()
+        for i, ids in zip(whole, self.by_library([text(i) for i in whole])):
+            out[i] = array(self.dtype.char, ids).tobytes()
+        for i in np.flatnonzero(wide).tolist():
+            out[i] = self.gather(pa.array(self.words(text(i)), pa.large_string()))[0].tobytes()
         return out
 
-    def _marked(self, text: str) -> str:
-        """The text with a mark between words (the space before a word is part
-        of it) and white space that stands apart."""
-        words, gaps = text.split(), text.count(" ") + text.count("\n")
-        if len(words) != gaps + 1 or sum(map(len, words)) + gaps != len(text):      # white space of other kinds, or in a row
-            return MARK.join(self.words(text))
-        return text.replace(" ", MARK + " ").replace("\n", MARK + "\n" + MARK)
-
-    def _learn(self, missing: set[str]) -> None:
-        young, old = self.young, self.old
-        new, plain, cut = {}, [], []
-        for w in missing:
-            if w in old:
-                new[w] = old[w]
-            elif w and w[-1] in MARKS and w[-2:-1].isalnum() and w.isascii():
-                cut.append(w)
-            else:
-                plain.append(w)
-        cores = [w[:-1] for w in cut]
-        for x in {*cores, *(w[-1] for w in cut)}.difference(young, new, plain):
-            if x in old:
-                new[x] = old[x]
-            else:
-                plain.append(x)
-        new.update(self._encode_words(plain))
-        for w, core in zip(cut, cores):
-            tail = w[-1]
-            new[w] = (new[core] if core in new else young[core]) + (new[tail] if tail in new else young[tail])
-        if len(young) + len(new) > MEMO:
-            self.old, self.young = young, new
-        else:
-            young.update(new)
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        missing = set(words).difference(self.young)
-        kept = self.young
-        if missing:
-            self._learn(missing)
-            if self.young is not kept:                      # the earlier words have moved on
-                kept = {**self.old, **self.young}
-        return [kept[w] for w in words]
-
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, as little-endian integers of ``dtype``. Each distinct
-        word is looked up once; the texts' ids are gathered from them at once."""
-        out: list[bytes] = [b""] * len(texts)
-        whole = [i for i, t in enumerate(texts) if not self.by_word or MARK in t or any(s in t for s in self.special)]
-        for i, ids in zip(whole, self._encode([texts[i] for i in whole])):
-            out[i] = ids
-        rest = sorted(set(range(len(texts))).difference(whole))
-        words = pc.split_pattern(pa.array([self._marked(texts[i]) for i in rest], pa.large_string()), MARK)
-        found = words.flatten().dictionary_encode()
-        known = self._words(found.dictionary.to_numpy(zero_copy_only=False).tolist())
-        size = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // self.dtype.itemsize
-        start = np.cumsum(size) - size
-        at = found.indices.to_numpy()
-        ends = np.cumsum(size[at])
-        place = np.repeat(start[at] - ends + size[at], size[at]) + np.arange(ends[-1] if len(ends) else 0)
-        raw = np.frombuffer(b"".join(known), dtype=self.dtype)[place].tobytes()
-        border = (np.concatenate([[0], ends])[words.offsets.to_numpy()] * self.dtype.itemsize).tolist()
-        for i, a, b in zip(rest, border, border[1:]):
-            out[i] = raw[a:b]
-        return out
+        return self.encode(*utf8(pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["text"]), "text"))
 
 
 def id_type(vocabulary: int) -> np.dtype:
@@ -215,7 +165,10 @@ def encode_documents(df: DataFrame, tokenizer: str, dtype: np.dtype, end_id: int
         if key not in _WORKER:
             _WORKER[key] = LibraryTokenizer(spec.value)
         for batch in batches:
-            ids = [np.frombuffer(x, _WORKER[key].dtype).astype(dtype).tobytes() + end for x in _WORKER[key].encode_all(batch.column(1).to_pylist())]
+            ids = _WORKER[key].encode(*utf8(batch, "text"))
+            if _WORKER[key].dtype != dtype:
+                ids = [np.frombuffer(x, _WORKER[key].dtype).astype(dtype).tobytes() for x in ids]
+            ids = [x + end for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, "doc_id long, ids binary")
