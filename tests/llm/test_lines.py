@@ -104,3 +104,27 @@ def test_bands_find_pairs_at_the_threshold():
         other = line[:i] + "#%&@?" + line[i + 5:]           # 9 of 91 shingles: 0.82
         found += bool((ld.signatures([line])[0] == ld.signatures([other])[0]).any())
     assert found >= 295
+
+
+def test_pairs_of_many_buckets_are_compared_at_once():
+    """Exactly as by sets, also in larger buckets and where alphabets are wide."""
+    rng = random.Random(6)
+    wide = [chr(c) for c in range(0x4e00, 0x4e00 + 6000)]
+    for _ in range(150):
+        lines = ["".join(rng.choice(a) for _ in range(rng.randint(rng.choice([1, 5]), 60)))
+                 for a in (rng.choice(["abc", "ab\0😀é", wide, wide[:700]]) for _ in range(rng.randint(1, 40)))]
+        lines += [x[:-1] + "z" for x in lines] + [x + "q" for x in lines]
+        buckets = []
+        for _ in range(12):
+            nodes = rng.sample(range(len(lines)), min(len(lines), rng.randint(1, 25)))
+            buckets.append((nodes, [lines[i] for i in nodes], rng.choice([None, [rng.random() < 0.5 for _ in nodes]])))
+        assert sorted(ld.buckets_links(buckets)) == sorted(x for b in buckets for x in ld.bucket_links(*b))
+    assert ld.buckets_links([]) == []
+
+
+def test_lines_without_white_space_to_collapse_are_left_alone():
+    rng = random.Random(2)
+    signs = ["a", "B", " ", "\n", "\t", " ", "\x1c", "\x85", "Σ", "σ", ".", "İ", " ", "　", "​", "́", "é", "\r", "\x0b"]
+    for _ in range(20000):
+        text = "".join(rng.choice(signs[:rng.choice([4, 4, 8, 19])]) for _ in range(rng.randint(0, 12)))
+        assert ld.normalized(text) == [" ".join(x.lower().split()) for x in text.split("\n")]

@@ -13,9 +13,9 @@ unrelated lines of one language share a band as the corpus grows.
    task; at similarity 0.8 a pair shares a band with probability 0.996, at 0.9
    with more than 0.9999. Only hashes are shuffled.
 3. Verification: only lines that share a band with another one get their text
-   again. Inside a bucket, lines of different components are compared exactly;
-   lines that are already connected need no comparison, so a bucket returns at
-   most one link a line. Buckets above ``CHUNK`` lines are split into chunks,
+   again. Inside a bucket, lines are compared exactly: shingles as numbers, many
+   small buckets in one sort, a larger one by a matrix product. A bucket returns
+   at most one link a line. Buckets above ``CHUNK`` lines are split into chunks,
    and every pair of chunks is compared in a task of its own: no comparison is
    dropped and no task holds more than two chunks.
 4. Union-find over the links (``components``), and the first line of every
@@ -50,13 +50,24 @@ CHUNK = 1024
 BROADCAST_KEYS = 500_000
 #: Lines a task remembers to skip repeated ones.
 SEEN = 300_000
-#: Code points of a block of lines whose signatures are made together.
-BLOCK = 1 << 18
+#: Code points of a block of lines whose signatures are made together, and of one whose pairs are compared together.
+BLOCK, PAIR_BLOCK = 1 << 16, 1 << 15
+#: White space besides spaces and line feeds.
+BLANKS = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+#: Lines of a bucket up to which all its pairs are compared with those of other buckets in one sort.
+SMALL = 8
+#: Shingles in a part of the matrix that counts the common ones of a larger bucket.
+COLUMNS = 2048
 LAST = (1 << 63) - 1
 
 
 def normalized(text: str) -> list[str]:
-    return [" ".join(line.lower().split()) for line in text.split("\n")]
+    text = text.lower()
+    lines = text.split("\n")
+    blank = np.frombuffer(f"\n{text}\n".encode("utf-8", "surrogatepass"), dtype=np.uint8) <= 32
+    if (blank[1:] & blank[:-1]).any() or any(x in text for x in BLANKS):
+        return [" ".join(line.split()) for line in lines]
+    return lines                                            # no white space to collapse
 
 
 def shingles(line: str) -> frozenset:
@@ -70,10 +81,10 @@ def jaccard(a: frozenset, b: frozenset) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def _hash2(line: bytes) -> tuple[int, int]:
-    from xxhash import xxh3_128_intdigest
-    h = xxh3_128_intdigest(line)
-    return (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)
+def _hashes(digests: list[bytes]) -> np.ndarray:
+    """The two halves of each 128-bit digest, as columns of signed numbers."""
+    halves = np.frombuffer(b"".join(digests), dtype=">u8").astype(np.uint64).reshape(-1, 2) ^ np.uint64(1 << 63)
+    return np.ascontiguousarray(halves.view(np.int64).T)
 
 
 def signatures(lines: list[str], seed: int = 11) -> np.ndarray:
@@ -116,38 +127,42 @@ def _signatures(lines: list[str], mult: np.ndarray, plus: np.ndarray) -> np.ndar
     return bands ^ (np.arange(BANDS, dtype=np.uint64) << np.uint64(58))
 
 
-def _distinct(seen: set, texts: list[str]) -> list[tuple[int, int, str]]:
-    """Lines that the task has not met (it forgets at ``SEEN``, which only
-    repeats work)."""
-    out = []
+def _distinct(seen: set, texts: list[str]) -> tuple[np.ndarray, list[str]]:
+    """Hashes and texts of lines that the task has not met (it forgets at
+    ``SEEN``, which only repeats work)."""
+    from xxhash import xxh3_128_digest
+
+    keys, out = [], []
     for t in texts:
         for line in normalized(t):
             if line:
-                key = _hash2(line.encode("utf-8", "surrogatepass"))
+                key = xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
                 if key not in seen:
                     seen.add(key)
-                    out.append((*key, line))
+                    keys.append(key)
+                    out.append(line)
         if len(seen) > SEEN:
             seen.clear()
-    return out
+    return _hashes(keys), out
 
 
 def occurrences(keyed: DataFrame) -> DataFrame:
     """``(o, th, line_no, k1, k2)`` of every line that is not blank."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
         for batch in batches:
-            row, no, k1, k2 = [], [], [], []
-            for r, t in enumerate(batch.column(2).to_pylist()):
-                for i, line in enumerate(normalized(t)):
-                    if line:
-                        a, b = _hash2(line.encode("utf-8", "surrogatepass"))
-                        row.append(r)
-                        no.append(i)
-                        k1.append(a)
-                        k2.append(b)
-            take = pa.array(row, pa.int32())
+            count, no, keys = [], [], []
+            for t in batch.column(2).to_pylist():
+                lines = normalized(t)
+                at = [i for i, line in enumerate(lines) if line]
+                count.append(len(at))
+                no += at
+                keys += [xxh3_128_digest(lines[i].encode("utf-8", "surrogatepass")) for i in at]
+            take = pa.array(np.repeat(np.arange(len(count), dtype=np.int32), count))
+            k1, k2 = _hashes(keys)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(no, pa.int32()),
-                                              pa.array(k1, pa.int64()), pa.array(k2, pa.int64())], names=["o", "th", "line_no", "k1", "k2"])
+                                              pa.array(k1), pa.array(k2)], names=["o", "th", "line_no", "k1", "k2"])
 
     return keyed.mapInArrow(run, "o long, th long, line_no int, k1 long, k2 long")
 
@@ -156,11 +171,9 @@ def _bands(keyed: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         for batch in batches:
-            new = _distinct(seen, batch.column(2).to_pylist())
-            if new:
-                bands = signatures([x[2] for x in new]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(bands.ravel()), pa.array(np.repeat(np.array([x[0] for x in new], dtype=np.int64), BANDS))],
-                                                 names=["band", "k1"])
+            (k1, _), lines = _distinct(seen, batch.column(2).to_pylist())
+            if lines:
+                yield pa.RecordBatch.from_arrays([pa.array(signatures(lines).view(np.int64).ravel()), pa.array(np.repeat(k1, BANDS))], names=["band", "k1"])
 
     return keyed.mapInArrow(run, "band long, k1 long")
 
@@ -169,18 +182,108 @@ def _lines(keyed: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         for batch in batches:
-            new = _distinct(seen, batch.column(2).to_pylist())
-            if new:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in new], pa.int64()), pa.array([x[1] for x in new], pa.int64()),
-                                                  pa.array([x[2] for x in new], pa.string())], names=["k1", "k2", "line"])
+            (k1, k2), lines = _distinct(seen, batch.column(2).to_pylist())
+            if lines:
+                yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(lines, pa.string())], names=["k1", "k2", "line"])
 
     return keyed.mapInArrow(run, "k1 long, k2 long, line string")
 
 
-def bucket_links(nodes: list[int], lines: list[str], right: list[bool] | None = None) -> list[tuple[int, int]]:
+def _codes(lines: list[str]) -> tuple[np.ndarray, int]:
+    """The shingles of ``lines`` (none shorter than a shingle), one behind the
+    other, as numbers of so many bits: characters are numbered, so equal numbers
+    are equal shingles. With an alphabet too wide for 64 bits, no numbers."""
+    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    known = np.zeros(int(points.max()) + 1, dtype=bool)
+    known[points] = True
+    number = np.cumsum(known, dtype=np.uint64) - np.uint64(1)
+    width = int(number[-1]).bit_length()
+    if SHINGLE * width > 64:
+        return np.zeros(0, dtype=np.uint64), SHINGLE * width
+    rank = number[points]
+    n = len(rank) - SHINGLE + 1
+    code = rank[:n].copy()
+    for j in range(1, SHINGLE):
+        code <<= np.uint64(width)
+        code |= rank[j:j + n]
+    inside = np.ones(n, dtype=bool)                         # shingles that stay in their line
+    borders = np.cumsum([len(x) for x in lines])[:-1]
+    for j in range(1, SHINGLE):
+        inside[borders - j] = False
+    return code[inside], SHINGLE * width
+
+
+def _sorted_set(key: np.ndarray) -> np.ndarray:
+    key.sort()
+    return key[np.concatenate([[True], key[1:] != key[:-1]])]
+
+
+def _near(common: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """``jaccard`` >= ``NEAR`` for sets of ``count`` shingles, of which ``common`` are shared."""
+    a, b = count[..., :, None], count[..., None, :]
+    return (np.minimum(a, b) >= NEAR * np.maximum(a, b)) & (common / np.maximum(a + b - common, 1) >= NEAR)
+
+
+def near_small(buckets: list[list[str]]) -> list[list[tuple[int, int]] | None]:
+    """For each bucket of up to ``SMALL`` lines, the near pairs ``(j, i)`` of a
+    line i and a later line j; None where lines must be compared as sets. One
+    sort by bucket, shingle and line brings equal shingles together."""
+    code, bits = _codes([x for lines in buckets for x in lines])
+    low = (SMALL - 1).bit_length()
+    if bits + low + len(buckets).bit_length() > 64:
+        if len(buckets) == 1:
+            return [None]
+        half = len(buckets) // 2
+        return near_small(buckets[:half]) + near_small(buckets[half:])
+    head = [b << bits + low | i for b, lines in enumerate(buckets) for i in range(len(lines))]
+    size = [len(x) - SHINGLE + 1 for lines in buckets for x in lines]
+    key = _sorted_set(code << np.uint64(low) | np.repeat(np.array(head, dtype=np.uint64), size))
+    line, bucket = (key & np.uint64((1 << low) - 1)).astype(np.int64), (key >> np.uint64(bits + low)).astype(np.int64)
+    count = np.bincount(bucket * SMALL + line, minlength=len(buckets) * SMALL).reshape(-1, SMALL)
+    common = np.zeros(len(buckets) * SMALL * SMALL, dtype=np.int64)
+    shingle = key >> np.uint64(low)
+    at = np.arange(len(key))
+    for d in range(1, SMALL):
+        at = at[:np.searchsorted(at, len(key) - d)]
+        at = at[shingle[at] == shingle[at + d]]
+        common += np.bincount((bucket[at] * SMALL + line[at + d]) * SMALL + line[at], minlength=len(common))
+    out: list = [[] for _ in buckets]
+    for b, j, i in zip(*[x.tolist() for x in np.nonzero(_near(common.reshape(-1, SMALL, SMALL), count))]):
+        if i < j:
+            out[b].append((j, i))
+    return out
+
+
+def near_large(lines: list[str]) -> list[tuple[int, int]] | None:
+    """The same for one bucket of many lines: a matrix of lines and the shingles
+    that at least two of them have, some columns at a time, times its transpose."""
+    code, bits = _codes(lines)
+    low = len(lines).bit_length()
+    if bits + low > 64:
+        return None
+    key = _sorted_set(code << np.uint64(low) | np.repeat(np.arange(len(lines), dtype=np.uint64), [len(x) - SHINGLE + 1 for x in lines]))
+    line, shingle = (key & np.uint64((1 << low) - 1)).astype(np.int64), key >> np.uint64(low)
+    count = np.bincount(line, minlength=len(lines))
+    column = np.concatenate([[0], np.cumsum(shingle[1:] != shingle[:-1])])
+    shared = np.bincount(column)[column] > 1
+    line, column = line[shared], column[shared]
+    column = np.cumsum(np.diff(column, prepend=column[:1]) > 0)
+    common = np.zeros((len(lines), len(lines)), dtype=np.float32)    # whole numbers, exact below 2 ** 24
+    for k in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+        part = slice(*np.searchsorted(column, [k, k + COLUMNS]))
+        has = np.zeros((len(lines), min(COLUMNS, int(column[-1]) + 1 - k)), dtype=np.float32)
+        has[line[part], column[part] - k] = 1
+        common += has @ has.T
+    return list(zip(*[x.tolist() for x in np.nonzero(np.tril(_near(common.astype(np.int64), count), -1))]))
+
+
+def bucket_links(nodes: list[int], lines: list[str], right: list[bool] | None = None,
+                 near: list[tuple[int, int]] | None = None) -> list[tuple[int, int]]:
     """Links that connect the components of the similarity graph. With
-    ``right``, only pairs of a left and a right line need comparing."""
-    sets = [shingles(x) for x in lines]
+    ``right``, only pairs of a left and a right line need comparing. ``near``
+    holds the near pairs; without it the lines' sets are compared here."""
+    if near is None:
+        sets = [shingles(x) for x in lines]
     root = list(range(len(nodes)))
 
     def find(i: int) -> int:
@@ -190,44 +293,64 @@ def bucket_links(nodes: list[int], lines: list[str], right: list[bool] | None =
         return i
 
     out = []
-    for i in range(len(nodes)):
-        for j in range(i):
-            if right is not None and right[i] == right[j]:
-                continue
-            a, b = find(i), find(j)
-            if a != b and jaccard(sets[i], sets[j]) >= NEAR:
-                root[max(a, b)] = min(a, b)
-                out.append((nodes[i], nodes[j]))
+    for i, j in ((i, j) for i in range(len(nodes)) for j in range(i)) if near is None else near:
+        if right is not None and right[i] == right[j]:
+            continue
+        a, b = find(i), find(j)
+        if a != b and (near is not None or jaccard(sets[i], sets[j]) >= NEAR):
+            root[max(a, b)] = min(a, b)
+            out.append((nodes[i], nodes[j]))
+    return out
+
+
+def buckets_links(buckets: list[tuple[list[int], list[str], list[bool] | None]]) -> list[tuple[int, int]]:
+    """``bucket_links`` of several ``(nodes, lines, right)``; those of up to
+    ``SMALL`` lines are compared together."""
+    out, small = [], []
+    for nodes, lines, right in buckets:
+        if len(nodes) < 2:
+            continue
+        if min(map(len, lines)) < SHINGLE:                  # a line that is one short shingle
+            out += bucket_links(nodes, lines, right)
+        elif len(nodes) > SMALL:
+            out += bucket_links(nodes, lines, right, near_large(lines))
+        else:
+            small.append((nodes, lines, right))
+    if small:
+        for (nodes, lines, right), near in zip(small, near_small([x[1] for x in small])):
+            out += bucket_links(nodes, lines, right, near)
     return out
 
 
 def _verify(buckets: DataFrame) -> DataFrame:
     """Links within each ``bucket`` of ``(bucket, two, right, node, line)``; the
-    rows of a bucket stand together in a partition and are read one bucket at a
-    time. ``two``: only left and right lines need comparing."""
+    rows of a bucket stand together in a partition and buckets are read one by
+    one, some ``PAIR_BLOCK`` code points at a time. ``two``: only left and right
+    lines need comparing."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+        key, nodes, lines, sides = None, [], [], []
+        held, points = [], 0
 
-        def done() -> list[tuple[int, int]]:
-            if len(held) < 2:
-                return []
-            return bucket_links([h[1] for h in held], [h[2] for h in held], [h[0] for h in held] if key[1] else None)
-
-        def rows(links: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        def rows() -> Iterator[pa.RecordBatch]:
+            links = buckets_links(held)
+            held.clear()
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            links = []
             for bucket, two, right, node, line in zip(*[col.to_pylist() for col in batch.columns]):
                 if (bucket, two) != key:
-                    links += done()
-                    key, held = (bucket, two), []
-                held.append((right, node, line))
-            if links:
-                yield rows(links)
-        links = done()
-        if links:
-            yield rows(links)
+                    held.append((nodes, lines, sides if key and key[1] else None))
+                    if points > PAIR_BLOCK:
+                        yield from rows()
+                        points = 0
+                    key, nodes, lines, sides = (bucket, two), [], [], []
+                nodes.append(node)
+                lines.append(line)
+                sides.append(right)
+                points += len(line)
+        held.append((nodes, lines, sides if key and key[1] else None))
+        yield from rows()
 
     together = buckets.repartition(shuffle_partitions(buckets.sparkSession), "bucket", "two").sortWithinPartitions("bucket", "two", "node")
     return together.select("bucket", "two", "right", "node", "line").mapInArrow(run, "a long, b long")
