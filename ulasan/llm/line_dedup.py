@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,8 +46,10 @@ NEAR = 0.8
 SHINGLE = 5
 ROWS, BANDS = 6, 18
 CHUNK = 1024
-#: Distinct lines with a shared band up to which their hashes are broadcast (16 bytes each).
+#: Distinct lines with a shared band up to which their hashes are broadcast (8 bytes each).
 BROADCAST_KEYS = 500_000
+#: Pairs of a band hash and a line (16 bytes each) that a task gathers before it deals them by slot, and those meant for a slot.
+PAIRS, SLOT = 1 << 18, 1 << 19
 #: Lines a task remembers to skip repeated ones.
 SEEN = 300_000
 #: Code points of a block of lines whose signatures are made together, and of one whose pairs are compared together.
@@ -167,22 +169,105 @@ def occurrences(keyed: DataFrame) -> DataFrame:
     return keyed.mapInArrow(run, "o long, th long, line_no int, k1 long, k2 long")
 
 
-def _bands(keyed: DataFrame) -> DataFrame:
+def _bands(keyed: DataFrame, slots: int) -> DataFrame:
+    """``(slot, pairs)``: the band hashes of a task's lines and the first halves
+    of the lines' hashes, dealt by the hashes' first bits; one row a slot for
+    some ``PAIRS`` of them."""
+    shift = np.uint64(65 - slots.bit_length())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
+        held: list = []
+
+        def rows() -> pa.RecordBatch:
+            band, k1 = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+            held.clear()
+            slot = (band >> shift).astype(np.uint16)
+            order = np.argsort(slot, kind="stable")
+            slot, pairs = slot[order], np.stack([band.view(np.int64)[order], k1[order]], axis=1)
+            cuts = np.flatnonzero(np.diff(slot)) + 1
+            return pa.RecordBatch.from_arrays([pa.array(slot[[0, *cuts]], pa.int32()), pa.array([x.tobytes() for x in np.split(pairs, cuts)], pa.binary())],
+                                              names=["slot", "pairs"])
+
         for batch in batches:
             (k1, _), lines = _distinct(seen, batch.column(2).to_pylist())
             if lines:
-                yield pa.RecordBatch.from_arrays([pa.array(signatures(lines).view(np.int64).ravel()), pa.array(np.repeat(k1, BANDS))], names=["band", "k1"])
+                held.append((signatures(lines).ravel(), np.repeat(k1, BANDS)))
+            if sum(len(x) for x, _ in held) > PAIRS:
+                yield rows()
+        if held:
+            yield rows()
+
+    return keyed.mapInArrow(run, "slot int, pairs binary")
+
+
+def shared_bands(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The band hashes that different lines of ``pairs`` (band, k1) have, where
+    the lines of each begin, and the lines, sorted within a band."""
+    band, k1 = pairs.T
+    order = np.argsort(band)
+    band = band[order]
+    same = np.concatenate([[False], band[1:] == band[:-1], [False]])
+    several = same[1:] | same[:-1]
+    band, k1 = band[several], k1[order[several]]
+    order = np.lexsort((k1, band))
+    band, k1 = band[order], k1[order]
+    new = np.concatenate([[True], (band[1:] != band[:-1]) | (k1[1:] != k1[:-1])])[:len(band)]
+    band, k1 = band[new], k1[new]
+    starts = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]])[:len(band)])
+    size = np.diff(np.append(starts, len(band)))
+    keep = np.repeat(size > 1, size)
+    size = size[size > 1]
+    starts = np.cumsum(size) - size
+    return band[keep][starts], starts, k1[keep]
+
+
+def _buckets(keyed: DataFrame, slots: int) -> DataFrame:
+    """``(band, n, c, lines)``: the lines that share a band hash, by ``k1``; more
+    than ``CHUNK`` of them in ``n`` chunks, ``c`` from 0. A task holds the pairs
+    of one slot."""
+    chunk = CHUNK
+
+    def found(parts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        band, starts, k1 = shared_bands(np.frombuffer(b"".join(parts), dtype=np.int64).reshape(-1, 2))
+        size = np.diff(np.append(starts, len(k1)))
+        n = -(-size // chunk)
+        c = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        offsets = np.append(np.repeat(starts, n) + c * chunk, len(k1)).astype(np.int32)
+        rows = pa.RecordBatch.from_arrays([pa.array(np.repeat(band, n)), pa.array(np.repeat(n, n), pa.int32()), pa.array(c, pa.int32()),
+                                           pa.ListArray.from_arrays(pa.array(offsets), pa.array(k1))], names=["band", "n", "c", "lines"])
+        if len(rows):
+            yield rows
 
-    return keyed.mapInArrow(run, "band long, k1 long")
-
-
-def _lines(keyed: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts = None, []
+        for batch in batches:
+            for slot, pairs in zip(*[col.to_pylist() for col in batch.columns]):
+                if slot != at:
+                    if parts:
+                        yield from found(parts)
+                    at, parts = slot, []
+                parts.append(pairs)
+        if parts:
+            yield from found(parts)
+
+    dealt = _bands(keyed, slots).repartition(shuffle_partitions(keyed.sparkSession), "slot").sortWithinPartitions("slot")
+    return dealt.mapInArrow(run, "band long, n int, c int, lines array<long>")
+
+
+def _lines(keyed: DataFrame, only=None) -> DataFrame:
+    """``(k1, k2, line)`` of a task's lines; with ``only`` (a broadcast sorted
+    array) of those whose ``k1`` it holds."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         for batch in batches:
             (k1, k2), lines = _distinct(seen, batch.column(2).to_pylist())
+            if only is not None:
+                known = only.value
+                at = np.searchsorted(known, k1)
+                at[at == len(known)] = 0
+                has = np.flatnonzero(known[at] == k1) if len(known) else at[:0]
+                k1, k2, lines = k1[has], k2[has], [lines[i] for i in has.tolist()]
             if lines:
                 yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(lines, pa.string())], names=["k1", "k2", "line"])
 
@@ -356,28 +441,30 @@ def _verify(buckets: DataFrame) -> DataFrame:
     return together.select("bucket", "two", "right", "node", "line").mapInArrow(run, "a long, b long")
 
 
-def near_lines(keyed: DataFrame) -> DataFrame:
-    """``(k1, k2, root)`` of every line that has a near-equal other line."""
-    w = Window.partitionBy("band")
-    shared = (_bands(keyed).withColumn("lo", F.min("k1").over(w)).withColumn("hi", F.max("k1").over(w))
-              .where("lo < hi").select("band", "k1").distinct())
-    members = materialize(shared, "lines-band")
-    keys = members.select("k1").distinct()
-    few = keys.count() <= BROADCAST_KEYS
-    found = _lines(keyed).join(F.broadcast(keys) if few else keys, "k1").dropDuplicates(["k1", "k2"])
-    lines = materialize(found.withColumn("node", F.monotonically_increasing_id()), "lines-text")
-    buckets = members.join(lines.select("k1", "node"), "k1").select("band", "node")
-    chunks = buckets.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("n"))
-    c, n, other = F.col("c"), F.col("n"), F.col("x")
-    dealt = (buckets.join(chunks, "band").withColumn("c", F.pmod(F.xxhash64("node"), n).cast("int"))
-             .withColumn("x", F.explode(F.sequence(F.lit(0), n - 1)))
-             .select("band", F.least(c, other).alias("ci"), F.greatest(c, other).alias("cj"), "c", "node"))
+def near_lines(keyed: DataFrame, n_lines: int) -> DataFrame:
+    """``(k1, k2, root)`` of every line that has a near-equal other line.
+    ``n_lines`` is the number of lines of ``keyed``."""
+    spark = keyed.sparkSession
+    slots = 1 << max(6, shuffle_partitions(spark).bit_length(), (n_lines * BANDS // SLOT).bit_length())
+    buckets = materialize(_buckets(keyed, min(slots, 1 << 16)), "lines-band")
+    keys = materialize(buckets.select(F.explode("lines").alias("k1")).distinct(), "lines-keys")
+    if keys.count() <= BROADCAST_KEYS:
+        found = _lines(keyed, spark.sparkContext.broadcast(np.sort(keys.toArrow().column(0).to_numpy())))
+    else:
+        found = _lines(keyed).join(keys, "k1")
+    lines = materialize(found.dropDuplicates(["k1", "k2"]).withColumn("node", F.monotonically_increasing_id()), "lines-text")
+    c, other = F.col("c"), F.col("x")
+    # every two chunks of a large bucket, and each chunk with itself, are a set of their own
+    large = (buckets.where("n > 1").repartition("band", "c").withColumn("x", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+             .groupBy("band", F.least(c, other).alias("ci"), F.greatest(c, other).alias("cj"))
+             .agg(F.sort_array(F.collect_list(F.struct("c", "lines"))).alias("both"))
+             .select(F.col("both")[0]["lines"].alias("one"), F.when(F.size("both") > 1, F.element_at("both", 2)["lines"]).alias("two")))
     # many bands give the same bucket: each set of lines (two chunks at most) is compared once
-    sets = (dealt.groupBy("band", "ci", "cj")
-            .agg(F.sort_array(F.collect_list(F.struct("node", (F.col("c") == F.col("cj")).alias("right")))).alias("members"))
-            .where(F.size("members") > 1).select("members", (F.col("ci") < F.col("cj")).alias("two")).dropDuplicates(["members", "two"]))
-    rows = sets.select(F.xxhash64("members").alias("bucket"), "two", F.explode("members").alias("m")).select("bucket", "two", "m.node", "m.right")
-    roots = components(_verify(rows.join(lines.select("node", "line"), "node")))
+    sets = buckets.where("n = 1").select(F.col("lines").alias("one"), F.lit(None).cast("array<long>").alias("two")).unionByName(large).distinct()
+    rows = sets.select(F.xxhash64("one", "two").alias("bucket"), F.col("two").isNotNull().alias("two"), F.size("one").alias("left"),
+                       F.posexplode(F.concat("one", F.coalesce("two", F.array().cast("array<long>")))).alias("at", "k1"))
+    members = rows.join(lines.select("k1", "node", "line"), "k1").withColumn("right", F.col("at") >= F.col("left"))
+    roots = components(_verify(members))
     return materialize(lines.join(roots, "node").select("k1", "k2", "root"), "lines-near")
 
 
@@ -386,12 +473,11 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     keyed = _keyed(docs)
     places = materialize(occurrences(keyed), "lines")
     place = F.struct("o", "th", "line_no")
+    near = near_lines(keyed, places.count())
     first = places.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
-    near = near_lines(keyed)
-    one = near.join(first, ["k1", "k2"]).groupBy("root").agg(F.min("first").alias("root_first"))
-    near_first = near.join(one, "root").select("k1", "k2", "root_first")
-    keep = (first.join(near_first, ["k1", "k2"], "left").where("n > 1 OR root_first IS NOT NULL")
-            .select("k1", "k2", F.coalesce("root_first", "first").alias("keep")))
+    first = materialize(first.join(near, ["k1", "k2"], "left").where("n > 1 OR root IS NOT NULL").select("k1", "k2", "first", "root"), "lines-first")
+    one = first.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("root_first"))
+    keep = first.join(one, "root", "left").select("k1", "k2", F.coalesce("root_first", "first").alias("keep"))
     gone = places.join(keep, ["k1", "k2"]).where(place != F.col("keep"))
     return gone.groupBy("o", "th").agg(F.collect_set("line_no").alias("lines"))
 
