@@ -11,7 +11,10 @@ unrelated lines of one language share a band as the corpus grows.
    occurrence of each hash is aggregated (map side first).
 2. Signatures: ``BANDS`` bands of ``ROWS`` minima for each distinct line of a
    task; at similarity 0.8 a pair shares a band with probability 0.996, at 0.9
-   with more than 0.9999. Only hashes are shuffled.
+   with more than 0.9999. Only hashes are shuffled: a task deals them to slots by
+   their first bits, packed, and each slot is sorted in one go. The slots grow in
+   number with the lines, so that one holds about ``SLOT`` pairs at any size
+   (more only if very many different lines share one band).
 3. Verification: only lines that share a band with another one get their text
    again. Inside a bucket, lines are compared exactly: shingles as numbers, many
    small buckets in one sort, a larger one by a matrix product. A bucket returns
@@ -53,7 +56,7 @@ PAIRS, SLOT = 1 << 18, 1 << 19
 #: Lines a task remembers to skip repeated ones.
 SEEN = 300_000
 #: Code points of a block of lines whose signatures are made together, and of one whose pairs are compared together.
-BLOCK, PAIR_BLOCK = 1 << 16, 1 << 15
+BLOCK, PAIR_BLOCK = 1 << 17, 1 << 16
 #: White space besides spaces and line feeds.
 BLANKS = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 #: Lines of a bucket up to which all its pairs are compared with those of other buckets in one sort.
@@ -91,7 +94,7 @@ def _hashes(digests: list[bytes]) -> np.ndarray:
 
 def signatures(lines: list[str], seed: int = 11) -> np.ndarray:
     """``BANDS`` band hashes of each line (code points in UTF-32), made for
-    blocks of lines whose arrays stay in the processor's cache."""
+    blocks of lines whose arrays stay small."""
     rng = np.random.default_rng(seed)
     mult = rng.integers(1, 1 << 32, ROWS * BANDS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
     plus = rng.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint64).astype(np.uint32)
@@ -118,15 +121,18 @@ def _signatures(lines: list[str], mult: np.ndarray, plus: np.ndarray) -> np.ndar
     h = h[inside]
     count = size - SHINGLE + 1
     at = np.cumsum(count) - count
-    bands = np.zeros((len(lines), BANDS), dtype=np.uint64)
+    least = np.empty((ROWS * BANDS, len(lines)), dtype=np.uint32)
     x = np.empty_like(h)
     for p in range(ROWS * BANDS):
         np.multiply(h, mult[p], out=x)
         x += plus[p]
-        b = p // ROWS
-        bands[:, b] = (bands[:, b] ^ np.minimum.reduceat(x, at).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        bands[:, b] ^= bands[:, b] >> np.uint64(31)
-    return bands ^ (np.arange(BANDS, dtype=np.uint64) << np.uint64(58))
+        np.minimum.reduceat(x, at, out=least[p])
+    bands = np.zeros((BANDS, len(lines)), dtype=np.uint64)
+    for r in range(ROWS):
+        bands ^= least[r::ROWS]
+        bands *= np.uint64(0x9E3779B97F4A7C15)
+        bands ^= bands >> np.uint64(31)
+    return bands.T ^ (np.arange(BANDS, dtype=np.uint64) << np.uint64(58))
 
 
 def _distinct(seen: set, texts: list[str]) -> tuple[np.ndarray, list[str]]:
@@ -190,7 +196,7 @@ def _bands(keyed: DataFrame, slots: int) -> DataFrame:
                                               names=["slot", "pairs"])
 
         for batch in batches:
-            (k1, _), lines = _distinct(seen, batch.column(2).to_pylist())
+            (k1, _), lines = _distinct(seen, batch.column(0).to_pylist())
             if lines:
                 held.append((signatures(lines).ravel(), np.repeat(k1, BANDS)))
             if sum(len(x) for x, _ in held) > PAIRS:
@@ -198,7 +204,7 @@ def _bands(keyed: DataFrame, slots: int) -> DataFrame:
         if held:
             yield rows()
 
-    return keyed.mapInArrow(run, "slot int, pairs binary")
+    return keyed.select("text").mapInArrow(run, "slot int, pairs binary")
 
 
 def shared_bands(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -261,7 +267,7 @@ def _lines(keyed: DataFrame, only=None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         for batch in batches:
-            (k1, k2), lines = _distinct(seen, batch.column(2).to_pylist())
+            (k1, k2), lines = _distinct(seen, batch.column(0).to_pylist())
             if only is not None:
                 known = only.value
                 at = np.searchsorted(known, k1)
@@ -271,7 +277,7 @@ def _lines(keyed: DataFrame, only=None) -> DataFrame:
             if lines:
                 yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(lines, pa.string())], names=["k1", "k2", "line"])
 
-    return keyed.mapInArrow(run, "k1 long, k2 long, line string")
+    return keyed.select("text").mapInArrow(run, "k1 long, k2 long, line string")
 
 
 def _codes(lines: list[str]) -> tuple[np.ndarray, int]:
@@ -327,10 +333,11 @@ def near_small(buckets: list[list[str]]) -> list[list[tuple[int, int]] | None]:
     count = np.bincount(bucket * SMALL + line, minlength=len(buckets) * SMALL).reshape(-1, SMALL)
     common = np.zeros(len(buckets) * SMALL * SMALL, dtype=np.int64)
     shingle = key >> np.uint64(low)
-    at = np.arange(len(key))
-    for d in range(1, SMALL):
-        at = at[:np.searchsorted(at, len(key) - d)]
-        at = at[shingle[at] == shingle[at + d]]
+    at = np.flatnonzero(shingle[1:] == shingle[:-1])
+    for d in range(1, max(map(len, buckets))):
+        if d > 1:
+            at = at[:np.searchsorted(at, len(key) - d)]
+            at = at[shingle[at] == shingle[at + d]]
         common += np.bincount((bucket[at] * SMALL + line[at + d]) * SMALL + line[at], minlength=len(common))
     out: list = [[] for _ in buckets]
     for b, j, i in zip(*[x.tolist() for x in np.nonzero(_near(common.reshape(-1, SMALL, SMALL), count))]):
