@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from ulasan.llm import line_dedup as ld
 
 from .test_dedup import brute_components
@@ -128,3 +130,41 @@ def test_lines_without_white_space_to_collapse_are_left_alone():
     for _ in range(20000):
         text = "".join(rng.choice(signs[:rng.choice([4, 4, 8, 19])]) for _ in range(rng.randint(0, 12)))
         assert ld.normalized(text) == [" ".join(x.lower().split()) for x in text.split("\n")]
+
+
+def test_bands_are_dealt_packed_and_shared_ones_found(llm, monkeypatch):
+    """One row a slot and task, not one a band hash; buckets as by a dictionary."""
+    monkeypatch.setattr(ld, "CHUNK", 5)
+    rng = random.Random(4)
+    bases = ["".join(rng.choice("abcdefghij ") for _ in range(80)) for _ in range(30)]
+    texts = ["\n".join(b[:k] + "#" + b[k + 1:] for b in rng.sample(bases, 6) for k in [rng.randrange(10, 70)]) for _ in range(60)]
+    keyed = ld._keyed(llm.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3))
+    dealt = ld._bands(keyed, 64).collect()
+    (k1, _), lines = ld._distinct(set(), texts)
+    assert len(dealt) <= 3 * 64 < len(lines) * ld.BANDS
+    want = {(int(b), int(k)) for k, row in zip(k1, ld.signatures(lines).astype(np.uint64).view(np.int64).tolist()) for b in row}
+    pairs = [(r.slot, *p) for r in dealt for p in np.frombuffer(r.pairs, dtype=np.int64).reshape(-1, 2).tolist()]
+    assert {(b, k) for _, b, k in pairs} == want and all((b % (1 << 64)) >> 58 == slot for slot, b, _ in pairs)
+    held = {}
+    for b, k in want:
+        held.setdefault(b, set()).add(k)
+    shared = {b: sorted(ks) for b, ks in held.items() if len(ks) > 1}
+    got = {}
+    for r in sorted(ld._buckets(keyed, 64).collect(), key=lambda r: (r.band, r.c)):
+        assert r.n == -(-len(shared[r.band]) // 5) and 0 < len(r.lines) <= 5
+        got.setdefault(r.band, []).extend(r.lines)
+    assert got == shared and max(map(len, got.values())) > 5
+
+
+def test_shared_bands_of_odd_pairs():
+    empty = np.zeros((0, 2), dtype=np.int64)
+    assert [len(x) for x in ld.shared_bands(empty)] == [0, 0, 0]
+    assert [len(x) for x in ld.shared_bands(np.array([[7, 1], [7, 1], [8, 1]]))] == [0, 0, 0]     # one line twice shares nothing
+    band, starts, lines = ld.shared_bands(np.array([[7, 3], [9, 5], [7, -1], [7, 3], [-2, 4], [9, 2]]))
+    assert (band.tolist(), starts.tolist(), lines.tolist()) == ([7, 9], [0, 2], [-1, 3, 2, 5])
+
+
+def test_slots_grow_with_the_pairs():
+    assert ld.slots(0, 8) == 64
+    assert all(p / ld.slots(p, n) <= ld.SLOT for p in (10 ** 6, 10 ** 8, 10 ** 10) for n in (1, 200))
+    assert 16 * 51 <= ld.slots(41_000_000, 51) <= 32 * 51

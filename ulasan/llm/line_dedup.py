@@ -175,10 +175,18 @@ def occurrences(keyed: DataFrame) -> DataFrame:
     return keyed.mapInArrow(run, "o long, th long, line_no int, k1 long, k2 long")
 
 
+def slots(pairs: int, partitions: int) -> int:
+    """A power of two, 65,536 at most: about ``SLOT`` pairs or fewer in a slot,
+    and, if the pairs are many, several slots in a partition, which evens the
+    partitions out."""
+    return 1 << min(16, max(6, (pairs // SLOT).bit_length(), min((16 * partitions).bit_length(), (pairs // 4096).bit_length())))
+
+
 def _bands(keyed: DataFrame, slots: int) -> DataFrame:
     """``(slot, pairs)``: the band hashes of a task's lines and the first halves
     of the lines' hashes, dealt by the hashes' first bits; one row a slot for
-    some ``PAIRS`` of them."""
+    ``PAIRS`` of them or more."""
+    most = max(PAIRS, 64 * slots)                           # rows of 64 pairs and more, however many slots
     shift = np.uint64(65 - slots.bit_length())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +207,7 @@ def _bands(keyed: DataFrame, slots: int) -> DataFrame:
             (k1, _), lines = _distinct(seen, batch.column(0).to_pylist())
             if lines:
                 held.append((signatures(lines).ravel(), np.repeat(k1, BANDS)))
-            if sum(len(x) for x, _ in held) > PAIRS:
+            if sum(len(x) for x, _ in held) > most:
                 yield rows()
         if held:
             yield rows()
@@ -213,7 +221,8 @@ def shared_bands(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     band, k1 = pairs.T
     order = np.argsort(band)
     band = band[order]
-    same = np.concatenate([[False], band[1:] == band[:-1], [False]])
+    same = np.zeros(len(band) + 1, dtype=bool)
+    same[1:-1] = band[1:] == band[:-1]
     several = same[1:] | same[:-1]
     band, k1 = band[several], k1[order[several]]
     order = np.lexsort((k1, band))
@@ -452,8 +461,7 @@ def near_lines(keyed: DataFrame, n_lines: int) -> DataFrame:
     """``(k1, k2, root)`` of every line that has a near-equal other line.
     ``n_lines`` is the number of lines of ``keyed``."""
     spark = keyed.sparkSession
-    slots = 1 << max(6, shuffle_partitions(spark).bit_length(), (n_lines * BANDS // SLOT).bit_length())
-    buckets = materialize(_buckets(keyed, min(slots, 1 << 16)), "lines-band")
+    buckets = materialize(_buckets(keyed, slots(n_lines * BANDS, shuffle_partitions(spark))), "lines-band")
     keys = materialize(buckets.select(F.explode("lines").alias("k1")).distinct(), "lines-keys")
     if keys.count() <= BROADCAST_KEYS:
         found = _lines(keyed, spark.sparkContext.broadcast(np.sort(keys.toArrow().column(0).to_numpy())))
